@@ -32,11 +32,20 @@ class Data:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
-        self.peaks = fixtures.peaks(spark, sf_dir)
-        self.manifest = fixtures.manifest(spark, sf_dir)
-        self.metadata = fixtures.metadata(spark, sf_dir)
         self.sf_dir = sf_dir
 
+    @cached_property
+    def peaks(self) -> DataFrame:
+        return fixtures.peaks(self.spark, self.sf_dir)
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        return fixtures.manifest(self.spark, self.sf_dir)
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        return fixtures.metadata(self.spark, self.sf_dir)
+
     @cached_property
     def targets(self):
         return prepare_targets(fixtures.molecules(self.spark, self.sf_dir))

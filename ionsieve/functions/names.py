@@ -23,6 +23,11 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def sample_key(path: Column) -> Column:
+    """Full path as a key; local files go without their scheme, however it was written."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def folder_name(path: Column) -> Column:
     """Everything before the last segment; "." for a root file."""
     trimmed = trim_slashes(path)

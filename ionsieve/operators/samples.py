@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,32 @@ def with_dates(samples: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
+def once_per_sample(
+    frame: DataFrame, columns: list[str], added: list[str], step: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Run `step` on the distinct samples of a frame and join its `added` columns back.
+
+    A frame of samples x molecules then goes through one join instead of one
+    per lookup.
+    """
+    found = step(frame.select("file_id", *columns).distinct())
+    return frame.join(found.select("file_id", *added), "file_id", "left")
+
+
+def dated_frame(frame: DataFrame, metadata: DataFrame) -> DataFrame:
+    """`with_dates` for a frame with many rows per sample."""
+    added = ["year", "month", "date_order", "display_name"]
+    return once_per_sample(frame, ["file"], added, lambda samples: with_dates(samples, metadata))
+
+
+def labelled_frame(frame: DataFrame, metadata: DataFrame | None, name: str) -> DataFrame:
+    """`with_date_labels` for a frame with many rows per sample."""
+    if metadata is None:
+        return with_date_labels(frame, None, name)
+    label = lambda samples: with_date_labels(samples, metadata, name)
+    return once_per_sample(frame, [name], ["date_label"], label)
+
+
 def reorder_by_date(samples: DataFrame, metadata: DataFrame) -> DataFrame:
     """Samples with dates and their 1-based place by date: undated last, ties by name."""
     return in_date_order(with_dates(samples, metadata), [], "sample_idx")

@@ -12,7 +12,7 @@ from ..functions import names, scoring
 from ..operators import distance
 from ..operators.eic import eic, labelled
 from ..operators.ordering import evenly_spaced, position_cell, quantiles, with_index
-from ..operators.samples import in_date_order, with_date_labels
+from ..operators.samples import in_date_order, labelled_frame
 from ..operators.stats import box_statistics, compare
 from ..operators.targets import Targets
 from ..session import BROADCAST_MAX_ROWS
@@ -92,7 +92,7 @@ def sample_axis(
     if x_labels in ("file", "none"):
         label = F.col(name) if x_labels == "file" else F.lit(None).cast("string")
         return placed.withColumn("date_label", F.lit(None).cast("string")).withColumn("tick", label)
-    dated = with_date_labels(placed, metadata, name)
+    dated = labelled_frame(placed, metadata, name)
     if x_labels == "year":
         dated = dated.withColumn("date_label", names.year_part(F.col("date_label")))
     firsts = (

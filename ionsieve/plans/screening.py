@@ -11,7 +11,7 @@ from ..functions import names, scoring
 from ..operators.eic import eic, eic_one_target, hits, labelled
 from ..operators.filters import keep_samples, with_signal
 from ..operators.normalize import normalise
-from ..operators.samples import in_date_order, with_dates
+from ..operators.samples import dated_frame, in_date_order
 from ..operators.summary import complete, max_intensities, screening_aggregate, summarize
 from ..operators.targets import Targets
 
@@ -67,7 +67,7 @@ def process_screening_results(
     kept = with_signal(keep_samples(max_values, exclude_patterns))
     if metadata is None or not reorder:
         return kept
-    return in_date_order(with_dates(kept, metadata), ["target_id"], "sample_idx")
+    return in_date_order(dated_frame(kept, metadata), ["target_id"], "sample_idx")
 
 
 def suspect_screening(
@@ -115,7 +115,7 @@ def run_counters(
     without a signal, and samples with a usable ratio to the standard.
     """
     excluded = names.matches_any(F.col("file"), exclude_patterns)
-    dated = with_dates(max_values, metadata)
+    dated = dated_frame(max_values, metadata)
     ratio = F.col("ratio")
     ratios = normalise(max_values, standard).select(
         "file_id", "target_id", F.col("max_intensity").alias("ratio")

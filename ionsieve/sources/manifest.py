@@ -12,10 +12,15 @@ from ..schemas import MANIFEST, require_columns
 
 
 def manifest_from_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Manifest of an explicit list of paths, in list order."""
-    rows = [(path, path, pos) for pos, path in enumerate(paths)]
-    listed = spark.createDataFrame(rows, "file_id string, path string, pos long")
-    return listed.withColumn("file", names.base_name(F.col("path"))).select(*MANIFEST.fieldNames())
+    """Manifest of an explicit list of paths, in list order.
+
+    Paths outside the local disk need their full URI, as that is how the peaks
+    of a file are keyed.
+    """
+    listed = spark.createDataFrame(list(zip(paths, range(len(paths)))), "path string, pos long")
+    path = F.col("path")
+    keyed = listed.withColumns({"file_id": names.sample_key(path), "file": names.base_name(path)})
+    return keyed.select(*MANIFEST.fieldNames())
 
 
 def manifest_from_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,9 +35,9 @@ def manifest_from_folder(spark: SparkSession, folder: str) -> DataFrame:
         .load(folder)
         .select("path")
     )
-    path = names.url_decoded(F.col("path"))
+    path = F.col("path")
     return (
-        files.select(path.alias("file_id"), names.base_name(path).alias("file"), path.alias("path"))
+        files.select(names.sample_key(path).alias("file_id"), names.base_name(path).alias("file"), path)
         # A position only has to sort like the path; it need not be dense.
         .sort("path")
         .withColumn("pos", F.monotonically_increasing_id())

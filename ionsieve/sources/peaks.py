@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import url_decoded
+from ..functions.names import sample_key, url_decoded
 from ..schemas import PEAK_FILE, PEAKS, require_columns
 
 
@@ -16,7 +16,7 @@ def read_samples(
 ) -> DataFrame:
     """Peaks of one Parquet file per sample, all read as one dataset.
 
-    `file_id` is the full path, so two files with one base name stay apart.
+    `file_id` is the full path (without a scheme for local files), so two files with one base name stay apart.
     `skip_damaged` reads past unreadable files instead of failing;
     `files_without_peaks` then tells which samples gave nothing.
     """
@@ -26,7 +26,8 @@ def read_samples(
     paths = [paths] if isinstance(paths, str) else list(paths)
     rows = reader.parquet(*paths)
     # The metadata path is percent-encoded on top of the real name: decode once.
-    return clean_points(rows.withColumn("file_id", url_decoded(F.col("_metadata.file_path"))))
+    file_id = sample_key(url_decoded(F.col("_metadata.file_path")))
+    return clean_points(rows.withColumn("file_id", file_id))
 
 
 def clean_points(peaks: DataFrame) -> DataFrame:
