@@ -1,12 +1,12 @@
 """Positions, ranks and quantiles over long ordered groups.
 
-A group (all samples of a molecule, say) is never ordered by one task as a
-whole. It is cut into cells that follow the order; the few cells of a group get
-running totals, and rows are ordered inside their cell only. Cells are fixed
-functions of the order columns, so the answer does not depend on how well they
-split the group.
+A group (all samples of a molecule, say) is ordered by one task only if its
+rows were counted and are few. A longer one is cut into cells that follow the
+order; the few cells of a group get running totals, and rows are ordered inside
+their cell only. A cell depends on the order columns alone and never falls when
+they rise, so positions are exact however well the cells split the group.
 
-The input is read twice (totals, rows): pass a table or a materialised frame.
+The input is read several times: pass a table or a materialised frame.
 """
 
 from __future__ import annotations
@@ -16,12 +16,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import at_most
+
+# Groups of no more rows than this may be ordered by one task.
+ROWS_IN_ONE_TASK = 500_000
+
 # Resolution of the value cells: this many per doubling of 1 + |value|.
 CELLS_PER_DOUBLING = 64
 
 # Positions per cell when the order is an integer position.
 POSITIONS_PER_CELL = 65_536
 
+# Cells that text orders are cut into.
+SAMPLED_CELLS = 256
+
 
 def value_cell(value: Column) -> Column:
     """Cell of a number; never falls when the number rises."""
@@ -33,13 +41,46 @@ def position_cell(position: Column) -> Column:
     return F.floor(position / F.lit(POSITIONS_PER_CELL))
 
 
+def with_sampled_cell(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the cell of any sortable columns: how many sampled keys lie at or below.
+
+    The sample takes, from each of `SAMPLED_CELLS` hash classes, the key whose
+    hash is lowest. That is a fair sample, and the same one on every run.
+    """
+    key = F.struct(*[column.alias(f"k{i}") for i, column in enumerate(order)])
+    hashed = rows.select(key.alias("key"), F.xxhash64(key).alias("hash"))
+    drawn = hashed.groupBy(F.pmod("hash", F.lit(SAMPLED_CELLS))).agg(F.min_by("key", "hash").alias("key"))
+    cuts = drawn.agg(F.collect_list("key").alias("cuts")).scalar()
+    below = F.size(F.filter("_cuts", lambda cut: cut <= key))
+    return rows.withColumn("_cuts", cuts).withColumn(name, below).drop("_cuts")
+
+
 def with_running_total(
-    rows: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[Column], weight: Column
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    weight: Column,
+    cell: Column | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Add `before` (weight of all earlier rows of the group) and `total`."""
-    rows = rows.withColumn("_cell", cell)
-    cells = rows.groupBy(*keys, "_cell").agg(F.sum(weight).alias("_weight"))
+    """Add `before` (weight of all earlier rows of the group) and `total`.
+
+    `small` says that no group is longer than one task may order; None counts
+    the rows to find out. Without a `cell` the cells come from sampled keys.
+    """
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    past = lambda window: F.coalesce(
+        F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    if at_most(rows, ROWS_IN_ONE_TASK) if small is None else small:
+        return rows.withColumns(
+            {"before": past(group.orderBy(*order)), "total": F.sum(weight).over(group)}
+        )
+    if cell is None:
+        rows = with_sampled_cell(rows, order, "_cell")
+    else:
+        rows = rows.withColumn("_cell", cell)
+    cells = rows.groupBy(*keys, "_cell").agg(F.sum(weight).alias("_weight"))
     earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
         *[F.col(key).alias(f"_{key}") for key in keys],
@@ -47,38 +88,47 @@ def with_running_total(
         F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_cells_before"),
         F.sum("_weight").over(group).alias("total"),
     )
-    inside = (
-        Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    rows = rows.withColumn("_in_cell", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
     same = F.col("_cell").eqNullSafe(F.col("_of"))
     for key in keys:
         same = same & (F.col(key) == F.col(f"_{key}"))
     return (
-        rows.join(cells, same)
+        rows.withColumn("_in_cell", past(inside))
+        .join(cells, same)
         .withColumn("before", F.col("_cells_before") + F.col("_in_cell"))
         .drop("_cell", "_of", "_cells_before", "_in_cell", *[f"_{key}" for key in keys])
     )
 
 
 def with_index(
-    rows: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[Column], name: str
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    cell: Column | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group as `name`."""
-    placed = with_running_total(rows, keys, cell, order, F.lit(1).cast("long"))
+    one = F.lit(1).cast("long")
+    placed = with_running_total(rows, keys, order, one, cell, small)
     return placed.withColumn(name, F.col("before") + 1).drop("before", "total")
 
 
-def tied_ranks(rows: DataFrame, keys: Sequence[str], value: str, **extra: Column) -> DataFrame:
+def tied_ranks(
+    rows: DataFrame, keys: Sequence[str], value: str, small: bool | None = None, **extra: Column
+) -> DataFrame:
     """One row per distinct value of each group: count `n`, `before`, `total`, `mid_rank`.
 
     `extra` aggregates are taken per distinct value too. Equal values collapse
     before anything is ordered.
     """
+    if small is None:
+        small = at_most(rows, ROWS_IN_ONE_TASK)
     distinct = rows.groupBy(*keys, value).agg(
         F.count("*").alias("n"), *[column.alias(name) for name, column in extra.items()]
     )
-    ranked = with_running_total(distinct, keys, value_cell(F.col(value)), [F.col(value)], F.col("n"))
+    order, cell = [F.col(value)], value_cell(F.col(value))
+    ranked = with_running_total(distinct, keys, order, F.col("n"), cell, small)
     return ranked.withColumn("mid_rank", F.col("before") + (F.col("n") + 1) / F.lit(2))
 
 
@@ -108,7 +158,7 @@ def evenly_spaced(
     half to even.
     """
     order = [F.col(position), F.col(key)]
-    placed = with_index(manifest, [], position_cell(F.col(position)), order, "_at")
+    placed = with_index(manifest, [], order, "_at", position_cell(F.col(position)))
     total = F.col("total")
     step = (total - 1) / F.lit(max(samples - 1, 1))
     spread = F.transform(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..session import materialize
 from ..sources.metadata import latest_metadata
 from .ordering import with_index
 
@@ -90,10 +91,13 @@ def reorder_by_date(samples: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def in_date_order(dated: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add the place by (date_order, file) inside each group as `name`."""
-    month = F.coalesce("date_order", F.lit(UNDATED))
-    cell = F.struct(month.alias("month"), F.substring("file", 1, 12).alias("start"))
-    return with_index(dated, keys, cell, [month, F.col("file"), F.col("file_id")], name)
+    """Add the place by (date_order, file) inside each group as `name`.
+
+    The dated frame is written out first, so that its lookups run once.
+    """
+    dated = materialize(dated)
+    order = [F.coalesce("date_order", F.lit(UNDATED)), F.col("file"), F.col("file_id")]
+    return with_index(dated, keys, order, name)
 
 
 def date_span(dated: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import rank_sum_p_value, signed_rank_p_value, t_p_value
 from ..functions.scoring import p_text, significance_label
-from .ordering import quantiles, tied_ranks, value_cell, with_index
+from ..session import at_most
+from .ordering import ROWS_IN_ONE_TASK, quantiles, tied_ranks, value_cell, with_index
 
 PAIR = ["name_1", "name_2"]
 
@@ -24,9 +25,8 @@ def _ties() -> Column:
 
 def all_pairs(molecules: DataFrame, order: str) -> DataFrame:
     """Every pair of the listed molecules, the earlier one first."""
-    placed = with_index(
-        molecules.select("molecule", order), [], value_cell(F.col(order)), [F.col(order)], "place"
-    )
+    named = molecules.select("molecule", order)
+    placed = with_index(named, [], [F.col(order)], "place", value_cell(F.col(order)))
     first = placed.select(F.col("molecule").alias("name_1"), "place")
     earlier = F.sequence(F.lit(1).cast("long"), F.col("place") - 1)
     second = placed.where("place > 1").select(
@@ -54,6 +54,11 @@ def box_statistics(values: DataFrame) -> DataFrame:
     )
 
 
+def _short(values: DataFrame) -> bool:
+    """Whether one task may order a pair's rows: at most two per row of `values`."""
+    return at_most(values, ROWS_IN_ONE_TASK // 2)
+
+
 def paired_differences(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """value of name_1 minus value of name_2 in each sample that has both."""
     first = values.select(F.col("molecule").alias("name_1"), "file_id", F.col("value").alias("x"))
@@ -85,7 +90,9 @@ def signed_rank(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Paired Wilcoxon test: V, number of non-zero differences, zeros, ties, p."""
     differences = paired_differences(values, pairs)
     moved = differences.where("d <> 0").withColumn("size", F.abs("d"))
-    ranked = tied_ranks(moved, PAIR, "size", n_up=F.count_if(F.col("d") > 0))
+    ranked = tied_ranks(
+        moved, PAIR, "size", _short(values), n_up=F.count_if(F.col("d") > 0)
+    )
     positive = ranked.groupBy(*PAIR).agg(
         F.sum(F.col("n_up") * F.col("mid_rank")).alias("statistic"),
         F.sum("n").alias("n"),
@@ -106,7 +113,11 @@ def signed_rank(values: DataFrame, pairs: DataFrame) -> DataFrame:
 def rank_sum(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Unpaired Wilcoxon test: W of the first molecule, both sizes, ties, p."""
     ranked = tied_ranks(
-        _sides(values, pairs), PAIR, "value", n_first=F.count_if(F.col("side") == 1)
+        _sides(values, pairs),
+        PAIR,
+        "value",
+        _short(values),
+        n_first=F.count_if(F.col("side") == 1),
     )
     first = F.sum("n_first")
     counted = ranked.groupBy(*PAIR).agg(

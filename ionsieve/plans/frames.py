@@ -84,9 +84,8 @@ def sample_axis(
         placed = in_date_order(max_values, ["target_id"], "sample_idx")
     else:
         order = [F.col("pos"), F.col("file_id")]
-        placed = with_index(
-            max_values, ["target_id"], position_cell(F.col("pos")), order, "sample_idx"
-        )
+        cell = position_cell(F.col("pos"))
+        placed = with_index(max_values, ["target_id"], order, "sample_idx", cell)
     # A frame ordered by date shows, and is labelled by, its display names.
     name = "display_name" if "display_name" in placed.columns else "file"
     if x_labels in ("file", "none"):

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ionsieve.operators import ordering
 
 
+@pytest.fixture(autouse=True, params=["one task", "cells"])
+def path(request, monkeypatch):
+    """Run every case both ways."""
+    if request.param == "cells":
+        monkeypatch.setattr(ordering, "ROWS_IN_ONE_TASK", 0)
+
+
 @pytest.fixture(scope="module")
 def values(spark):
     rng = random.Random(7)
@@ -46,10 +53,29 @@ def test_quantiles(values):
 def test_index_over_negative_and_huge_positions(spark):
     positions = [-70_000, -1, 0, 5, 65_535, 65_536, 10**12]
     df = spark.createDataFrame([(p,) for p in positions], "pos long")
-    placed = ordering.with_index(df, [], ordering.position_cell(F.col("pos")), [F.col("pos")], "i")
+    placed = ordering.with_index(
+        df, [], [F.col("pos")], "i", ordering.position_cell(F.col("pos"))
+    )
     assert [row.i for row in placed.orderBy("pos").collect()] == list(range(1, 8))
 
 
+def test_index_over_names(spark):
+    """5000 names with one long common start, in three groups of very unequal size."""
+    rng = random.Random(2)
+    names = [f"a_very_long_common_start_{rng.random():.9f}" for _ in range(5000)]
+    rows = [(name, "big" if i % 10 else "small") for i, name in enumerate(names)] + [("x", "one")]
+    df = spark.createDataFrame(rows, "name string, key string").repartition(5)
+    order = [F.col("name")]
+    placed = ordering.with_index(df, ["key"], order, "i")
+    found = {(row.key, row.name): row.i for row in placed.collect()}
+    for key in ("big", "small", "one"):
+        for i, name in enumerate(sorted(n for n, k in rows if k == key), 1):
+            assert found[key, name] == i
+    cells = ordering.with_sampled_cell(df, order, "c").groupBy("c").count()
+    largest = cells.agg(F.max("count")).first()[0]
+    assert largest < 200
+
+
 @pytest.mark.parametrize(
     "n, k, wanted",
     [(4, 3, [1, 2, 4]), (5, 1, [1]), (3, 3, [1, 2, 3]), (2, 8, [1, 2]), (101, 4, [1, 34, 68, 101])],

@@ -186,3 +186,18 @@ def test_wide(cells):
     assert (row.a, row.c, row.none) == (profiles["s0001"][0], profiles["s0001"][2], 0.0)
     with pytest.raises(ValueError):
         distance.wide_matrix(df, "sample", "molecule", "v", [str(i) for i in range(1001)])
+
+
+def test_long_groups_give_the_same(values, pairs, cells, monkeypatch):
+    """Cells instead of one task per group."""
+    short = [sorted(map(tuple, test(values, pairs).collect())) for test in (stats.signed_rank, stats.rank_sum)]
+    monkeypatch.setattr(stats, "ROWS_IN_ONE_TASK", 0)
+    assert short == [
+        sorted(map(tuple, test(values, pairs).collect())) for test in (stats.signed_rank, stats.rank_sum)
+    ]
+    numbered = lambda: sorted(
+        (r.item, r.idx) for r in distance.profile_chunks(cells[0], "sample", "molecule", "v").collect()
+    )
+    few = numbered()
+    monkeypatch.setattr(distance, "ROWS_IN_ONE_TASK", 0)
+    assert numbered() == few
