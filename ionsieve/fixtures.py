@@ -58,8 +58,12 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_peaks = suppliers.select(
         sample_name("s_suppkey").alias("file_id"), F.col("s_suppkey").cast("long").alias("pos")
     )
+    # A sample without peaks. Its name depends on a column, as real names do, so
+    # that joins on it stay equi joins.
+    kind = F.when(F.col("id") == 0, "empty")
     without = spark.range(1).select(
-        F.lit("Sample_empty.parquet").alias("file_id"), F.lit(-1).cast("long").alias("pos")
+        F.concat(F.lit("Sample_"), kind, F.lit(".parquet")).alias("file_id"),
+        F.lit(-1).cast("long").alias("pos"),
     )
     return with_peaks.unionByName(without).withColumn("file", F.col("file_id"))
 

@@ -28,6 +28,9 @@ def apex_windows(scans: DataFrame, given_rt: DataFrame | None = None) -> DataFra
     above half maximum, where enough points allow to measure it.
     """
     keys = ["target_id", "file_id"]
+    # The join below implies these tests. Stated here they hold for both of its
+    # sides, which then share one chromatogram exchange and one peak scan.
+    scans = scans.where("target_id is not null and file_id is not null and rt is not null")
     if given_rt is None:
         earliest_top = F.min_by("rt", F.struct((-F.col("intensity")).alias("high"), F.col("rt")))
         centres = scans.groupBy(*keys).agg(earliest_top.alias("apex_rt"))
