@@ -270,6 +270,11 @@ def _spectrum(mslevel: str) -> Callable[[Data], DataFrame]:
     return query
 
 
+def spectrum_rt_range(d: Data) -> DataFrame:
+    lines = eics.spectrum(d.peaks, "2", (1.0, 2.5))
+    return _rounded(lines.withColumnRenamed("file_id", "file"), intensity=2)
+
+
 # Plot frames over a saved max frame
 
 
@@ -294,6 +299,12 @@ def multi_stripes_matrix(d: Data) -> DataFrame:
     return _rounded(frames.multi_stripes(d.saved_max).drop("file_id"), plot_intensity=6)
 
 
+def multi_stripes_wide(d: Data) -> DataFrame:
+    names = [row.molecule for row in d.targets.table.select("molecule").collect()]
+    wide = frames.multi_stripes_wide(frames.multi_stripes(d.saved_max), "molecule", names)
+    return _rounded(wide, **{name: 6 for name in names})
+
+
 def _profiles(d: Data, of: str) -> DataFrame:
     return materialize(frames.profiles(frames.multi_stripes(d.saved_max), of))
 
@@ -382,10 +393,12 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "apex_rt_tolerance": apex_rt_tolerance,
     "spectrum_at_apex_ms1": _spectrum("1"),
     "spectrum_at_apex_ms2": _spectrum("2"),
+    "spectrum_rt_range": spectrum_rt_range,
     "stripes": stripes,
     "stripes_color_bucket": stripes_color_bucket,
     "intensity_line": intensity_line,
     "multi_stripes_matrix": multi_stripes_matrix,
+    "multi_stripes_wide": multi_stripes_wide,
     "molecule_distance": molecule_distance,
     "sample_distance": sample_distance,
     "nearest_profile": nearest_profile,

@@ -146,9 +146,15 @@ def multi_stripes(max_values: DataFrame, log_scale: bool = True) -> DataFrame:
     return _plotted(max_values, log_scale).select("molecule", "file_id", "file", "plot_intensity")
 
 
-def multi_stripes_wide(cells: DataFrame, files: list[str]) -> DataFrame:
-    """The grid with one column per listed sample."""
-    return distance.wide_matrix(cells, "molecule", "file", "plot_intensity", files)
+def multi_stripes_wide(cells: DataFrame, across: str, names: list[str]) -> DataFrame:
+    """The grid with one column per listed "file" or "molecule", missing cells 0.
+
+    Molecules across and samples down suits any number of samples.
+    """
+    if across not in ("molecule", "file"):
+        raise ValueError("a grid has 'molecule' or 'file' across")
+    down = "file" if across == "molecule" else "molecule"
+    return distance.wide_matrix(cells, down, across, "plot_intensity", names)
 
 
 def profiles(cells: DataFrame, of: str) -> DataFrame:

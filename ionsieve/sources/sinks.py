@@ -13,6 +13,12 @@ def by_score(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("Detection_Score"), "Compound", "Sample")
 
 
+def in_reading_order(frame: DataFrame) -> DataFrame:
+    """Chromatograms by sample and time, spectra by sample and m/z, other frames by input order."""
+    by = [name for name in ("molecule", "pos", "file_id", "file", "rt", "mz") if name in frame.columns]
+    return frame.orderBy(*by)
+
+
 def write_results_csv(results: DataFrame, folder: str, day: date | None = None) -> str:
     """Write a screening result as CSV parts with a header; returns the path."""
     path = f"{folder.rstrip('/')}/screening_results_{day or date.today():%Y-%m-%d}.csv"

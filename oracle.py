@@ -405,6 +405,11 @@ def statements() -> dict[str, str]:
         ),
         "spectrum_at_apex_ms1": _spectrum("1"),
         "spectrum_at_apex_ms2": _spectrum("2"),
+        "spectrum_rt_range": _with(
+            ["peaks"],
+            "select file, mz, round(sum(intensity), 2) as intensity from peaks"
+            " where mslevel = '2' and rt between 1 and cast(2.5 as double) group by file, mz",
+        ),
         "stripes": _with(
             ["mx", "decoded"],
             f"""
@@ -443,6 +448,12 @@ def statements() -> dict[str, str]:
         "multi_stripes_matrix": _with(
             ["box"], "select molecule, file, round(value, 6) as plot_intensity from box"
         ),
+        "multi_stripes_wide": _with(
+            ["box"],
+            "select file, "
+            + ", ".join(f"round(sum(value) filter (molecule = 'mol_{i}'), 6) as mol_{i}" for i in range(5))
+            + " from box group by file",
+        ),
         "molecule_distance": _with(
             ["profile"],
             """

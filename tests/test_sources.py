@@ -133,6 +133,12 @@ def test_suspects(spark, tmp_path):
     assert suspects.append_suspects(more, rejected).count() == 12
 
 
+def test_reading_order(spark):
+    rows = [("b", 2.0), ("a", 3.0), ("b", 1.0)]
+    found = sinks.in_reading_order(spark.createDataFrame(rows, "file string, rt double"))
+    assert [tuple(row) for row in found.collect()] == [("a", 3.0), ("b", 1.0), ("b", 2.0)]
+
+
 def test_result_csv(spark, tmp_path):
     rows = [("s", "low", 10.0), ("s", "high", 90.0)]
     results = spark.createDataFrame(rows, "Sample string, Compound string, Detection_Score double")
