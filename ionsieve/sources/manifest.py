@@ -11,6 +11,10 @@ from ..functions import names
 from ..schemas import MANIFEST, require_columns
 
 
+# Sample files by name, in any case.
+PARQUET_FILES = "*.[pP][aA][rR][qQ][uU][eE][tT]"
+
+
 def manifest_from_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Manifest of an explicit list of paths, in list order.
 
@@ -31,7 +35,7 @@ def manifest_from_folder(spark: SparkSession, folder: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]")
+        .option("pathGlobFilter", PARQUET_FILES)
         .load(folder)
         .select("path")
     )

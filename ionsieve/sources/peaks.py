@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import sample_key, url_decoded
 from ..schemas import PEAK_FILE, PEAKS, require_columns
+from .manifest import PARQUET_FILES
 
 
 def read_samples(
@@ -16,11 +17,14 @@ def read_samples(
 ) -> DataFrame:
     """Peaks of one Parquet file per sample, all read as one dataset.
 
+    `paths` are files, or folders that are searched to any depth.
+
     `file_id` is the full path (without a scheme for local files), so two files with one base name stay apart.
     `skip_damaged` reads past unreadable files instead of failing;
     `files_without_peaks` then tells which samples gave nothing.
     """
-    reader = spark.read.schema(PEAK_FILE)
+    reader = spark.read.schema(PEAK_FILE).option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", PARQUET_FILES)
     if skip_damaged:
         reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     paths = [paths] if isinstance(paths, str) else list(paths)

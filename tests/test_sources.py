@@ -50,6 +50,12 @@ def test_same_base_name_stays_apart(spark, folder):
     assert [row.file_id.split("/")[-2] for row in found] == ["day1", "day2"]
 
 
+def test_a_folder_is_all_its_samples(spark, folder):
+    by_folder = read_samples(spark, folder).collect()
+    by_path = read_samples(spark, sample_paths(folder)).collect()
+    assert sorted(map(tuple, by_folder)) == sorted(map(tuple, by_path)) and len(by_path) == 5
+
+
 def test_folder_manifest_matches_the_peaks(spark, folder):
     manifest = manifest_from_folder(spark, folder)
     rows = manifest.orderBy("pos").collect()

@@ -201,3 +201,25 @@ def test_long_groups_give_the_same(values, pairs, cells, monkeypatch):
     few = numbered()
     monkeypatch.setattr(distance, "ROWS_IN_ONE_TASK", 0)
     assert numbered() == few
+
+
+def test_nearest_meets_few_blocks(spark, monkeypatch):
+    """Small blocks: far fewer meetings than block pairs, the same partners, both ways of ordering."""
+    monkeypatch.setattr(distance, "BLOCK", 16)
+    rng = random.Random(9)
+    profiles = {f"p{i:03}": [10 ** rng.uniform(0, 4), rng.uniform(0, 1)] for i in range(320)}
+    rows = [(i, name, 0, v) for i, (name, v) in enumerate(sorted(profiles.items()))]
+    chunks = spark.createDataFrame(rows, "idx long, item string, chunk long, v array<double>")
+    wanted = {
+        name: min((math.dist(v, w), other) for other, w in profiles.items() if other != name)
+        for name, v in profiles.items()
+    }
+    for bound in (500_000, 0):
+        monkeypatch.setattr(distance, "ROWS_IN_ONE_TASK", bound)
+        seen = []
+        inner = distance._visits
+        monkeypatch.setattr(distance, "_visits", lambda *a: seen.append(inner(*a)) or seen[-1])
+        found = {r.item: (r.distance, r.nearest) for r in distance.nearest_profiles(chunks).collect()}
+        monkeypatch.setattr(distance, "_visits", inner)
+        assert {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in wanted.items()}
+        assert seen[0].count() < 320 * 20 / 3
