@@ -63,11 +63,10 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     return clean_points(spark.read.schema(PEAKS).parquet(path))
 
 
-def write_by_file(df: DataFrame, path: str, writers_per_file: int = 1, mode: str = "errorifexists") -> None:
+def write_by_file(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder per sample name.
 
-    With `writers_per_file` > 1 the rows of each sample are spread over that
-    many tasks, for samples that hold a large share of the rows.
+    Rows of a sample are brought together; adaptive execution splits a sample
+    that is too large for one writer and merges small ones.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(writers_per_file))
-    df.repartition("file", spread).write.mode(mode).partitionBy("file").parquet(path)
+    df.hint("rebalance", "file").write.mode(mode).partitionBy("file").parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionsieve import manifest_from_folder, manifest_from_listing, manifest_from_paths
-from ionsieve import read_peaks, read_samples, write_peaks
+from ionsieve import prepare_targets, read_peaks, read_samples, write_peaks
 from ionsieve.operators.eic import eic_one_target
 from ionsieve.plans.screening import screen_one_mass
 from ionsieve.schemas import PEAK_FILE, PEAKS
@@ -91,7 +91,7 @@ def test_layout_keeps_rows_and_prunes(spark, folder, tmp_path):
 
 def test_split_by_file(spark, folder, tmp_path):
     found = eic_one_target(read_samples(spark, sample_paths(folder)), 100.00001)
-    write_by_file(found, str(tmp_path / "split"), writers_per_file=3)
+    write_by_file(found, str(tmp_path / "split"))
     back = spark.read.parquet(str(tmp_path / "split"))
     assert {row.file for row in back.collect()} == {"a%20b.parquet"} and back.count() == 2
 
@@ -132,6 +132,7 @@ def test_suspects(spark, tmp_path):
     assert [tuple(row) for row in rejected.collect()] == [("B", "CC", None)]
     bare = tmp_path / "bare.csv"
     bare.write_text("name,smiles\nA,C\n")
+    assert prepare_targets(usable).table.select("molecule", "target_mz").first() == ("A", 16.03)
     usable, rejected = suspects.read_suspects_csv(spark, str(bare))
     assert (usable.count(), rejected.count()) == (0, 1)
     more = suspects.append_suspects(suspects.predefined_suspects(spark), suspects.predefined_suspects(spark))
