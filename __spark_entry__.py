@@ -296,7 +296,7 @@ def intensity_line(d: Data) -> DataFrame:
 
 
 def multi_stripes_matrix(d: Data) -> DataFrame:
-    return _rounded(frames.multi_stripes(d.saved_max).drop("file_id"), plot_intensity=6)
+    return _rounded(frames.multi_stripes(d.saved_max).drop("target_id", "file_id"), plot_intensity=6)
 
 
 def multi_stripes_wide(d: Data) -> DataFrame:

@@ -69,19 +69,23 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates of most samples; odd names already decoded, some with a wrong older row."""
+    """A date per supplier and an older, wrong one.
+
+    Odd names are already decoded. Rows of every seventh supplier, and most of
+    the older rows, are about other samples.
+    """
     key = F.col("s_suppkey")
-    known = _table(spark, sf_dir, "supplier").where(key % 7 != 3)
+    suppliers = _table(spark, sf_dir, "supplier")
     encoded = sample_name("s_suppkey")
     name = F.when(key % 2 == 0, encoded).otherwise(F.replace(encoded, F.lit("%20"), F.lit(" ")))
-    right = known.select(
+    name = F.when(key % 7 == 3, F.concat(F.lit("Other_"), name)).otherwise(name)
+    right = suppliers.select(
         name.alias("name"),
         (2019 + key % 5).cast("int").alias("year"),
         (1 + key % 12).cast("int").alias("month"),
     )
-    wrong = known.where(key % 6 == 0).select(
-        name.alias("name"), F.lit(2007).alias("year"), F.lit(1).alias("month")
-    )
+    older = F.when(key % 6 == 0, name).otherwise(F.concat(F.lit("Old_"), name))
+    wrong = suppliers.select(older.alias("name"), F.lit(2007).alias("year"), F.lit(1).alias("month"))
     return right.unionByName(wrong)
 
 

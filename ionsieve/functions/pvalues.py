@@ -70,11 +70,10 @@ def rank_sum_counts(m: int, n: int) -> np.ndarray:
 
 
 def _exact(counts: np.ndarray, statistic: float) -> float:
-    """Twice the smaller tail, at most 1."""
-    share = counts / counts.sum()
-    k = int(round(statistic))
-    tail = share[k:].sum() if statistic > (len(counts) - 1) / 2.0 else share[: k + 1].sum()
-    return float(min(1.0, 2.0 * tail))
+    """Twice the smaller tail, at most 1. Both distributions are symmetric, and the
+    counts are most precise at their low end, so that is the tail to sum."""
+    k = int(round(min(statistic, len(counts) - 1 - statistic)))
+    return float(min(1.0, 2.0 * counts[: k + 1].sum() / counts.sum()))
 
 
 def _corrected(statistic: float, mean: float, variance: float) -> float:

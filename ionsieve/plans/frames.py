@@ -143,7 +143,8 @@ def stripe_colours(max_values: DataFrame, log_scale: bool = True) -> DataFrame:
 
 def multi_stripes(max_values: DataFrame, log_scale: bool = True) -> DataFrame:
     """Cells of molecule against sample; the same grid feeds the distances."""
-    return _plotted(max_values, log_scale).select("molecule", "file_id", "file", "plot_intensity")
+    columns = ["target_id", "molecule", "file_id", "file", "plot_intensity"]
+    return _plotted(max_values, log_scale).select(*columns)
 
 
 def multi_stripes_wide(cells: DataFrame, across: str, names: list[str]) -> DataFrame:
@@ -158,10 +159,13 @@ def multi_stripes_wide(cells: DataFrame, across: str, names: list[str]) -> DataF
 
 
 def profiles(cells: DataFrame, of: str) -> DataFrame:
-    """Profiles of the "molecule"s or of the samples ("file") in a grid of cells."""
+    """Profiles of the "molecule"s or of the samples ("file") in a grid of cells.
+
+    Molecules that are compared need different names.
+    """
     if of not in ("molecule", "file"):
         raise ValueError("profiles are of 'molecule' or 'file'")
-    item, dimension = ("molecule", "file_id") if of == "molecule" else ("file_id", "molecule")
+    item, dimension = ("molecule", "file_id") if of == "molecule" else ("file_id", "target_id")
     return distance.profile_chunks(cells, item, dimension, "plot_intensity")
 
 

@@ -28,14 +28,15 @@ _PARTS = {
         select {_file('s_suppkey')} as file, cast(s_suppkey as bigint) as pos from supplier
         union all select 'Sample_empty.parquet', cast(-1 as bigint)""",
     "metadata": f"""
-        select case when s_suppkey % 2 = 0 then {_file('s_suppkey')}
-                    else replace({_file('s_suppkey')}, '%20', ' ') end as name,
-               cast(2019 + s_suppkey % 5 as int) as year, cast(1 + s_suppkey % 12 as int) as month
-        from supplier where s_suppkey % 7 <> 3
+        select name, cast(2019 + k % 5 as int) as year, cast(1 + k % 12 as int) as month from named
         union all
-        select case when s_suppkey % 2 = 0 then {_file('s_suppkey')}
-                    else replace({_file('s_suppkey')}, '%20', ' ') end, 2007, 1
-        from supplier where s_suppkey % 6 = 0 and s_suppkey % 7 <> 3""",
+        select case when k % 6 = 0 then name else concat('Old_', name) end, 2007, 1 from named""",
+    "named": f"""
+        select s_suppkey as k,
+               concat(case when s_suppkey % 7 = 3 then 'Other_' else '' end,
+                      case when s_suppkey % 2 = 0 then {_file('s_suppkey')}
+                           else replace({_file('s_suppkey')}, '%20', ' ') end) as name
+        from supplier""",
     "molecules": """
         select cast(r_regionkey as bigint) as target_id,
                concat('mol_', cast(r_regionkey as varchar)) as name,
@@ -164,6 +165,7 @@ _PARTS = {
 
 # Which parts a part is built on.
 _NEEDS = {
+    "metadata": ["named"],
     "latest": ["metadata"],
     "decoded": ["latest"],
     "dated": ["manifest", "latest", "decoded"],
