@@ -1,11 +1,13 @@
-"""Every registered query against its SQL twin on the same tables."""
+"""Every registered query against its SQL twin on the same tables, and its plan."""
 
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from plan_text import plan_of
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
@@ -19,6 +21,9 @@ def duck(sf_dir):
     return connection
 
 
+# The queries with p-values or block distances; all others stay in the JVM.
+WITH_PYTHON = {"pairwise_tests", "nearest_profile"}
+
 # SQL type names of the column types that results may have.
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -43,6 +48,18 @@ def test_same_rows(spark, duck, sf_dir, name):
     assert ours == theirs
 
 
-def test_rows_only(spark, sf_dir):
-    for name in set(QUERIES) - set(SQL):
-        assert QUERIES[name](spark, sf_dir).count() > 0
+    check_plan(name, plan_of(found))
+
+
+def check_plan(name, plan):
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) <= 1
+    if name not in WITH_PYTHON:
+        assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_rows_only(spark, sf_dir, name):
+    found = QUERIES[name](spark, sf_dir)
+    assert len(found.collect()) > 0
+    check_plan(name, plan_of(found))

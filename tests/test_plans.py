@@ -6,25 +6,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from ionsieve import fixtures, prepare_targets, read_peaks, targets_of, write_peaks
 from ionsieve.operators import eic as eics
 from ionsieve.operators.ranges import join_ranges
 from ionsieve.operators.spectra import apex_windows, spectra_in_windows
 from ionsieve.plans import screening
 from ionsieve.session import materialize
+from plan_text import plan_of
 
-WITH_PYTHON = {"pairwise_tests", "wilcoxon_signed_rank_stat", "rank_sum_stat", "t_test_paired", "t_test_welch", "nearest_profile"}
-
-
-def plan_of(df, run=False):
-    """Physical plan as text; the final adaptive one if the frame was run."""
-    if run:
-        df.collect()
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain()
-    return text.getvalue().split("== Initial Plan ==")[0]
 
 
 @pytest.fixture(scope="module")
@@ -104,14 +93,6 @@ def test_summary_orders_minutes_not_chromatograms(stored, targets, spark, sf_dir
     assert not any("rt#" in spec and "_cell" not in spec for spec in windows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_cross_join_and_no_python(spark, sf_dir, name):
-    plan = plan_of(entry.queries()[name](spark, sf_dir))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name not in WITH_PYTHON:
-        assert "Python" not in plan and "Pandas" not in plan
-
-
 def test_range_join_keeps_other_keys(spark):
     points = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "f string, v double")
     windows = spark.createDataFrame([("a", 0.0, 2.0)], "f string, lo double, hi double")
