@@ -107,7 +107,7 @@ def signed_rank(values: DataFrame, pairs: DataFrame) -> DataFrame:
         "zeros",
         F.coalesce("ties", F.lit(0.0)).alias("ties"),
     )
-    return _with_p(counted, signed_rank_p_value("statistic", "n", "zeros", "ties"))
+    return counted.withColumn("p", signed_rank_p_value("statistic", "n", "zeros", "ties"))
 
 
 def rank_sum(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def rank_sum(values: DataFrame, pairs: DataFrame) -> DataFrame:
         (F.sum("n") - first).alias("n_2"),
         _ties().alias("ties"),
     )
-    return _with_p(counted, rank_sum_p_value("statistic", "n_1", "n_2", "ties"))
+    return counted.withColumn("p", rank_sum_p_value("statistic", "n_1", "n_2", "ties"))
 
 
 def paired_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def paired_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
         (n - 1).cast("double").alias("df"),
         F.avg("d").alias("mean_difference"),
     )
-    return _with_p(counted, t_p_value("statistic", "df"))
+    return counted.withColumn("p", t_p_value("statistic", "df"))
 
 
 def welch_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -161,11 +161,7 @@ def welch_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
         "mean_1",
         "mean_2",
     )
-    return _with_p(counted, t_p_value("statistic", "df"))
-
-
-def _with_p(tested: DataFrame, p: Column) -> DataFrame:
-    return tested.withColumn("p", p)
+    return counted.withColumn("p", t_p_value("statistic", "df"))
 
 
 def compare(

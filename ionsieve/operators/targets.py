@@ -47,8 +47,9 @@ class Targets:
 def target_table(molecules: DataFrame, tolerance: float) -> DataFrame:
     """Targets from (name, mz) rows, or suspects with an `exact_mass` to search for.
 
-    Names may repeat, so each row gets a key. A given `target_id` is kept; else the key is a hash of name, mass and the
-    running number among identical rows, which does not depend on row order.
+    Names may repeat, so each row gets a key. A given `target_id` is kept; else
+    the key is a hash of name, mass and the running number among identical
+    rows, which does not depend on row order.
     """
     if "mz" not in molecules.columns and "exact_mass" in molecules.columns:
         molecules = molecules.withColumnRenamed("exact_mass", "mz")
