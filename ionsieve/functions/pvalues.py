@@ -7,12 +7,17 @@ Python: Arrow batches of one row per comparison.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+# Functions of this module travel with the job; workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Sample sizes below this use the exact distribution if nothing is tied.
 EXACT_BELOW = 50
 

@@ -223,3 +223,20 @@ def test_nearest_meets_few_blocks(spark, monkeypatch):
         monkeypatch.setattr(distance, "_visits", inner)
         assert {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in wanted.items()}
         assert seen[0].count() < 320 * 20 / 3
+
+
+def test_workers_need_no_package(tmp_path):
+    """Task functions load where the package cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    functions = [distance._best_inside, distance._best_across, pvalues.signed_rank_p, pvalues.t_two_sided]
+    (tmp_path / "functions.bin").write_bytes(cloudpickle.dumps(functions))
+    script = (
+        "import pickle; f = pickle.load(open('functions.bin', 'rb'));"
+        "import sys; assert 'ionsieve' not in sys.modules; print(f[2](15, 5, 0, 0), f[3](1.0, 1))"
+    )
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.split()[0] == "0.0625", done.stderr
