@@ -421,8 +421,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(query: Callable[[Data], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(Data(spark, sf_dir))
 
-    return {name: bound(query) for name, query in QUERIES.items()}
+    return {name: bound(query) for name, query in QUERIES.items()} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | _training_data()[1]
+
+
+def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators and their pipeline, where these are installed."""
+    try:
+        import corpus_pipeline
+        from ionsieve.llm import queries as training
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "ionsieve.llm"):
+            raise
+        return {}, {}
+    found, sql = dict(training.QUERIES), dict(training.ORACLES)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
