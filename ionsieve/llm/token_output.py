@@ -1,7 +1,7 @@
 """Token ids as fixed-length sequences in Arrow files.
 
 Each shard is one Arrow IPC file. Its batches hold two fixed-size lists, `ids`
-(uint32) and `mask` (uint8, 1 for a token and 0 for padding), so sequence i of
+(uint16 where the vocabulary has at most 65,536 entries, else uint32) and `mask` (true for a token, false for padding), so sequence i of
 batch b is found by arithmetic and read without a copy from a mapped file. A
 second Arrow file beside it says where each document lies in the shard.
 """
@@ -142,8 +142,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -159,9 +159,11 @@ def shard_writer(folder: str, tokenizer: str, end_id: int, length: int) -> Calla
         files.create_dir(root, recursive=True)
         final = f"{root}/shard-{shard:07d}"
         part = f"{final}.attempt-{context.taskAttemptId()}"
-        schema, encode = _schema(length), Encoder(tokenizer)
+        encode = Encoder(tokenizer)
+        kind = np.uint16 if max(len(encode.token_bytes) - 1, end_id) < 1 << 16 else np.uint32
+        schema = _schema(length, pa.from_numpy_dtype(kind))
         n_docs = n_tokens = 0
-        rest = np.zeros(0, np.uint32)
+        rest = np.zeros(0, kind)
 
         def lists(ids: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
             kinds = schema.types
@@ -184,14 +186,14 @@ def shard_writer(folder: str, tokenizer: str, end_id: int, length: int) -> Calla
                     rows = [batch.column(0).slice(a, b - a), pa.array(starts), pa.array(counts)]
                     index.write_batch(pa.RecordBatch.from_arrays(rows, schema=_INDEX))
                     n_docs, n_tokens = n_docs + b - a, n_tokens + len(ids)
-                    rest = np.concatenate([rest, ids])
+                    rest = np.concatenate([rest, ids.astype(kind)])
                     block = length * ROWS_PER_BATCH
                     while len(rest) >= block:
-                        sequences.write_batch(lists(rest[:block], np.ones(block, np.uint8)))
+                        sequences.write_batch(lists(rest[:block], np.ones(block, bool)))
                         rest = rest[block:]
             if len(rest):
                 size = -(-len(rest) // length) * length
-                mask = (np.arange(size) < len(rest)).astype(np.uint8)
+                mask = np.arange(size) < len(rest)
                 sequences.write_batch(lists(np.pad(rest, (0, size - len(rest))), mask))
         for kind in ("ids", "docs"):
             files.move(f"{part}.{kind}", f"{final}.{kind}")
@@ -252,7 +254,7 @@ def _read_shard(path: str, base: int) -> Iterator[pa.RecordBatch]:
         return pa.ipc.open_file(files.open_input_file(name))
 
     sequences, index = opened(f"{root}.ids"), opened(f"{root}.docs")
-    begin, values, batch = 0, np.zeros(0, np.uint32), 0  # values are the ids from place `begin` on
+    begin, values, batch = 0, np.zeros(0, np.uint16), 0  # values are the ids from place `begin` on
     for k in range(index.num_record_batches):
         rows = index.get_batch(k)
         starts, counts = (rows.column(j).to_numpy() for j in (1, 2))
@@ -266,7 +268,7 @@ def _read_shard(path: str, base: int) -> Iterator[pa.RecordBatch]:
                     batch += 1
                     continue
                 take = values[at - begin : at - begin + left]
-                crc = zlib.crc32(take.astype("<u4", copy=False).tobytes(), crc)
+                crc = zlib.crc32(take.astype("<u4").tobytes(), crc)
                 at, left = at + len(take), left - len(take)
             sums.append(crc)
         yield pa.RecordBatch.from_arrays(
@@ -276,11 +278,12 @@ def _read_shard(path: str, base: int) -> Iterator[pa.RecordBatch]:
 
 
 def read_sequence(path: str, row: int, length: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence `row` of a shard: found by arithmetic, mapped rather than copied where local."""
+    """Ids and mask of sequence `row` of a shard: found by arithmetic; ids are mapped rather than copied where local."""
     files, root = _open(path)
     name = f"{root}.ids"
     local = isinstance(files, fs.LocalFileSystem)
     source = pa.ipc.open_file(pa.memory_map(name) if local else files.open_input_file(name))
     batch, at = divmod(row, ROWS_PER_BATCH)
     columns = source.get_batch(batch)
-    return tuple(columns.column(j).flatten().to_numpy()[at * length : (at + 1) * length] for j in (0, 1))
+    ids, mask = (columns.column(j).flatten().slice(at * length, length) for j in (0, 1))
+    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
