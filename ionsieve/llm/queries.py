@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_output
+from . import mixing, quality, secrets, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,8 +25,23 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op2_novel_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_novel_secrets": op2_novel_secrets,
     "op4_arrow_token_files": op4_arrow_token_files,
+    "op7_subword_quality": op7_subword_quality,
+    "op8_url_templates": op8_url_templates,
     "op9_source_mixture": op9_source_mixture,
 }
 ORACLES: dict[str, str] = {}

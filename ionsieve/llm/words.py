@@ -99,7 +99,8 @@ class Words(NamedTuple):
         return np.diff(self.first)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, *, fold: bool = True) -> Words:
+    """The words of every text; `fold` takes A-Z as a-z."""
     _, space, value = _byte_tables()
     inside = ~space[data]
     opens, closes = inside.copy(), inside.copy()
@@ -110,7 +111,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     opens[edges] = inside[edges]
     closes[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    hashes = run_hashes(value[data], starts, ends)
+    hashes = run_hashes(value[data] if fold else exact_values(data), starts, ends)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
