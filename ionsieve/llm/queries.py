@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, token_output, url_templates
+from . import mixing, ngram_join, quality, secrets, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op2_novel_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_novel_secrets": op2_novel_secrets,
     "op4_arrow_token_files": op4_arrow_token_files,
+    "op5_shingle_components": op5_shingle_components,
     "op7_subword_quality": op7_subword_quality,
     "op8_url_templates": op8_url_templates,
     "op9_source_mixture": op9_source_mixture,
