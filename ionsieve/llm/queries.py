@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, quality, secrets, token_output, url_templates
+from . import decontamination, mixing, ngram_join, quality, secrets, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,6 +33,10 @@ def op5_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_novel_secrets": op2_novel_secrets,
     "op4_arrow_token_files": op4_arrow_token_files,
     "op5_shingle_components": op5_shingle_components,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_subword_quality": op7_subword_quality,
     "op8_url_templates": op8_url_templates,
     "op9_source_mixture": op9_source_mixture,
