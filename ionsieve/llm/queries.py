@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, ngram_join, quality, secrets, token_output, url_templates
+from . import compact_windows, decontamination, mixing, ngram_join, quality, secrets, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,6 +45,10 @@ def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_novel_secrets": op2_novel_secrets,
     "op4_arrow_token_files": op4_arrow_token_files,
@@ -53,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_subword_quality": op7_subword_quality,
     "op8_url_templates": op8_url_templates,
     "op9_source_mixture": op9_source_mixture,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 ORACLES: dict[str, str] = {}
