@@ -9,6 +9,9 @@ share lies in both prefixes, as both are cut from one order.
 Candidates that share an index key are not paired with each other at once. They are compared with the
 least of them; where this leaves several components under one key, their members are compared across. So a group of
 a thousand near copies costs a thousand comparisons, and no link between components is lost.
+
+Before the sets of a pair are fetched, their parity bitmaps are compared: bit i tells whether an odd number of tokens
+fall on i. Bits that differ count tokens that are in one set only, so this bound never rejects a link.
 """
 
 from __future__ import annotations
@@ -57,22 +60,43 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(tokens + np.uint64(salt)).sum().astype(_SIGNED)) for salt in (11, 12))
 
 
+def parity_bitmap(tokens: np.ndarray) -> bytes:
+    """At least two bits per token; a power of two, so that a longer bitmap folds onto a shorter one."""
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound for the tokens that only one of two sets has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    folded = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(folded ^ b).sum())
+
+
+SUMMARY = "doc_id long, n long, f1 long, f2 long, bitmap binary, block int, counts binary"
+
+
 def _summaries(k: int) -> Callable:
-    """A row per document (size and fingerprints of its set), then the counts of the task's tokens by bucket."""
+    """A row per document (size, fingerprints and bitmap of its set), then the counts of the task's tokens by bucket."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "f1", "f2", "block", "counts"]
+        names = ["doc_id", "n", "f1", "f2", "bitmap", "block", "counts"]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            rows = []
+            rows, bitmaps = [], []
             for tokens in token_sets(*text_bytes(batch.column(1)), k):
                 rows.append((len(tokens), *_fingerprint(tokens)))
+                bitmaps.append(parity_bitmap(tokens))
                 counts += np.bincount((tokens & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
             n, f1, f2 = np.array(rows, _SIGNED).reshape(-1, 3).T
             nothing = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), *nothing], names=names)
+            columns = [batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *nothing], names=names)
         blobs = [x.tobytes() for x in counts.reshape(-1, COUNT_BLOCK)]
-        empty = [pa.nulls(len(blobs), pa.int64())] * 4
+        empty = [*[pa.nulls(len(blobs), pa.int64())] * 4, pa.nulls(len(blobs), pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [*empty, pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=names
         )
@@ -213,6 +237,14 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([a, b, pa.array(shared, pa.int64())], names=["a", "b", "shared"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns a, b and the least difference of the last two columns, bitmaps."""
+    for batch in batches:
+        x, y = (batch.column(k).to_pylist() for k in (2, 3))
+        bounds = pa.array(map(least_difference, x, y), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bounds], names=["a", "b", "least"])
+
+
 def _sizes_fit(x: str, y: str) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
@@ -224,14 +256,27 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """a, b, shared for each of the `pairs` (a, b: doc_ids), from the whole sets."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def _compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """`pairs` (a, b, a_n, b_n, ...) with `least`, a lower bound of the tokens in one set only, and `shared`.
+
+    `shared` is null where the sizes or the bitmaps show that the pair does not link; elsewhere it comes
+    from the whole sets.
+    """
+    maps = lambda side: sets.select(F.col("id").alias(side), F.col("bitmap").alias(f"{side}_map"))
+    near = pairs.where(_sizes_fit("a_n", "b_n"))
+    near = near.select("a", "b").join(maps("a"), "a").join(maps("b"), "b").select("a", "b", "a_map", "b_map")
+    bounds = written(near.mapInArrow(_differences, "a long, b long, least long"), "bounds")
+    pairs = pairs.join(bounds, ["a", "b"], "left")
+    # Jaccard similarity is (sizes - difference) / (sizes + difference), with both sizes added.
+    sizes = F.expr("a_n + b_n")
+    open_ = pairs.where((sizes - F.col("least")) * 100 >= (sizes + F.col("least")) * PERCENT).select("a", "b")
+    ids = written(open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = _with_ids(docs, ids).dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_sets(k), "id long, tokens binary"), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_intersections, "a long, b long, shared long")
+    tokens = written(texts.mapInArrow(_sets(k), "id long, tokens binary"), "sets")
+    left = open_.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
+    both = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
+    exact = both.select("a", "b", "left", "right").mapInArrow(_intersections, "a long, b long, shared long")
+    return written(pairs.join(exact, ["a", "b"], "left"), "compared")
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -245,11 +290,11 @@ def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     summaries = written(
-        docs.mapInArrow(_summaries(k), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "summaries"
+        docs.mapInArrow(_summaries(k), SUMMARY), "summaries"
     )
-    rows = summaries.where("block is null").drop("block", "counts")
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
-    sets = written(sets, "distinct-sets")
+    rows = summaries.where("block is null").select("doc_id", "n", "f1", "f2", "bitmap")
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n")
+    sets = written(sets.agg(F.min("doc_id").alias("id"), F.min("bitmap").alias("bitmap")), "distinct-sets")
     place, frequent = bucket_order(summaries)
     keys = (sets.agg(F.sum("n")).first()[0] or 0) // 3
     bits = max(0, (keys // KEYS_PER_BUCKET).bit_length())
@@ -259,38 +304,40 @@ def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     stars = stars.join(named("a"), "a").join(named("b"), "b")
     stars = written(stars.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_n", "b_n"), "stars")
 
-    compared = _verified(stars.where(_sizes_fit("a_n", "b_n")).select("a", "b"), docs, k)
-    stars = written(stars.join(compared, ["a", "b"], "left"), "compared")
     union = F.expr("a_n + b_n - shared")
     linked = F.col("shared") * 100 >= union * PERCENT
+    stars = _compared(stars, sets, docs, k)
     near = stars.where(linked).select("a", "b")
     groups = components(near)
 
-    # Members of one star that are in different components, and not by the star's own comparisons known to be far.
+    # Members of one star that are in different components. Distances obey the triangle inequality, so the
+    # star's own comparisons (exact, or bounded from below by bitmap or size) tell some of them to be far apart.
     of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
     members = stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
     group_of = lambda side: F.coalesce(f"{side}_group", side)
+    exact = 1 - F.col("shared") / union
     members = members.select(
         "a",
         F.col("b").alias("id"),
         F.col("b_n").alias("n"),
         group_of("b").alias("group"),
         (group_of("a") != group_of("b")).alias("apart"),
-        (1 - F.col("shared") / union).alias("far"),
+        F.coalesce(exact, F.expr("2 * least / (a_n + b_n + least)"), F.expr("1 - least(a_n, b_n) / greatest(a_n, b_n)")).alias("low"),
+        F.coalesce(exact, F.lit(1.0)).alias("high"),
     )
     members = written(members, "members")
-    outside = members.where("apart").select("a", *(F.col(c).alias(f"{c}_1") for c in ("id", "n", "group", "far")))
+    outside = members.where("apart").select("a", *(F.col(c).alias(f"{c}_1") for c in ("id", "n", "group", "low", "high")))
     across = outside.join(members, "a").where("`group` <> group_1").where(_sizes_fit("n", "n_1"))
-    within = (100 - PERCENT) / 100 + 1e-9  # distances obey the triangle inequality
-    across = across.where(F.coalesce(F.abs(F.col("far") - F.col("far_1")) <= within, F.lit(True)))
+    within = (100 - PERCENT) / 100 + 1e-9
+    across = across.where(F.greatest(F.expr("low - high_1"), F.expr("low_1 - high")) <= within)
     pair = [F.least("id", "id_1").alias("a"), F.greatest("id", "id_1").alias("b")]
     sizes = [F.when(F.col("id") < F.col("id_1"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("n", "n_1", "a_n"), ("n_1", "n", "b_n"))]
     across = written(across.select(*pair, *sizes).distinct(), "across")
-    later = _verified(across.select("a", "b"), docs, k).join(across, ["a", "b"]).where(linked).select("a", "b")
+    later = _compared(across, sets, docs, k).where(linked).select("a", "b")
     groups = components(near.unionByName(later))
 
     sets = sets.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     sets = sets.select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
-    found = rows.join(sets, ["f1", "f2", "n"], "left")
+    found = rows.drop("bitmap").join(sets, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
