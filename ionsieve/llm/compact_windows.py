@@ -30,7 +30,9 @@ FUNCTIONS = 4
 ENOUGH = 2  # functions that must agree on a stretch
 SLACK = 8  # tokens by which insertions may move a passage
 # Windows and collisions per task that compares them.
-PER_BUCKET = 1 << 18
+PER_BUCKET = 1 << 17
+# Windows that a task gathers before it hands them on.
+PER_FLUSH = 1 << 18
 # Stretches are broadcast up to so many (two places each), and joined by a shuffle of the texts beyond.
 BROADCAST_STRETCHES = 1 << 20
 # Stretches of one document that are cut out in one go.
@@ -132,9 +134,9 @@ def _windows(size: int, functions: int, bits: int) -> Callable:
                     for name, x in (("left", left), ("at", at), ("right", right)):
                         found[name] = x - first[text]
                     held.append(found)
-            if sum(map(len, held)) > 1 << 20:
-                yield packed()
-                held = []
+                if sum(map(len, held)) > PER_FLUSH:
+                    yield packed()
+                    held = []
         if held:
             yield packed()
 
@@ -223,17 +225,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc, begin, end, tokens) for the stretches (a list of begins, one of ends) of each text."""
     for batch in batches:
         ids, begins, ends = (batch.column(k).to_pylist() for k in (0, 2, 3))
-        rows = []
         for row, hashes, first in _tokens(*text_bytes(batch.column(1))):
+            rows = []
             for k in range(len(first) - 1):
                 tokens = hashes[first[k] : first[k + 1]]
                 for begin, end in zip(begins[row + k], ends[row + k]):
                     rows.append((ids[row + k], begin, end, tokens[begin:end].tobytes()))
-        columns = list(zip(*rows)) or [[]] * 4
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "begin", "end", "tokens"]
-        )
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "begin", "end", "tokens"])
 
 
 # What a miss takes off the score of a run, in which a hit counts 1. With the first, both runs of a pair that
