@@ -81,6 +81,11 @@ class Items:
                 continue
             fingerprint = _packed(_sums(sequence, self.weights(sequence))[-1:])[0]
             self.lengths.setdefault(length, []).append(Item(item_id, shingles, self.weights(shingles), fingerprint))
+        # The lengths of the items that hold a shingle: only windows of these lengths can match because of it.
+        pairs = [(h, length) for length, items in self.lengths.items() for x in items for h in x.shingles.tolist()]
+        self.lengths_of: dict[int, set[int]] = {}
+        for h, length in pairs:
+            self.lengths_of.setdefault(h, set()).add(length)
         for length, items in self.lengths.items():
             tables: list[dict[int, list[int]]] = [{} for _ in range(RADIUS + 1)]
             for place, values in enumerate(blocks_of(np.array([x.fingerprint for x in items], np.uint64)).tolist()):
@@ -131,11 +136,15 @@ class Items:
     def _leaks_in(self, hashes: np.ndarray, seeds: np.ndarray, begin: int, n_words: int, best: dict) -> None:
         sums = _sums(hashes, self.weights(hashes))
         last = min(STRETCH, len(hashes))
-        for length in self.lengths:
+        by_length: dict[int, list[int]] = {}
+        for seed, h in zip(seeds.tolist(), hashes[seeds].tolist()):
+            for length in self.lengths_of[h]:
+                by_length.setdefault(length, []).append(seed)
+        for length, places in by_length.items():
             size = max(1, length - self.k + 1)
-            mark = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(mark, np.maximum(seeds - size + 1, 0), 1)
-            np.add.at(mark, seeds + 1, -1)
+            mark, own = np.zeros(len(hashes) + 1, np.int64), np.array(places)
+            np.add.at(mark, np.maximum(own - size + 1, 0), 1)
+            np.add.at(mark, own + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark)[:last] > 0)
             # No window goes beyond the end, but a document shorter than the item is one window.
             starts = starts[starts + begin <= max(0, n_words - length)]
