@@ -23,6 +23,8 @@ RUN_ROWS = 2048  # documents that are put in order in one window
 SEED = 20
 # Source totals are broadcast up to so many rows (three numbers and a name each), and joined beyond.
 BROADCAST_SOURCES = 20_000
+# Pieces (four numbers each) likewise.
+BROADCAST_PIECES = 1 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,10 +121,11 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     return nodes
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, source, size: one row for each row of `docs`, written once."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return written(rows.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
+def sized(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """row_id, doc_id, source, size: one row for each row of `docs`, written once. `key` names a column of unique numbers."""
+    row_id = F.col(key) if key else F.monotonically_increasing_id()
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_id.alias("row_id"))
+    return written(rows, "sizes")
 
 
 def streams(sizes: DataFrame, sources: DataFrame, repeat: int = REPEAT, seed: int = SEED) -> DataFrame:
@@ -155,6 +158,7 @@ def mix_pieces(
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
+    key: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes, sources, pieces). A piece is words first_word to last_word (from 0, end exclusive) of a row.
 
@@ -162,7 +166,7 @@ def mix_pieces(
     in no piece; null sources form one source, the last; null and equal doc_ids are ordinary rows. An empty
     table gives no pieces. Other columns are ignored.
     """
-    sizes = sized(docs)
+    sizes = sized(docs, key)
     sources = written(source_targets(sizes, weights, share, repeat), "sources")
     blocks = F.ceil(F.floor(F.col("target") + 0.5) / block_words).cast("long")
     small = sources.agg(F.count("*"), F.sum(blocks)).first()
@@ -207,3 +211,32 @@ def taken_words(docs: DataFrame) -> DataFrame:
     taken = pieces.groupBy("row_id").agg(F.sum(F.expr("last_word - first_word")).alias("taken"))
     rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).join(taken, "row_id", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def cut_words(text: Column, first: Column, last: Column) -> Column:
+    """Words first to last (from 0, end exclusive) of a text, with the white space between them as it is."""
+    starts = F.regexp_replace(text, rf"({WORD})", "\u0000$1")  # a mark before every word
+    parts = F.split(starts, "\u0000")
+    return F.rtrim(F.array_join(F.slice(parts, (first + 2).cast("int"), (last - first).cast("int")), ""))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as rows with the columns of `docs`, a row for each turn that takes some of a document.
+
+    Whole documents keep their text as it is. Where a quota ends inside a document, its text is cut there.
+    """
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    docs, columns = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), docs.columns
+    sizes, _, pieces = mix_pieces(docs, key=key)
+    # Where only shards part a document, its pieces are neighbours; joined again they are one text.
+    taken = pieces.groupBy("row_id", "turn").agg(F.min("first_word").alias("first"), F.max("last_word").alias("last"))
+    taken = taken.join(sizes.select("row_id", "size"), "row_id")
+    taken = written(taken.select(F.col("row_id").alias(key), F.struct("first", "last", "size").alias("_piece")), "taken")
+    if taken.count() <= BROADCAST_PIECES:
+        taken = F.broadcast(taken)
+    found = docs.join(taken, key)
+    whole = (F.col("_piece.first") == 0) & (F.col("_piece.last") == F.col("_piece.size"))
+    cut = F.when(whole, F.col("text")).otherwise(cut_words(F.col("text"), F.col("_piece.first"), F.col("_piece.last")))
+    return found.withColumn("text", cut).select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, decontamination, mixing, ngram_join, quality, secrets, token_output, url_templates
+from . import compact_windows, decontamination, mixing, ngram_join, page_text, quality, secrets, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op4_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_output.read_documents(token_output.write_sequences(docs, public_tokenizers.path(TOKENIZER)))
@@ -50,6 +54,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_suffix_text": op1_host_suffix_text,
     "op2_novel_secrets": op2_novel_secrets,
     "op4_arrow_token_files": op4_arrow_token_files,
     "op5_shingle_components": op5_shingle_components,
