@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, decontamination, mixing, ngram_join, page_text, quality, secrets, token_output, url_templates
+from . import compact_windows, decontamination, mixing, neighbour_graph, ngram_join, page_text, quality, secrets, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,11 @@ def op1_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op3_descent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbour_graph.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op4_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_output.read_documents(token_output.write_sequences(docs, public_tokenizers.path(TOKENIZER)))
@@ -56,6 +61,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_suffix_text": op1_host_suffix_text,
     "op2_novel_secrets": op2_novel_secrets,
+    "op3_descent_neighbours": op3_descent_neighbours,
     "op4_arrow_token_files": op4_arrow_token_files,
     "op5_shingle_components": op5_shingle_components,
     "op6_benchmark_leaks": op6_benchmark_leaks,
