@@ -1,6 +1,7 @@
 """An exact Jaccard join on word shingles, by prefixes of token combinations.
 
-Tokens (shingles) are ordered from rare to frequent. A document with n tokens can miss at most a quarter of
+Tokens (shingles) are ordered from rare to frequent: by the number of documents in which chance would put their words
+side by side, from the counts of all words; tokens that are counted far more often than others come last. A document with n tokens can miss at most a quarter of
 them in a partner, so a prefix that covers a quarter and one more must share something with it. Rare tokens of the
 prefix are indexed one by one. Frequent tokens fall into groups by hash; there only pairs of tokens of one group are
 indexed, and the prefix is longer to make up for it: c tokens of a group cover c - 1. Whatever two linked documents
@@ -17,6 +18,7 @@ fall on i. Bits that differ count tokens that are in one set only, so this bound
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,17 +28,21 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import written
-from .words import mix, shingles_of, slices, text_bytes, words_of
+from .words import Shingles, Words, mix, shingles_of, slices, text_bytes, words_of
 
 SHINGLE = 5
 # 100 * intersection >= 75 * union.
 PERCENT = 75
 
-# Document frequencies are counted in so many hashed buckets: a table of fixed size, whatever the input.
-BUCKET_BITS = 16
-COUNT_BLOCK = 1024
-# A bucket is frequent if it holds so many square roots more than the mean.
-FREQUENT = 8.0
+# Words and tokens are counted in so many hashed buckets each: tables of fixed size, whatever the input.
+WORD_BUCKETS = 1 << 16
+TOKEN_BUCKETS = 1 << 20
+COUNT_BLOCK = 1 << 16
+# A bucket of tokens is frequent if it holds so many square roots more than the mean.
+CROWDED = 6.0
+# A token is frequent if chance alone makes it so often.
+EXPECTED = 0.05
+LEVELS_PER_E = 4  # steps of the order per factor e
 # Index keys per task that looks for equal ones.
 KEYS_PER_BUCKET = 1 << 19
 # Ids are broadcast up to so many rows (8 bytes each), and joined by a shuffle beyond.
@@ -46,14 +52,55 @@ SALTS = 64
 _SIGNED = np.int64
 
 
+def _shingled(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[Words, Shingles]]:
+    for a, b in slices(offsets):
+        words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield words, shingles_of(words, k)
+
+
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    bounds = first.tolist()
+    for x, y in zip(bounds, bounds[1:]):
+        tokens = np.sort(hashes[x:y])
+        yield tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if y - x > 1 else tokens
+
+
 def token_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterator[np.ndarray]:
     """Each text's distinct shingles, as sorted hashes."""
-    for a, b in slices(offsets):
-        found = shingles_of(words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k)
-        first = found.first.tolist()
-        for x, y in zip(first, first[1:]):
-            tokens = np.sort(found.hashes[x:y])
-            yield tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if y - x > 1 else tokens
+    for _, found in _shingled(data, offsets, k):
+        yield from _distinct(found.hashes, found.first)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes & np.uint64(buckets - 1)).astype(np.int64)
+
+
+class Order(NamedTuple):
+    """What the global order of tokens is made of: tables over hashed buckets."""
+
+    log_share: np.ndarray  # of words, by bucket
+    crowded: np.ndarray  # whether a bucket of tokens is
+    log_total: float  # of words
+
+    @property
+    def frequent_from(self) -> np.uint64:
+        return np.uint64(self._level(np.log(EXPECTED))) << np.uint64(56)
+
+    @staticmethod
+    def _level(log_expected: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((log_expected + 40) * LEVELS_PER_E), 0, 254)
+
+    def ordered(self, words: Words, found: Shingles, k: int) -> np.ndarray:
+        """The shingles with their place in the order in front: 8 bits of level, then 56 bits of hash."""
+        share = self.log_share[_bucket(words.hashes, WORD_BUCKETS)]
+        sums = np.concatenate([[0.0], np.cumsum(share)])
+        texts = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
+        begin = words.first[texts] + np.arange(len(texts)) - found.first[texts]
+        end = np.minimum(begin + k, words.first[texts + 1])
+        # Sums in another order may differ in the last digits; rounded before they become levels.
+        level = self._level(np.round(sums[end] - sums[begin], 4) + self.log_total)
+        level[self.crowded[_bucket(found.hashes, TOKEN_BUCKETS)]] = 255
+        return (level.astype(np.uint64) << np.uint64(56)) | (found.hashes >> np.uint64(8))
 
 
 def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -84,17 +131,20 @@ def _summaries(k: int) -> Callable:
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "f1", "f2", "bitmap", "block", "counts"]
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        of_words, of_tokens = np.zeros(WORD_BUCKETS, np.int64), np.zeros(TOKEN_BUCKETS, np.int64)
         for batch in batches:
             rows, bitmaps = [], []
-            for tokens in token_sets(*text_bytes(batch.column(1)), k):
-                rows.append((len(tokens), *_fingerprint(tokens)))
-                bitmaps.append(parity_bitmap(tokens))
-                counts += np.bincount((tokens & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+            for words, found in _shingled(*text_bytes(batch.column(1)), k):
+                np.add.at(of_words, _bucket(words.hashes, WORD_BUCKETS), 1)
+                sets = list(_distinct(found.hashes, found.first))
+                rows += [(len(tokens), *_fingerprint(tokens)) for tokens in sets]
+                bitmaps += map(parity_bitmap, sets)
+                np.add.at(of_tokens, _bucket(np.concatenate(sets), TOKEN_BUCKETS), 1)
             n, f1, f2 = np.array(rows, _SIGNED).reshape(-1, 3).T
             nothing = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
             columns = [batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), pa.array(bitmaps, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *nothing], names=names)
+        counts = np.concatenate([of_words, of_tokens]).astype(np.int32)
         blobs = [x.tobytes() for x in counts.reshape(-1, COUNT_BLOCK)]
         empty = [*[pa.nulls(len(blobs), pa.int64())] * 4, pa.nulls(len(blobs), pa.binary())]
         yield pa.RecordBatch.from_arrays(
@@ -105,22 +155,20 @@ def _summaries(k: int) -> Callable:
 
 
 def _add_counts(block: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in block["counts"])
+    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in block["counts"])
     return pd.DataFrame({"block": block["block"][:1], "counts": [total.tobytes()]})
 
 
-def bucket_order(summaries: DataFrame) -> tuple[np.ndarray, int]:
-    """Each bucket's place from rare to frequent, and the place at which the frequent ones begin."""
+def token_order(summaries: DataFrame) -> Order:
     blocks = summaries.where("block is not null").select("block", "counts")
     sums = blocks.groupBy("block").applyInPandas(_add_counts, "block int, counts binary").collect()
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts = np.zeros(WORD_BUCKETS + TOKEN_BUCKETS, np.int64)
     for row in sums:
         counts[row.block * COUNT_BLOCK : (row.block + 1) * COUNT_BLOCK] = np.frombuffer(row.counts, np.int64)
-    order = np.argsort(counts, kind="stable")
-    place = np.empty(len(counts), np.uint64)
-    place[order] = np.arange(len(counts), dtype=np.uint64)
-    mean = counts.mean()
-    return place, int(np.searchsorted(counts[order], mean + FREQUENT * np.sqrt(mean) + 1, side="right"))
+    words, tokens = np.split(counts, [WORD_BUCKETS])
+    total = max(1, words.sum())
+    mean = tokens.mean()
+    return Order(np.log(np.maximum(words, 1) / total), tokens > mean + CROWDED * np.sqrt(mean) + 1, float(np.log(total)))
 
 
 def _levels(n: int) -> set[int]:
@@ -155,9 +203,9 @@ def prefix_keys(ordered: np.ndarray, frequent_from: np.uint64) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _index(place: np.ndarray, frequent: int, bits: int, k: int) -> Callable:
+def _index(order_: Order, bits: int, k: int) -> Callable:
     """Rows (bucket, keys, owners): packed index keys and the fingerprints of the sets that have them."""
-    frequent_from = np.uint64(frequent << (64 - BUCKET_BITS)) if frequent < 1 << BUCKET_BITS else np.uint64(2**64 - 1)
+    frequent_from = order_.frequent_from
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -183,19 +231,19 @@ def _index(place: np.ndarray, frequent: int, bits: int, k: int) -> Callable:
 
         held = 0
         for batch in batches:
-            for tokens in token_sets(*text_bytes(batch.column(1)), k):
-                if len(tokens) < 2:  # one token: only an equal set is near
-                    continue
-                owner = _fingerprint(tokens)[0]
-                if owner in seen:  # a copy; those in other tasks add equal rows
-                    continue
-                seen.add(owner)
-                places = place[(tokens & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)]
-                ordered = np.sort((places << np.uint64(64 - BUCKET_BITS)) | (tokens >> np.uint64(BUCKET_BITS)))
-                keys.append(prefix_keys(ordered, frequent_from))
-                owners.append(owner)
-                held += len(keys[-1])
-                if held > 1 << 21:
+            for words, found in _shingled(*text_bytes(batch.column(1)), k):
+                sets = zip(_distinct(found.hashes, found.first), _distinct(order_.ordered(words, found, k), found.first))
+                for tokens, ordered in sets:
+                    if len(tokens) < 2:  # one token: only an equal set is near
+                        continue
+                    owner = _fingerprint(tokens)[0]
+                    if owner in seen:  # a copy; those in other tasks add equal rows
+                        continue
+                    seen.add(owner)
+                    keys.append(prefix_keys(ordered, frequent_from))
+                    owners.append(owner)
+                    held += len(keys[-1])
+                if held > 1 << 20:
                     yield packed()
                     keys, owners, held, seen = [], [], 0, set()
         if keys:
@@ -256,17 +304,17 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """`pairs` (a, b, a_n, b_n, ...) with `least`, a lower bound of the tokens in one set only, and `shared`.
-
-    `shared` is null where the sizes or the bitmaps show that the pair does not link; elsewhere it comes
-    from the whole sets.
-    """
+def _with_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """`pairs` (a, b, a_n, b_n, ...) with `least`: a lower bound of the tokens in one set only, null if the sizes do not fit."""
     maps = lambda side: sets.select(F.col("id").alias(side), F.col("bitmap").alias(f"{side}_map"))
     near = pairs.where(_sizes_fit("a_n", "b_n"))
     near = near.select("a", "b").join(maps("a"), "a").join(maps("b"), "b").select("a", "b", "a_map", "b_map")
     bounds = written(near.mapInArrow(_differences, "a long, b long, least long"), "bounds")
-    pairs = pairs.join(bounds, ["a", "b"], "left")
+    return pairs.join(bounds, ["a", "b"], "left")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """`pairs` with `shared`, from the whole sets; null where `least` is null or shows that the pair does not link."""
     # Jaccard similarity is (sizes - difference) / (sizes + difference), with both sizes added.
     sizes = F.expr("a_n + b_n")
     open_ = pairs.where((sizes - F.col("least")) * 100 >= (sizes + F.col("least")) * PERCENT).select("a", "b")
@@ -279,6 +327,89 @@ def _compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> Dat
     return written(pairs.join(exact, ["a", "b"], "left"), "compared")
 
 
+_UNION = "(a_n + b_n - shared)"
+_LINKED = f"shared * 100 >= {_UNION} * {PERCENT}"
+# The distance of a compared pair: exact, or bounded from below by bitmap or size.
+_LOW = f"coalesce(1 - shared / {_UNION}, 2 * least / (a_n + b_n + least), 1 - least(a_n, b_n) / greatest(a_n, b_n))"
+_HIGH = f"coalesce(1 - shared / {_UNION}, 1D)"
+_WITHIN = (100 - PERCENT) / 100 + 1e-9
+
+
+def _members(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, id, n, group, apart (not in the group of a), low, high: the members of stars that have some apart, a itself not."""
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
+    members = stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    group_of = lambda side: F.coalesce(f"{side}_group", side)
+    apart = group_of("a") != group_of("b")
+    members = members.select(
+        "a", F.col("b").alias("id"), F.col("b_n").alias("n"), group_of("b").alias("group"), apart.alias("apart"),
+        F.expr(_LOW).alias("low"), F.expr(_HIGH).alias("high"),
+    )
+    return members.join(members.where("apart").select("a").distinct(), "a", "left_semi")
+
+
+def _second_stars(members: DataFrame, chosen: Column) -> DataFrame:
+    """Pairs (a, b, a_n, b_n) of one member of each star, the nearest `chosen` one, with the members outside its group."""
+    centre = F.min(F.when(chosen, F.struct("high", "id", "n", "group", "low"))).alias("c")
+    pairs = members.join(members.groupBy("a").agg(centre).where("c is not null"), "a").where("`group` <> c.group")
+    pairs = pairs.where(F.greatest(F.expr("low - c.high"), F.expr("c.low - high")) <= _WITHIN)
+    pairs = pairs.select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("a_n"), F.col("n").alias("b_n"))
+    return pairs.where(_sizes_fit("a_n", "b_n")).distinct()
+
+
+# Members that are held against others at once.
+ACROSS = 2000
+ACROSS_BUCKETS_ROWS = 1 << 15
+
+
+def _across(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a member apart (side 0) and another (side 1) of one part of a star that sizes, distances and bitmaps allow."""
+    found = []
+    for _, part in rows.groupby(["a", "i", "j"], sort=False):
+        side = part["side"].to_numpy()
+        x, y = part[side == 0], part[side == 1]
+        if not len(x) or not len(y):
+            continue
+        ids, n, group, low, high = (y[c].to_numpy() for c in ("id", "n", "group", "low", "high"))
+        maps = y["bitmap"].tolist()
+        lengths = np.array([len(m) for m in maps])
+        folded: dict[int, np.ndarray] = {}  # all bitmaps of at least a length, folded to it
+
+        def at_length(size: int) -> np.ndarray:
+            if size not in folded:
+                fold = lambda m: np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0)
+                folded[size] = np.array([fold(m) if len(m) >= size else np.zeros(size, np.uint8) for m in maps])
+            return folded[size]
+
+        for xid, xn, xgroup, xlow, xhigh, xmap in zip(*(x[c].tolist() for c in ("id", "n", "group", "low", "high", "bitmap"))):
+            ok = (group != xgroup) & (np.minimum(n, xn) * 100 >= np.maximum(n, xn) * PERCENT)
+            ok &= np.maximum(low - xhigh, xlow - high) <= _WITHIN
+            for size in np.unique(np.minimum(lengths[ok], len(xmap))).tolist():
+                at = np.flatnonzero(ok & (np.minimum(lengths, len(xmap)) == size))
+                own = np.bitwise_xor.reduce(np.frombuffer(xmap, np.uint8).reshape(-1, size), axis=0)
+                least = np.bitwise_count(at_length(size)[at] ^ own).sum(axis=1, dtype=np.int64)
+                both = n[at] + xn
+                near = (both - least) * 100 >= (both + least) * PERCENT
+                for k, bound in zip(at[near].tolist(), least[near].tolist()):
+                    pair = sorted([(xid, xn), (int(ids[k]), int(n[k]))])
+                    found.append((pair[0][0], pair[1][0], pair[0][1], pair[1][1], bound))
+    return pd.DataFrame(sorted(set(found)), columns=["a", "b", "a_n", "b_n", "least"]).astype("int64")
+
+
+def _across_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """What is left between the groups of each star: (a, b, a_n, b_n, least), large stars in parts of ACROSS members."""
+    members = members.join(sets.select("id", "bitmap"), "id")
+    counts = members.groupBy("a").agg(F.ceil(F.count("*") / ACROSS).alias("parts"))
+    members = members.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    columns = ["a", "id", "n", "group", "low", "high", "bitmap"]
+    left = members.where("apart").select(*columns, F.lit(0).alias("side"), F.col("part").alias("i"), others.alias("j"))
+    right = members.select(*columns, F.lit(1).alias("side"), others.alias("i"), F.col("part").alias("j"))
+    buckets = members.count() // ACROSS_BUCKETS_ROWS + 1
+    both = left.unionByName(right).groupBy(F.pmod(F.xxhash64("a", "i", "j"), F.lit(buckets * 8)))
+    return both.applyInPandas(_across, "a long, b long, a_n long, b_n long, least long").distinct()
+
+
 def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of `docs` (doc_id, text).
 
@@ -295,46 +426,28 @@ def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     rows = summaries.where("block is null").select("doc_id", "n", "f1", "f2", "bitmap")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n")
     sets = written(sets.agg(F.min("doc_id").alias("id"), F.min("bitmap").alias("bitmap")), "distinct-sets")
-    place, frequent = bucket_order(summaries)
+    order = token_order(summaries)
     keys = (sets.agg(F.sum("n")).first()[0] or 0) // 3
     bits = max(0, (keys // KEYS_PER_BUCKET).bit_length())
-    index = docs.where("doc_id is not null").mapInArrow(_index(place, frequent, bits, k), "bucket long, keys binary, owners binary")
+    index = docs.where("doc_id is not null").mapInArrow(_index(order, bits, k), "bucket long, keys binary, owners binary")
     stars = index.groupBy("bucket").applyInPandas(_stars, "a long, b long").distinct()
     named = lambda side: sets.select(F.col("f1").alias(side), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"))
     stars = stars.join(named("a"), "a").join(named("b"), "b")
     stars = written(stars.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_n", "b_n"), "stars")
 
-    union = F.expr("a_n + b_n - shared")
-    linked = F.col("shared") * 100 >= union * PERCENT
-    stars = _compared(stars, sets, docs, k)
-    near = stars.where(linked).select("a", "b")
-    groups = components(near)
-
-    # Members of one star that are in different components. Distances obey the triangle inequality, so the
-    # star's own comparisons (exact, or bounded from below by bitmap or size) tell some of them to be far apart.
-    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
-    members = stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    group_of = lambda side: F.coalesce(f"{side}_group", side)
-    exact = 1 - F.col("shared") / union
-    members = members.select(
-        "a",
-        F.col("b").alias("id"),
-        F.col("b_n").alias("n"),
-        group_of("b").alias("group"),
-        (group_of("a") != group_of("b")).alias("apart"),
-        F.coalesce(exact, F.expr("2 * least / (a_n + b_n + least)"), F.expr("1 - least(a_n, b_n) / greatest(a_n, b_n)")).alias("low"),
-        F.coalesce(exact, F.lit(1.0)).alias("high"),
-    )
-    members = written(members, "members")
-    outside = members.where("apart").select("a", *(F.col(c).alias(f"{c}_1") for c in ("id", "n", "group", "low", "high")))
-    across = outside.join(members, "a").where("`group` <> group_1").where(_sizes_fit("n", "n_1"))
-    within = (100 - PERCENT) / 100 + 1e-9
-    across = across.where(F.greatest(F.expr("low - high_1"), F.expr("low_1 - high")) <= within)
-    pair = [F.least("id", "id_1").alias("a"), F.greatest("id", "id_1").alias("b")]
-    sizes = [F.when(F.col("id") < F.col("id_1"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("n", "n_1", "a_n"), ("n_1", "n", "b_n"))]
-    across = written(across.select(*pair, *sizes).distinct(), "across")
-    later = _compared(across, sets, docs, k).where(linked).select("a", "b")
-    groups = components(near.unionByName(later))
+    stars = _compared(_with_bounds(stars, sets), docs, k)
+    linked = stars.where(_LINKED).select("a", "b")
+    groups = components(linked)
+    # A star whose least member is at its rim leaves many apart that one at its middle links.
+    for apart_only in (False, True):
+        members = written(_members(stars, groups), "members")
+        second = written(_second_stars(members, F.col("apart") if apart_only else F.lit(True)), "second")
+        second = _compared(_with_bounds(second, sets), docs, k)
+        linked = linked.unionByName(second.where(_LINKED).select("a", "b"))
+        groups = components(linked)
+    across = written(_across_pairs(written(_members(stars, groups), "members"), sets), "across")
+    linked = linked.unionByName(_compared(across, docs, k).where(_LINKED).select("a", "b"))
+    groups = components(linked)
 
     sets = sets.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     sets = sets.select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
