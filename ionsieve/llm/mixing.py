@@ -226,17 +226,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Whole documents keep their text as it is. Where a quota ends inside a document, its text is cut there.
     """
     key = "_row"
-    while key in docs.columns:
+    while key in map(str.lower, docs.columns):
         key += "_"
     docs, columns = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), docs.columns
     sizes, _, pieces = mix_pieces(docs, key=key)
     # Where only shards part a document, its pieces are neighbours; joined again they are one text.
     taken = pieces.groupBy("row_id", "turn").agg(F.min("first_word").alias("first"), F.max("last_word").alias("last"))
     taken = taken.join(sizes.select("row_id", "size"), "row_id")
-    taken = written(taken.select(F.col("row_id").alias(key), F.struct("first", "last", "size").alias("_piece")), "taken")
+    taken = written(taken.select(F.col("row_id").alias(key), F.struct("first", "last", "size").alias(f"{key}_piece")), "taken")
     if taken.count() <= BROADCAST_PIECES:
         taken = F.broadcast(taken)
     found = docs.join(taken, key)
-    whole = (F.col("_piece.first") == 0) & (F.col("_piece.last") == F.col("_piece.size"))
-    cut = F.when(whole, F.col("text")).otherwise(cut_words(F.col("text"), F.col("_piece.first"), F.col("_piece.last")))
+    whole = (F.col(f"{key}_piece.first") == 0) & (F.col(f"{key}_piece.last") == F.col(f"{key}_piece.size"))
+    cut = F.when(whole, F.col("text")).otherwise(cut_words(F.col("text"), F.col(f"{key}_piece.first"), F.col(f"{key}_piece.last")))
     return found.withColumn("text", cut).select(*columns)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import mix, slices, text_bytes, words_of
 
@@ -138,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[
     return np.frombuffer(bytes(model.odds), np.float32), model.bias
 
 
-def scorer(table: np.ndarray, bias: float) -> Callable:
-    """A task that appends `score` to rows whose last column is the text."""
+def scorer(table: np.ndarray, bias: float, name: str = "score") -> Callable:
+    """A task that puts the score, as column `name`, in the place of the text, the last column."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +154,7 @@ def scorer(table: np.ndarray, bias: float) -> Callable:
                     count += np.diff(first)
                 scores[a:b] = 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"]
+                [*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], name]
             )
 
     return score
@@ -177,9 +178,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of `docs`, all columns, whose text scores at least `accept`."""
-    score = scorer(*fit(docs, labels))
-    with_copy = docs.withColumn("_scored", F.col("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    kept = with_copy.mapInArrow(score, f"{schema}, score double" if "score" not in docs.columns else f"{schema}, _score double")
-    mark = kept.columns[-1]
-    return kept.where(F.col(mark) >= accept).drop(mark)
+    name = "_score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    scored = docs.withColumn(name, F.col("text")).mapInArrow(scorer(*fit(docs, labels), name), schema)
+    return scored.where(F.col(name) >= accept).drop(name)

@@ -104,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     parts = parts.withColumns({"rule": rule, "verdict": verdict})
     paths = written(path_templates(parts), "paths")
     sums = [F.sum("labelled").alias("n"), F.sum("blocked").alias("b")]
-    prior = paths.agg(*sums).select(F.coalesce(F.col("b") / F.col("n"), F.lit(0.0)).alias("prior"))
+    prior = paths.agg(*sums).select(F.coalesce(F.try_divide("b", "n"), F.lit(0.0)).alias("prior"))
     templates = paths.groupBy("host", "template").agg(*sums).crossJoin(F.broadcast(prior))
     purity = (F.col("b") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR)
     learned = F.when((F.col("n") > 0) & (purity >= REJECT_FROM), "block").otherwise("allow")
