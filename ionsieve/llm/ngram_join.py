@@ -348,10 +348,10 @@ def _members(stars: DataFrame, groups: DataFrame) -> DataFrame:
     return members.join(members.where("apart").select("a").distinct(), "a", "left_semi")
 
 
-def _second_stars(members: DataFrame, chosen: Column) -> DataFrame:
-    """Pairs (a, b, a_n, b_n) of one member of each star, the nearest `chosen` one, with the members outside its group."""
-    centre = F.min(F.when(chosen, F.struct("high", "id", "n", "group", "low"))).alias("c")
-    pairs = members.join(members.groupBy("a").agg(centre).where("c is not null"), "a").where("`group` <> c.group")
+def _second_stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_n, b_n) of the member nearest to each star's own with the members outside its group."""
+    centre = F.min(F.struct("high", "id", "n", "group", "low")).alias("c")
+    pairs = members.join(members.groupBy("a").agg(centre), "a").where("`group` <> c.group")
     pairs = pairs.where(F.greatest(F.expr("low - c.high"), F.expr("c.low - high")) <= _WITHIN)
     pairs = pairs.select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("a_n"), F.col("n").alias("b_n"))
     return pairs.where(_sizes_fit("a_n", "b_n")).distinct()
@@ -438,13 +438,11 @@ def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     stars = _compared(_with_bounds(stars, sets), docs, k)
     linked = stars.where(_LINKED).select("a", "b")
     groups = components(linked)
-    # A star whose least member is at its rim leaves many apart that one at its middle links.
-    for apart_only in (False, True):
-        members = written(_members(stars, groups), "members")
-        second = written(_second_stars(members, F.col("apart") if apart_only else F.lit(True)), "second")
-        second = _compared(_with_bounds(second, sets), docs, k)
-        linked = linked.unionByName(second.where(_LINKED).select("a", "b"))
-        groups = components(linked)
+    # A star whose least member is at its rim leaves many apart that the one nearest to it links.
+    second = written(_second_stars(written(_members(stars, groups), "members")), "second")
+    second = _compared(_with_bounds(second, sets), docs, k)
+    linked = linked.unionByName(second.where(_LINKED).select("a", "b"))
+    groups = components(linked)
     across = written(_across_pairs(written(_members(stars, groups), "members"), sets), "across")
     linked = linked.unionByName(_compared(across, docs, k).where(_LINKED).select("a", "b"))
     groups = components(linked)
