@@ -206,7 +206,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, end_word, distance, similarity: the best window of each item in each row of `docs`.
 
     Words count from 0. Null and empty texts have no windows; a document shorter than an item is one window. Null and
-    equal doc_ids are ordinary rows. Other columns are ignored; an empty table on either side gives no rows.
+    equal doc_ids are ordinary rows. An item of fewer words than a shingle says too little inside a longer text; it is
+    found where it is the whole document. Other columns are ignored; an empty table on either side gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = [docs.mapInArrow(_report(items), LEAKS) for items in item_passes(benchmark)]

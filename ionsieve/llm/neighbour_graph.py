@@ -229,15 +229,14 @@ def _block_edges(nodes: DataFrame, d: int, buckets: int, count: int, order: int)
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    edges = np.concatenate([_flat(_records(rows, LISTS, LIST)), _records(rows, EDGES, EDGE)])
-    lone = np.setdiff1d(edges["to"], edges["to"][edges["to"] != edges["of"]])
-    lists = _lists(_best(edges, NEIGHBOURS))
-    if len(lone):
-        empty = np.zeros(len(lone), LIST)
-        empty["id"], empty["of"], empty["score"] = lone, -1, -np.inf
-        lists = np.concatenate([lists, empty])
-    bucket = int(rows["bucket"].iloc[0])
-    return _rows(LISTS, np.full(len(lists), bucket), lists)
+    before, edges = _records(rows, LISTS, LIST), _records(rows, EDGES, EDGE)
+    ids = np.unique(np.concatenate([before["id"], edges["to"]]))
+    lists = _lists(_best(np.concatenate([_flat(before), edges]), NEIGHBOURS))
+    lone = np.setdiff1d(ids, lists["id"])  # nodes without any neighbour keep an empty list
+    empty = np.zeros(len(lone), LIST)
+    empty["id"], empty["of"], empty["score"] = lone, -1, -np.inf
+    lists = np.concatenate([lists, empty])
+    return _rows(LISTS, np.full(len(lists), int(rows["bucket"].iloc[0])), lists)
 
 
 def _sampled(lists: np.ndarray, round_: int, salt: int) -> np.ndarray:
