@@ -44,7 +44,7 @@ CROWDED = 6.0
 EXPECTED = 0.05
 LEVELS_PER_E = 4  # steps of the order per factor e
 # Index keys per task that looks for equal ones.
-KEYS_PER_BUCKET = 1 << 19
+KEYS_PER_BUCKET = 1 << 16
 # Ids are broadcast up to so many rows (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 1 << 20
 SALTS = 64
