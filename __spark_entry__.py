@@ -158,6 +158,10 @@ def suspect_screening(d: Data) -> DataFrame:
     return _screened(d, d.targets)
 
 
+def suspect_screening_rounded(d: Data) -> DataFrame:
+    return screening.suspect_screening(d.peaks, d.manifest, d.targets, min_intensity=HIGH)
+
+
 def suspect_screening_library(d: Data) -> DataFrame:
     return _screened(d, d.library)
 
@@ -245,6 +249,28 @@ def normalize(d: Data) -> DataFrame:
     return _rounded(ratios.drop("target_id", "file_id", "pos"), **rounded)
 
 
+def _ordered_ratios(d: Data) -> DataFrame:
+    """mol_0 against the standard after processing: kept samples in date order."""
+    kept = screening.process_screening_results(d.saved_max, d.metadata)
+    of = lambda name: kept.where(F.col("molecule") == name)
+    return normalize_by_istd(of("mol_0"), of(STANDARD), "mol_0", STANDARD)
+
+
+def normalized_line(d: Data) -> DataFrame:
+    found = frames.intensity_line(_ordered_ratios(d), log_scale=False)
+    columns = ("molecule", "file", "display_name", "date_order", "sample_idx", "tick", "plot_intensity")
+    return _rounded(found.select(*columns), plot_intensity=9)
+
+
+def combined_stripes(d: Data) -> DataFrame:
+    """The maxima and the ratios of one molecule as two stripes."""
+    raw = d.saved_max.where(F.col("molecule") == "mol_0")
+    ratios = normalize_by_istd(raw, d.saved_max.where(F.col("molecule") == STANDARD), "mol_0", STANDARD)
+    found = frames.stripes(combine_molecules(Raw=raw, Normalised=ratios))
+    columns = ("molecule", "molecule_ord", "file", "sample_idx", "plot_intensity", "midpoint")
+    return _rounded(found.select(*columns), plot_intensity=9, midpoint=9)
+
+
 def combine(d: Data) -> DataFrame:
     of = lambda name: d.saved_max.where(F.col("molecule") == name)
     stacked = combine_molecules(First=of("mol_1"), Second=of("mol_2"))
@@ -270,6 +296,27 @@ def _spectrum(mslevel: str) -> Callable[[Data], DataFrame]:
     return query
 
 
+def _given_spectrum(mslevel: str) -> Callable[[Data], DataFrame]:
+    """Spectra at three given times of every chromatogram, the last one without any point near it."""
+
+    def query(d: Data) -> DataFrame:
+        times = F.explode(F.array(F.lit(1.0), F.lit(2.5), F.lit(9.0))).alias("rt")
+        given = d.manifest.select("file_id").crossJoin(d.targets.table.select("target_id")).select("target_id", "file_id", times)
+        windows = apex.apex_window_frame(d.peaks, d.targets, given_rt=given)
+        lines = apex.spectrum_at_apex(d.peaks, d.targets, windows, mslevel)
+        columns = lines.select("molecule", "file", "apex_rt", "mz", "intensity", "base_peak")
+        return _rounded(columns, intensity=2, base_peak=2)
+
+    return query
+
+
+def given_rt_windows(d: Data) -> DataFrame:
+    given = d.manifest.select("file_id").crossJoin(d.targets.table.select("target_id"))
+    given = given.select("target_id", "file_id", F.explode(F.array(F.lit(1.0), F.lit(2.5), F.lit(9.0))).alias("rt"))
+    found = eics.labelled(apex.apex_window_frame(d.peaks, d.targets, given_rt=given), d.targets)
+    return _rounded(found.select("molecule", "file", "apex_rt", "n_near", "rt_tolerance"), rt_tolerance=9)
+
+
 def spectrum_rt_range(d: Data) -> DataFrame:
     lines = eics.spectrum(d.peaks, "2", (1.0, 2.5))
     return _rounded(lines.withColumnRenamed("file_id", "file"), intensity=2)
@@ -288,8 +335,14 @@ def stripes_color_bucket(d: Data) -> DataFrame:
     return frames.stripe_colours(d.saved_max).select("molecule", "file", "bucket")
 
 
+def interactive_stripes(d: Data) -> DataFrame:
+    found = frames.interactive_stripes(d.saved_max, x_labels="date", metadata=d.metadata)
+    columns = ("molecule", "file", "sample_idx", "date_label", "tick", "plot_intensity", "bucket")
+    return _rounded(found.select(*columns), plot_intensity=6)
+
+
 def intensity_line(d: Data) -> DataFrame:
-    ordered = materialize(screening.process_screening_results(d.saved_max, d.metadata))
+    ordered = screening.process_screening_results(d.saved_max, d.metadata)
     found = frames.intensity_line(ordered, x_labels="year", metadata=d.metadata)
     columns = ("molecule", "display_name", "sample_idx", "date_label", "tick", "plot_intensity")
     return _rounded(found.select(*columns), plot_intensity=6)
@@ -299,55 +352,90 @@ def multi_stripes_matrix(d: Data) -> DataFrame:
     return _rounded(frames.multi_stripes(d.saved_max).drop("target_id", "file_id"), plot_intensity=6)
 
 
+# The wide grid's columns are part of the query, as a user gives them.
+WIDE = range(5)
+
+
+def _wide(cells: DataFrame) -> DataFrame:
+    wide = frames.multi_stripes_wide(cells, "target_id", list(WIDE)).drop("file_id")
+    named = wide.withColumnsRenamed({str(i): f"mol_{i}" for i in WIDE})
+    return _rounded(named, **{f"mol_{i}": 6 for i in WIDE})
+
+
 def multi_stripes_wide(d: Data) -> DataFrame:
-    names = [row.molecule for row in d.targets.table.select("molecule").collect()]
-    wide = frames.multi_stripes_wide(frames.multi_stripes(d.saved_max), "molecule", names)
-    return _rounded(wide, **{name: 6 for name in names})
+    return _wide(frames.multi_stripes(d.saved_max))
+
+
+def _kept(d: Data) -> DataFrame:
+    """Cells of field samples with a signal: a grid with holes."""
+    return frames.multi_stripes(filters.with_signal(filters.keep_samples(d.saved_max)))
+
 
+def multi_stripes_wide_processed(d: Data) -> DataFrame:
+    return _wide(_kept(d))
 
-def _profiles(d: Data, of: str) -> DataFrame:
-    return materialize(frames.profiles(frames.multi_stripes(d.saved_max), of))
+
+def _profiles(cells: DataFrame, of: str) -> DataFrame:
+    return materialize(frames.profiles(cells, of))
 
 
 def molecule_distance(d: Data) -> DataFrame:
-    return _rounded(distance.pairwise_distances(_profiles(d, "molecule")), distance=6)
+    return _molecule_distances(d, frames.multi_stripes(d.saved_max))
+
+
+def molecule_distance_processed(d: Data) -> DataFrame:
+    return _molecule_distances(d, _kept(d))
+
+
+def _molecule_distances(d: Data, cells: DataFrame) -> DataFrame:
+    found = distance.pairwise_distances(_profiles(cells, "molecule"))
+    names = lambda i: d.targets.labels.select(F.col("target_id").alias(f"item_{i}"), F.col("molecule").alias(f"name_{i}"))
+    named = found.join(names(1), "item_1").join(names(2), "item_2")
+    return _rounded(named.select(F.col("name_1").alias("item_1"), F.col("name_2").alias("item_2"), "distance"), distance=6)
 
 
 def sample_distance(d: Data) -> DataFrame:
-    return _rounded(distance.pairwise_distances(_profiles(d, "file")), distance=6)
+    return _rounded(distance.pairwise_distances(_profiles(frames.multi_stripes(d.saved_max), "file")), distance=6)
 
 
 def nearest_profile(d: Data) -> DataFrame:
-    return _rounded(distance.nearest_profiles(_profiles(d, "file")), distance=6)
+    return _rounded(distance.nearest_profiles(_profiles(frames.multi_stripes(d.saved_max), "file")), distance=6)
+
+
+def nearest_profile_processed(d: Data) -> DataFrame:
+    return _rounded(distance.nearest_profiles(_profiles(_kept(d), "file")), distance=6)
 
 
 def box_compare_frame(d: Data) -> DataFrame:
-    return _rounded(d.box_values.drop("file_id"), value=6)
+    return _rounded(d.box_values.drop("file_id", "target_id"), value=6)
 
 
 def box_stats(d: Data) -> DataFrame:
     rounded = {name: 6 for name in ("q1", "median", "q3", "whisker_low", "whisker_high")}
-    return _rounded(stats.box_statistics(d.box_values), **rounded)
+    return _rounded(stats.box_statistics(d.box_values).drop("target_id"), **rounded)
 
 
 # Tests between molecules
 
 
+KEYS = ("target_1", "target_2")
+
+
 def wilcoxon_signed_rank_stat(d: Data) -> DataFrame:
-    return stats.signed_rank(d.box_values, d.pairs).drop("p")
+    return stats.signed_rank(d.box_values, d.pairs).drop("p", *KEYS)
 
 
 def rank_sum_stat(d: Data) -> DataFrame:
-    return stats.rank_sum(d.box_values, d.pairs).drop("p")
+    return stats.rank_sum(d.box_values, d.pairs).drop("p", *KEYS)
 
 
 def t_test_paired(d: Data) -> DataFrame:
-    found = stats.paired_t(d.box_values, d.pairs).drop("p")
+    found = stats.paired_t(d.box_values, d.pairs).drop("p", *KEYS)
     return _rounded(found, statistic=6, mean_difference=6)
 
 
 def t_test_welch(d: Data) -> DataFrame:
-    found = stats.welch_t(d.box_values, d.pairs).drop("p")
+    found = stats.welch_t(d.box_values, d.pairs).drop("p", *KEYS)
     return _rounded(found, statistic=6, df=6, mean_1=6, mean_2=6)
 
 
@@ -355,7 +443,7 @@ def pairwise_tests(d: Data) -> DataFrame:
     found = stats.compare(d.box_values, d.pairs)
     for test, paired in (("wilcox.test", False), ("t.test", True), ("t.test", False)):
         found = found.unionByName(stats.compare(d.box_values, d.pairs, test, paired))
-    return found
+    return found.drop(*KEYS)
 
 
 QUERIES: dict[str, Callable[[Data], DataFrame]] = {
@@ -371,6 +459,7 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "eic_faceted": eic_faceted,
     "hits": hits,
     "suspect_screening": suspect_screening,
+    "suspect_screening_rounded": suspect_screening_rounded,
     "suspect_screening_library": suspect_screening_library,
     "detected_compounds": detected_compounds,
     "batch_summary": batch_summary,
@@ -389,19 +478,28 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "run_counters": run_counters,
     "process_screening_results": process_screening_results,
     "normalize_by_istd": normalize,
+    "normalized_line": normalized_line,
     "combine_molecules": combine,
+    "combined_stripes": combined_stripes,
     "apex_rt_tolerance": apex_rt_tolerance,
     "spectrum_at_apex_ms1": _spectrum("1"),
     "spectrum_at_apex_ms2": _spectrum("2"),
+    "given_rt_windows": given_rt_windows,
+    "spectrum_at_given_rt_ms1": _given_spectrum("1"),
+    "spectrum_at_given_rt_ms2": _given_spectrum("2"),
     "spectrum_rt_range": spectrum_rt_range,
     "stripes": stripes,
     "stripes_color_bucket": stripes_color_bucket,
+    "interactive_stripes": interactive_stripes,
     "intensity_line": intensity_line,
     "multi_stripes_matrix": multi_stripes_matrix,
     "multi_stripes_wide": multi_stripes_wide,
+    "multi_stripes_wide_processed": multi_stripes_wide_processed,
     "molecule_distance": molecule_distance,
+    "molecule_distance_processed": molecule_distance_processed,
     "sample_distance": sample_distance,
     "nearest_profile": nearest_profile,
+    "nearest_profile_processed": nearest_profile_processed,
     "box_compare_frame": box_compare_frame,
     "box_stats": box_stats,
     "wilcoxon_signed_rank_stat": wilcoxon_signed_rank_stat,

@@ -49,19 +49,27 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return math.exp(log_front) / a / (1.0 + first / (1.0 + tail))
 
 
+# Counts that a task has worked out; both sizes are below EXACT_BELOW, so there are few.
+_KNOWN: dict[tuple[int, ...], np.ndarray] = {}
+
+
 def signed_rank_counts(n: int) -> np.ndarray:
     """How many sign patterns of ranks 1..n give each positive rank sum."""
+    if (n,) in _KNOWN:
+        return _KNOWN[n,]
     counts = np.ones(1)
     for rank in range(1, n + 1):
         longer = np.zeros(len(counts) + rank)
         longer[: len(counts)] += counts
         longer[rank:] += counts
         counts = longer
-    return counts
+    return _KNOWN.setdefault((n,), counts)
 
 
 def rank_sum_counts(m: int, n: int) -> np.ndarray:
     """How many ways m of m+n ranks give each U = 0..m*n."""
+    if (m, n) in _KNOWN:
+        return _KNOWN[m, n]
     counts = np.zeros(m * n + 1)
     counts[0] = 1.0
     # Gaussian binomial: multiply by (1 - q^(n+k)) and divide by (1 - q^k).
@@ -69,9 +77,11 @@ def rank_sum_counts(m: int, n: int) -> np.ndarray:
         top = n + k
         if top <= m * n:
             counts[top:] -= counts[:-top].copy()
-        for i in range(k, m * n + 1):
-            counts[i] += counts[i - k]
-    return counts
+        # Dividing is a running sum in each class of places that are k apart.
+        padded = np.zeros(-(-len(counts) // k) * k)
+        padded[: len(counts)] = counts
+        counts = np.cumsum(padded.reshape(-1, k), axis=0).ravel()[: m * n + 1]
+    return _KNOWN.setdefault((m, n), counts)
 
 
 def _exact(counts: np.ndarray, statistic: float) -> float:

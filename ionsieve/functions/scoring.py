@@ -55,9 +55,10 @@ def significance_label(p: Column) -> Column:
 
 
 def p_text(p: Column) -> Column:
-    """p-value as printed beside a plot: two significant digits, a floor at 2.2e-16."""
+    """p-value as printed beside a plot: two significant digits without padding zeros, a floor at 2.2e-16."""
+    plain = F.regexp_replace(F.format_string("%.2g", p), r"(\.\d*?)0+$", "$1")
     return (
         F.when(p < 2.2e-16, F.lit("p < 2.2e-16"))
-        .when(p < 1e-4, F.format_string("p = %.1e", p))
-        .when(p.isNotNull(), F.format_string("p = %.2g", p))
+        .when(p < 1e-4, F.concat(F.lit("p = "), F.regexp_replace(F.format_string("%.1e", p), r"\.0e", "e")))
+        .when(p.isNotNull(), F.concat(F.lit("p = "), F.regexp_replace(plain, r"\.$", "")))
     )

@@ -1,11 +1,10 @@
 """Positions, ranks and quantiles over long ordered groups.
 
-A group (all samples of a molecule, say) is ordered by one task only if its
-rows were counted and are few. A longer one is cut into cells that follow the
-order; the few cells of a group get running totals, and rows are ordered inside
-their cell only. A cell depends on the order columns alone and never falls when
-they rise, so positions are exact however well the cells split the group.
+Every group (all samples of a molecule, say) is cut into cells that follow its order. The few cells of a group get
+running totals, and rows are ordered inside their cell only, so no task orders a long group. How many cells a group has
+follows its rows; where they are cut comes from a sample of its own keys. Neither changes any result.
 
+Rows sort like Spark sorts them: nulls first, NaN above all numbers. Null group keys are a group like any other.
 The input is read several times: pass a table or a materialised frame.
 """
 
@@ -16,119 +15,94 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import at_most
+# Rows of a group per cell, about.
+ROWS_PER_CELL = 65_536
 
-# Groups of no more rows than this may be ordered by one task.
-ROWS_IN_ONE_TASK = 500_000
+# Cells of a group at most: a power of two, as cuts are found by halving.
+MOST_CELLS = 4_096
 
-# Resolution of the value cells: this many per doubling of 1 + |value|.
-CELLS_PER_DOUBLING = 64
 
-# Positions per cell when the order is an integer position.
-POSITIONS_PER_CELL = 65_536
+def _cuts(rows: DataFrame) -> DataFrame:
+    """_g, _cuts: per group the sorted keys that begin its second and later cells.
 
-# Cells that text orders are cut into.
-SAMPLED_CELLS = 256
-
-
-def value_cell(value: Column) -> Column:
-    """Cell of a number; never falls when the number rises."""
-    steps = F.floor(F.log2(F.abs(value) + 1) * F.lit(CELLS_PER_DOUBLING))
-    return F.when(value < 0, -steps - 1).otherwise(steps)
-
-
-def position_cell(position: Column) -> Column:
-    return F.floor(position / F.lit(POSITIONS_PER_CELL))
-
-
-def with_sampled_cell(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Add the cell of any sortable columns: how many sampled keys lie at or below.
-
-    The sample takes, from each of `SAMPLED_CELLS` hash classes, the key whose
-    hash is lowest. That is a fair sample, and the same one on every run.
+    Each of MOST_CELLS hash classes gives the key whose hash is lowest, which is a fair sample and the same one on every
+    run; evenly spaced ones of these become cuts. `rows` has the group _g and the order key _k.
     """
-    key = F.struct(*[column.alias(f"k{i}") for i, column in enumerate(order)])
-    hashed = rows.select(key.alias("key"), F.xxhash64(key).alias("hash"))
-    drawn = hashed.groupBy(F.pmod("hash", F.lit(SAMPLED_CELLS))).agg(F.min_by("key", "hash").alias("key"))
-    cuts = drawn.agg(F.collect_list("key").alias("cuts")).scalar()
-    below = F.size(F.filter("_cuts", lambda cut: cut <= key))
-    return rows.withColumn("_cuts", cuts).withColumn(name, below).drop("_cuts")
+    hashed = rows.select("_g", "_k", F.xxhash64("_k").alias("_h"))
+    classes = hashed.groupBy("_g", F.pmod("_h", F.lit(MOST_CELLS)).alias("_class"))
+    classes = classes.agg(F.count("*").alias("_n"), F.min_by("_k", "_h").alias("_k"))
+    groups = classes.groupBy("_g").agg(F.sum("_n").alias("_n"), F.sort_array(F.collect_list("_k")).alias("_keys"))
+    cells = F.least(F.floor(F.col("_n") / F.lit(ROWS_PER_CELL)), F.size("_keys"))
+    stride = F.floor(F.size("_keys") / F.greatest(cells, F.lit(1)))
+    chosen = F.filter("_keys", lambda _, i: (i > 0) & (i % stride == 0))
+    return groups.where(cells > 1).select("_g", F.slice(chosen, 1, MOST_CELLS - 1).alias("_cuts"))
+
+
+def _cell(key: str, cuts: str) -> Column:
+    """How many of the sorted cuts lie at or below the key, found by halving."""
+    steps, step = [], MOST_CELLS // 2
+    while step:
+        steps.append(F.lit(step))
+        step //= 2
+    at = lambda place: F.get(F.col(cuts), place - 1)
+    return F.aggregate(
+        F.array(*steps),
+        F.lit(0),
+        lambda place, s: F.when(
+            (place + s <= F.size(cuts)) & (at(place + s) <= F.col(key)), place + s
+        ).otherwise(place),
+    )
 
 
 def with_running_total(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    weight: Column,
-    cell: Column | None = None,
-    small: bool | None = None,
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column
 ) -> DataFrame:
-    """Add `before` (weight of all earlier rows of the group) and `total`.
-
-    `small` says that no group is longer than one task may order; None counts
-    the rows to find out. Without a `cell` the cells come from sampled keys.
-    """
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    past = lambda window: F.coalesce(
-        F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    """Add `before` (weight of all earlier rows of the group) and `total`."""
+    # A struct of keys is never null itself, and its null fields are equal, so groups join by plain equality. Without
+    # keys, all rows get 0 from a column, which keeps the join an equi join.
+    group = F.struct(*keys) if keys else F.struct(F.pmod(F.xxhash64(*order), F.lit(1)).alias("_"))
+    key = F.struct(*[column.alias(f"k{i}") for i, column in enumerate(order)])
+    rows = rows.withColumns({"_g": group, "_k": key, "_w": weight})
+    rows = rows.join(_cuts(rows), "_g", "left")
+    rows = rows.withColumn("_cell", F.coalesce(_cell("_k", "_cuts"), F.lit(0))).drop("_cuts")
+    past = lambda value, window: F.coalesce(
+        F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    if at_most(rows, ROWS_IN_ONE_TASK) if small is None else small:
-        return rows.withColumns(
-            {"before": past(group.orderBy(*order)), "total": F.sum(weight).over(group)}
-        )
-    if cell is None:
-        rows = with_sampled_cell(rows, order, "_cell")
-    else:
-        rows = rows.withColumn("_cell", cell)
-    cells = rows.groupBy(*keys, "_cell").agg(F.sum(weight).alias("_weight"))
-    earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("_g", "_cell").agg(F.sum("_w").alias("_weight"))
+    whole = Window.partitionBy("_g")
     cells = cells.select(
-        *[F.col(key).alias(f"_{key}") for key in keys],
-        F.col("_cell").alias("_of"),
-        F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_cells_before"),
-        F.sum("_weight").over(group).alias("total"),
+        "_g",
+        "_cell",
+        past("_weight", whole.orderBy("_cell")).alias("_cells_before"),
+        F.sum("_weight").over(whole).alias("total"),
     )
-    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
-    same = F.col("_cell").eqNullSafe(F.col("_of"))
-    for key in keys:
-        same = same & (F.col(key) == F.col(f"_{key}"))
+    inside = Window.partitionBy("_g", "_cell").orderBy("_k")
     return (
-        rows.withColumn("_in_cell", past(inside))
-        .join(cells, same)
+        rows.withColumn("_in_cell", past("_w", inside))
+        .join(cells, ["_g", "_cell"])
         .withColumn("before", F.col("_cells_before") + F.col("_in_cell"))
-        .drop("_cell", "_of", "_cells_before", "_in_cell", *[f"_{key}" for key in keys])
+        .drop("_g", "_k", "_w", "_cell", "_cells_before", "_in_cell")
     )
 
 
 def with_index(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    cell: Column | None = None,
-    small: bool | None = None,
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
     """Add the 1-based position of each row in its group as `name`."""
-    one = F.lit(1).cast("long")
-    placed = with_running_total(rows, keys, order, one, cell, small)
+    placed = with_running_total(rows, keys, order, F.lit(1).cast("long"))
     return placed.withColumn(name, F.col("before") + 1).drop("before", "total")
 
 
-def tied_ranks(
-    rows: DataFrame, keys: Sequence[str], value: str, small: bool | None = None, **extra: Column
-) -> DataFrame:
+def tied_ranks(rows: DataFrame, keys: Sequence[str], value: str, **extra: Column) -> DataFrame:
     """One row per distinct value of each group: count `n`, `before`, `total`, `mid_rank`.
 
     `extra` aggregates are taken per distinct value too. Equal values collapse
     before anything is ordered.
     """
-    if small is None:
-        small = at_most(rows, ROWS_IN_ONE_TASK)
     distinct = rows.groupBy(*keys, value).agg(
         F.count("*").alias("n"), *[column.alias(name) for name, column in extra.items()]
     )
-    order, cell = [F.col(value)], value_cell(F.col(value))
-    ranked = with_running_total(distinct, keys, order, F.col("n"), cell, small)
+    ranked = with_running_total(distinct, keys, [F.col(value)], F.col("n"))
     return ranked.withColumn("mid_rank", F.col("before") + (F.col("n") + 1) / F.lit(2))
 
 
@@ -157,8 +131,9 @@ def evenly_spaced(
     Wanted positions run from the first to the last row in equal steps, rounded
     half to even.
     """
-    order = [F.col(position), F.col(key)]
-    placed = with_index(manifest, [], order, "_at", position_cell(F.col(position)))
+    if samples < 1:
+        raise ValueError("samples must be at least 1")
+    placed = with_index(manifest, [], [F.col(position), F.col(key)], "_at")
     total = F.col("total")
     step = (total - 1) / F.lit(max(samples - 1, 1))
     spread = F.transform(

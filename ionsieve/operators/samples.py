@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -16,18 +16,32 @@ from .ordering import with_index
 UNDATED = 999_999
 
 
-def _dates(metadata: DataFrame) -> DataFrame:
-    """(name, decoded, date) with one row per raw name; `date` is never null."""
-    return latest_metadata(metadata).select(
+def _lookup(metadata: DataFrame) -> DataFrame:
+    """(_kind, _key, _date): dates by raw and by decoded name, one row each; `_date` is never null.
+
+    Raw names that decode alike give the date of the first of them.
+    """
+    decoded = names.url_decoded(F.col("name"))
+    entry = lambda kind, key: F.struct(F.lit(kind).alias("_kind"), key.alias("_key"))
+    both = latest_metadata(metadata).select(
         "name",
-        names.url_decoded(F.col("name")).alias("decoded"),
-        F.struct("year", "month").alias("date"),
+        F.struct("year", "month").alias("_date"),
+        F.explode(F.array(entry("raw", F.col("name")), entry("decoded", decoded))).alias("_entry"),
     )
+    return both.groupBy("_entry._kind", "_entry._key").agg(F.min_by("_date", "name").alias("_date"))
+
 
+def _with_match(samples: DataFrame, metadata: DataFrame, name: str, probes: list[tuple[str, Column]]) -> DataFrame:
+    """Add `_date`: of the first of the `probes` (kind, key) that the metadata knows, null if none.
 
-def _by_decoded(dates: DataFrame, date: str) -> DataFrame:
-    """Lookup on decoded names; raw names that decode alike give the first of them."""
-    return dates.groupBy(F.col("decoded").alias("_key")).agg(F.min_by("date", "name").alias(date))
+    All probes of all distinct names go through one join.
+    """
+    probe = lambda i, kind, key: F.struct(F.lit(i).alias("_step"), F.lit(kind).alias("_kind"), key.alias("_key"))
+    every = F.explode(F.array(*[probe(i, *x) for i, x in enumerate(probes)])).alias("_probe")
+    asked = samples.select(name).distinct().select(F.col(name).alias("_name"), every).select("_name", "_probe.*")
+    found = asked.join(_lookup(metadata), ["_kind", "_key"])
+    first = found.groupBy("_name").agg(F.min_by("_date", "_step").alias("_date"))
+    return samples.join(first, F.col(name) == F.col("_name"), "left").drop("_name")
 
 
 def with_dates(samples: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -37,25 +51,15 @@ def with_dates(samples: DataFrame, metadata: DataFrame) -> DataFrame:
     its decoded name equal to a raw name. A match without a month still counts
     as the match, and leaves the sample undated.
     """
-    dates = _dates(metadata)
-    by_name = dates.select(F.col("name").alias("_key"), F.col("date").alias("_date_1"))
-    by_decoded = _by_decoded(dates, "_date_2")
-    by_raw = dates.select(F.col("name").alias("_key"), F.col("date").alias("_date_3"))
     file, decoded = F.col("file"), names.url_decoded(F.col("file"))
-    found = (
-        samples.withColumn("_key", file)
-        .join(by_name, "_key", "left")
-        .withColumn("_key", decoded)
-        .join(by_decoded, "_key", "left")
-        .join(by_raw, "_key", "left")
-        .withColumn("_date", F.coalesce("_date_1", "_date_2", "_date_3"))
-    )
-    dated = found.withColumn("year", F.col("_date.year")).withColumn("month", F.col("_date.month"))
+    probes = [("raw", file), ("decoded", decoded), ("raw", decoded)]
+    found = _with_match(samples, metadata, "file", probes)
+    dated = found.withColumns({"year": F.col("_date.year"), "month": F.col("_date.month")})
     year, month = F.col("year"), F.col("month")
     return (
         dated.withColumn("date_order", names.date_order(year, month))
         .withColumn("display_name", names.display_name(file, year, month))
-        .drop("_key", "_date", "_date_1", "_date_2", "_date_3")
+        .drop("_date")
     )
 
 
@@ -122,16 +126,8 @@ def with_date_labels(
     """
     if metadata is None:
         return samples.withColumn("date_label", names.date_label(F.col(name)))
-    lookup = _by_decoded(_dates(metadata), "_date_1")
     decoded = names.url_decoded(F.col(name))
-    found = (
-        samples.withColumn("_key", decoded)
-        .join(lookup, "_key", "left")
-        .withColumn("_key", names.without_date_prefix(decoded))
-        .join(lookup.withColumnRenamed("_date_1", "_date_2"), "_key", "left")
-        .withColumn("_date", F.coalesce("_date_1", "_date_2"))
-    )
+    probes = [("decoded", decoded), ("decoded", names.without_date_prefix(decoded))]
+    found = _with_match(samples, metadata, name, probes)
     label = names.month_label(F.col("_date.year"), F.col("_date.month"))
-    return found.withColumn(
-        "date_label", F.coalesce(label, names.date_label(F.col(name)))
-    ).drop("_key", "_date", "_date_1", "_date_2")
+    return found.withColumn("date_label", F.coalesce(label, names.date_label(F.col(name)))).drop("_date")

@@ -25,7 +25,8 @@ def apex_windows(scans: DataFrame, given_rt: DataFrame | None = None) -> DataFra
 
     `scans` are per-scan chromatograms. The window is centred on the apex, or
     on `rt` of `given_rt` (target_id, file_id, rt), and is as wide as the part
-    above half maximum, where enough points allow to measure it.
+    above half maximum, where enough points allow to measure it. Each given time is a
+    window of its own, also without any point near it.
     """
     keys = ["target_id", "file_id"]
     # The join below implies these tests. Stated here they hold for both of its
@@ -35,7 +36,7 @@ def apex_windows(scans: DataFrame, given_rt: DataFrame | None = None) -> DataFra
         earliest_top = F.min_by("rt", F.struct((-F.col("intensity")).alias("high"), F.col("rt")))
         centres = scans.groupBy(*keys).agg(earliest_top.alias("apex_rt"))
     else:
-        centres = given_rt.select(*keys, F.col("rt").alias("apex_rt"))
+        centres = given_rt.select(*keys, F.col("rt").alias("apex_rt")).distinct()
     near = scans.join(centres, keys).where(
         F.col("rt").between(F.col("apex_rt") - NEAR_APEX, F.col("apex_rt") + NEAR_APEX)
     )
@@ -50,7 +51,10 @@ def apex_windows(scans: DataFrame, given_rt: DataFrame | None = None) -> DataFra
     tolerance = F.when(
         (F.col("n_near") > ROWS_TO_MEASURE) & F.col("fwhm").isNotNull(), width
     ).otherwise(F.lit(DEFAULT_TOLERANCE))
-    return measured.select(*keys, "apex_rt", "n_near", tolerance.alias("rt_tolerance"))
+    if given_rt is not None:
+        measured = centres.join(measured, [*keys, "apex_rt"], "left")
+    n_near = F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")
+    return measured.select(*keys, "apex_rt", n_near, tolerance.alias("rt_tolerance"))
 
 
 def spectra_in_windows(peaks: DataFrame, windows: DataFrame, mslevel: str) -> DataFrame:
@@ -62,6 +66,7 @@ def spectra_in_windows(peaks: DataFrame, windows: DataFrame, mslevel: str) -> Da
     bounds = windows.select(
         "target_id",
         "file_id",
+        "apex_rt",
         (F.col("apex_rt") - F.col("rt_tolerance")).alias("lo"),
         (F.col("apex_rt") + F.col("rt_tolerance")).alias("hi"),
     )
@@ -75,8 +80,8 @@ def spectra_in_windows(peaks: DataFrame, windows: DataFrame, mslevel: str) -> Da
         width=RT_BIN,
         on=["file_id"],
         broadcast=few,
-        salts=1,
     )
-    lines = inside.groupBy("target_id", "file_id", "mz").agg(F.sum("intensity").alias("intensity"))
-    base = lines.groupBy("target_id", "file_id").agg(F.max("intensity").alias("base_peak"))
-    return lines.join(base, ["target_id", "file_id"])
+    keys = ["target_id", "file_id", "apex_rt"]
+    lines = inside.groupBy(*keys, "mz").agg(F.sum("intensity").alias("intensity"))
+    base = lines.groupBy(*keys).agg(F.max("intensity").alias("base_peak"))
+    return lines.join(base, keys)

@@ -1,7 +1,7 @@
 """Box statistics and two-sample tests, for any number of molecule pairs at once.
 
-Frames are long: molecule, file_id, value. They are read several times, so
-pass them materialised.
+Frames are long: target_id, molecule, file_id, value. Targets are told apart by target_id; names may repeat.
+Frames are read several times, so pass them materialised.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import rank_sum_p_value, signed_rank_p_value, t_p_value
 from ..functions.scoring import p_text, significance_label
-from ..session import at_most
-from .ordering import ROWS_IN_ONE_TASK, quantiles, tied_ranks, value_cell, with_index
+from .ordering import quantiles, tied_ranks, with_index
 
-PAIR = ["name_1", "name_2"]
+PAIR = ["target_1", "target_2", "name_1", "name_2"]
 
 
 def _ties() -> Column:
@@ -24,27 +23,26 @@ def _ties() -> Column:
 
 
 def all_pairs(molecules: DataFrame, order: str) -> DataFrame:
-    """Every pair of the listed molecules, the earlier one first."""
-    named = molecules.select("molecule", order)
-    placed = with_index(named, [], [F.col(order)], "place", value_cell(F.col(order)))
-    first = placed.select(F.col("molecule").alias("name_1"), "place")
+    """Every pair of the listed targets (target_id, molecule), the earlier one first."""
+    named = molecules.select("target_id", "molecule", F.col(order).alias("_order"))
+    placed = with_index(named, [], [F.col("_order"), F.col("target_id")], "place")
+    side = lambda i: [F.col("target_id").alias(f"target_{i}"), F.col("molecule").alias(f"name_{i}")]
     earlier = F.sequence(F.lit(1).cast("long"), F.col("place") - 1)
-    second = placed.where("place > 1").select(
-        F.col("molecule").alias("name_2"), F.explode(earlier).alias("place")
-    )
-    return first.join(second, "place").select("name_1", "name_2")
+    second = placed.where("place > 1").select(*side(2), F.explode(earlier).alias("place"))
+    return placed.select(*side(1), "place").join(second, "place").select(*PAIR)
 
 
 def box_statistics(values: DataFrame) -> DataFrame:
-    """Quartiles and whiskers per molecule; a whisker ends at the last point
+    """Quartiles and whiskers per target; a whisker ends at the last point
     within 1.5 interquartile ranges of the box."""
-    box = quantiles(values, ["molecule"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    of = ["target_id", "molecule"]
+    box = quantiles(values, of, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     kept = F.when(inside, F.col("value"))
     return (
-        values.join(box, "molecule")
-        .groupBy("molecule", "q1", "median", "q3")
+        values.join(box.drop("molecule"), "target_id")
+        .groupBy(*of, "q1", "median", "q3")
         .agg(
             F.count("value").alias("n"),
             F.min(kept).alias("whisker_low"),
@@ -54,16 +52,10 @@ def box_statistics(values: DataFrame) -> DataFrame:
     )
 
 
-def _short(values: DataFrame) -> bool:
-    """Whether one task may order a pair's rows: at most two per row of `values`."""
-    return at_most(values, ROWS_IN_ONE_TASK // 2)
-
-
 def paired_differences(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """value of name_1 minus value of name_2 in each sample that has both."""
-    first = values.select(F.col("molecule").alias("name_1"), "file_id", F.col("value").alias("x"))
-    second = values.select(F.col("molecule").alias("name_2"), "file_id", F.col("value").alias("y"))
-    both = pairs.join(first, "name_1").join(second, ["name_2", "file_id"])
+    """value of the first target minus value of the second in each sample that has both."""
+    side = lambda i, name: values.select(F.col("target_id").alias(f"target_{i}"), "file_id", F.col("value").alias(name))
+    both = pairs.join(side(1, "x"), "target_1").join(side(2, "y"), ["target_2", "file_id"])
     return both.select(*PAIR, "file_id", (F.col("x") - F.col("y")).alias("d"))
 
 
@@ -79,20 +71,18 @@ def unpaired_samples(values: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _sides(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Values of both molecules of each pair, marked by side."""
-    side = lambda name, mark: pairs.join(
-        values.withColumnRenamed("molecule", name), name
-    ).select(*PAIR, "file_id", "value", F.lit(mark).alias("side"))
-    return side("name_1", 1).unionByName(side("name_2", 2))
+    """Values of both targets of each pair, marked by side."""
+    side = lambda i: pairs.join(
+        values.select(F.col("target_id").alias(f"target_{i}"), "file_id", "value"), f"target_{i}"
+    ).select(*PAIR, "file_id", "value", F.lit(i).alias("side"))
+    return side(1).unionByName(side(2))
 
 
 def signed_rank(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Paired Wilcoxon test: V, number of non-zero differences, zeros, ties, p."""
     differences = paired_differences(values, pairs)
     moved = differences.where("d <> 0").withColumn("size", F.abs("d"))
-    ranked = tied_ranks(
-        moved, PAIR, "size", _short(values), n_up=F.count_if(F.col("d") > 0)
-    )
+    ranked = tied_ranks(moved, PAIR, "size", n_up=F.count_if(F.col("d") > 0))
     positive = ranked.groupBy(*PAIR).agg(
         F.sum(F.col("n_up") * F.col("mid_rank")).alias("statistic"),
         F.sum("n").alias("n"),
@@ -112,13 +102,7 @@ def signed_rank(values: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def rank_sum(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Unpaired Wilcoxon test: W of the first molecule, both sizes, ties, p."""
-    ranked = tied_ranks(
-        _sides(values, pairs),
-        PAIR,
-        "value",
-        _short(values),
-        n_first=F.count_if(F.col("side") == 1),
-    )
+    ranked = tied_ranks(_sides(values, pairs), PAIR, "value", n_first=F.count_if(F.col("side") == 1))
     first = F.sum("n_first")
     counted = ranked.groupBy(*PAIR).agg(
         (F.sum(F.col("n_first") * F.col("mid_rank")) - first * (first + 1) / 2).alias("statistic"),
@@ -142,16 +126,16 @@ def paired_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def welch_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Unpaired t-test without equal variances: t, degrees of freedom, both means, p."""
-    per_molecule = values.groupBy("molecule").agg(
+    per_target = values.groupBy("target_id").agg(
         F.avg("value").alias("mean"),
         (F.var_samp("value") / F.count("value")).alias("error"),
         F.count("value").alias("n"),
     )
-    side = lambda i: per_molecule.select(
-        F.col("molecule").alias(f"name_{i}"),
+    side = lambda i: per_target.select(
+        F.col("target_id").alias(f"target_{i}"),
         *[F.col(name).alias(f"{name}_{i}") for name in ("mean", "error", "n")],
     )
-    both = pairs.join(side(1), "name_1").join(side(2), "name_2")
+    both = pairs.join(side(1), "target_1").join(side(2), "target_2")
     error = F.col("error_1") + F.col("error_2")
     share = lambda i: F.try_divide(F.col(f"error_{i}") * F.col(f"error_{i}"), F.col(f"n_{i}") - 1)
     counted = both.select(

@@ -22,13 +22,15 @@ class Targets:
     """Targets with their mass windows.
 
     `table` has target_id, molecule, target_mz, lo, hi. `scan_ranges` covers
-    every window with a few intervals, for pruning only.
+    every window with a few intervals, for pruning only. `rejected` holds the
+    entries without a mass (target_id, molecule), which nothing can search for.
     """
 
     table: DataFrame
     tolerance: float
     count: int
     scan_ranges: tuple[tuple[float, float], ...]
+    rejected: DataFrame | None = None
 
     @property
     def windows(self) -> DataFrame:
@@ -44,7 +46,7 @@ class Targets:
         return 2 * self.count <= BROADCAST_MAX_ROWS
 
 
-def target_table(molecules: DataFrame, tolerance: float) -> DataFrame:
+def _keyed(molecules: DataFrame) -> DataFrame:
     """Targets from (name, mz) rows, or suspects with an `exact_mass` to search for.
 
     Names may repeat, so each row gets a key. A given `target_id` is kept; else
@@ -59,7 +61,12 @@ def target_table(molecules: DataFrame, tolerance: float) -> DataFrame:
         molecules = molecules.withColumn("_copy", F.row_number().over(same)).withColumn(
             "target_id", F.xxhash64("name", "mz", "_copy")
         )
-    return molecules.where("mz is not null").select(
+    return molecules
+
+
+def target_table(molecules: DataFrame, tolerance: float) -> DataFrame:
+    """The entries that have a mass, with their windows."""
+    return _keyed(molecules).where("mz is not null").select(
         "target_id",
         F.col("name").alias("molecule"),
         F.col("mz").alias("target_mz"),
@@ -71,14 +78,15 @@ def target_table(molecules: DataFrame, tolerance: float) -> DataFrame:
 def prepare_targets(molecules: DataFrame, tolerance: float = 0.01) -> Targets:
     """Check how many targets there are and where their windows lie."""
     table = target_table(molecules, tolerance)
+    rejected = _keyed(molecules).where("mz is null").select("target_id", F.col("name").alias("molecule"))
     listed = table.select("lo", "hi").limit(LISTED + 1).collect()
     if len(listed) <= LISTED:
-        return Targets(table, tolerance, len(listed), merged_ranges(listed, SCAN_RANGES))
+        return Targets(table, tolerance, len(listed), merged_ranges(listed, SCAN_RANGES), rejected)
     span = table.agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
     cell = F.floor((F.col("lo") - F.lit(span.lo)) / F.lit(max(span.hi - span.lo, 1e-9)) * F.lit(SCAN_RANGES))
     cells = table.groupBy(cell).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     ranges = merged_ranges(cells.select("lo", "hi").collect(), SCAN_RANGES)
-    return Targets(table, tolerance, span.n, ranges)
+    return Targets(table, tolerance, span.n, ranges, rejected)
 
 
 def targets_of(spark: SparkSession, molecules: Iterable[tuple[str, float]], tolerance: float = 0.01) -> Targets:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, scoring
 from ..operators import distance
 from ..operators.eic import eic, labelled
-from ..operators.ordering import evenly_spaced, position_cell, quantiles, with_index
+from ..operators.ordering import evenly_spaced, quantiles, with_index
 from ..operators.samples import in_date_order, labelled_frame
 from ..operators.stats import box_statistics, compare
 from ..operators.targets import Targets
@@ -83,9 +83,7 @@ def sample_axis(
     elif "date_order" in max_values.columns:
         placed = in_date_order(max_values, ["target_id"], "sample_idx")
     else:
-        order = [F.col("pos"), F.col("file_id")]
-        cell = position_cell(F.col("pos"))
-        placed = with_index(max_values, ["target_id"], order, "sample_idx", cell)
+        placed = with_index(max_values, ["target_id"], [F.col("pos"), F.col("file_id")], "sample_idx")
     # A frame ordered by date shows, and is labelled by, its display names.
     name = "display_name" if "display_name" in placed.columns else "file"
     if x_labels in ("file", "none"):
@@ -141,38 +139,46 @@ def stripe_colours(max_values: DataFrame, log_scale: bool = True) -> DataFrame:
     return plotted.join(span, "target_id").withColumn("bucket", bucket).drop("_low", "_high")
 
 
+def interactive_stripes(
+    max_values: DataFrame,
+    log_scale: bool = True,
+    x_labels: str = "file",
+    metadata: DataFrame | None = None,
+) -> DataFrame:
+    """One frame for an interactive stripes chart: position, labels, tick, value and colour bucket."""
+    return stripe_colours(sample_axis(max_values, x_labels, metadata), log_scale)
+
+
 def multi_stripes(max_values: DataFrame, log_scale: bool = True) -> DataFrame:
     """Cells of molecule against sample; the same grid feeds the distances."""
     columns = ["target_id", "molecule", "file_id", "file", "plot_intensity"]
     return _plotted(max_values, log_scale).select(*columns)
 
 
-def multi_stripes_wide(cells: DataFrame, across: str, names: list[str]) -> DataFrame:
-    """The grid with one column per listed "file" or "molecule", missing cells 0.
+def multi_stripes_wide(cells: DataFrame, across: str, keys: list) -> DataFrame:
+    """The grid with one column per listed key, missing cells 0: `across` is "target_id" or "file_id".
 
-    Molecules across and samples down suits any number of samples.
+    The rows carry key and name of the other side, so equal names stay apart. Targets across and samples down suits any
+    number of samples.
     """
-    if across not in ("molecule", "file"):
-        raise ValueError("a grid has 'molecule' or 'file' across")
-    down = "file" if across == "molecule" else "molecule"
-    return distance.wide_matrix(cells, down, across, "plot_intensity", names)
+    if across not in ("target_id", "file_id"):
+        raise ValueError("a grid has 'target_id' or 'file_id' across")
+    down = ["file_id", "file"] if across == "target_id" else ["target_id", "molecule"]
+    return distance.wide_matrix(cells, down, across, "plot_intensity", keys)
 
 
 def profiles(cells: DataFrame, of: str) -> DataFrame:
-    """Profiles of the "molecule"s or of the samples ("file") in a grid of cells.
-
-    Molecules that are compared need different names.
-    """
+    """Profiles of the "molecule"s (items: target_id) or of the samples ("file", items: file_id) in a grid of cells."""
     if of not in ("molecule", "file"):
         raise ValueError("profiles are of 'molecule' or 'file'")
-    item, dimension = ("molecule", "file_id") if of == "molecule" else ("file_id", "target_id")
+    item, dimension = ("target_id", "file_id") if of == "molecule" else ("file_id", "target_id")
     return distance.profile_chunks(cells, item, dimension, "plot_intensity")
 
 
 def box_values(max_values: DataFrame, log_scale: bool = True) -> DataFrame:
-    """Values that boxes and tests are made of: molecule, file_id, file, value."""
+    """Values that boxes and tests are made of: target_id, molecule, file_id, file, value."""
     value: Column = scoring.plot_intensity(F.col("max_intensity"), log_scale)
-    return max_values.select("molecule", "file_id", "file", value.alias("value"))
+    return max_values.select("target_id", "molecule", "file_id", "file", value.alias("value"))
 
 
 def box_comparison(

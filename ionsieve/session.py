@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_MAX_ROWS = 200_000
 
 
-def recommended_conf(cores: int) -> dict[str, str]:
-    """Settings for a cluster with `cores` task slots.
+def recommended_conf(cores: int, checkpoint_folder: str, input_bytes: int = 0) -> dict[str, str]:
+    """Settings for a cluster with `cores` task slots and an input of `input_bytes`.
 
-    Shuffles start finely cut and adaptive execution merges small partitions,
-    so one value serves both a small run and a 100 TB one.
+    Shuffles start finely cut, one partition per 128 MB of input and at least
+    four per core; adaptive execution merges small ones. `checkpoint_folder` is
+    one that driver and executors share.
     """
+    partitions = max(8, 4 * cores, input_bytes >> 27)
     return {
+        "spark.checkpoint.dir": checkpoint_folder,
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(8, 4 * cores)),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
         "spark.sql.files.maxPartitionBytes": "256MB",
         "spark.sql.parquet.filterPushdown": "true",
@@ -57,7 +61,7 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="ionsieve-checkpoint-")
         context.setCheckpointDir(folder)

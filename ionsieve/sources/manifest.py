@@ -51,7 +51,8 @@ def manifest_from_folder(spark: SparkSession, folder: str) -> DataFrame:
 def manifest_from_listing(listing: DataFrame) -> DataFrame:
     """Parquet files of a listing (name, path, is_folder, url), one row per path.
 
-    The sample key is `folder/name`; files at the root get the folder ".".
+    The sample key is that of the peaks reader for the file's `url`; without one it is `folder/name`, files at the
+    root having the folder ".". `pos` follows the paths (rising, not dense).
     """
     require_columns(listing, ["name", "path", "is_folder", "url"])
     folder = names.folder_name(F.col("path"))
@@ -59,12 +60,14 @@ def manifest_from_listing(listing: DataFrame) -> DataFrame:
         listing.where(~F.col("is_folder") & names.is_parquet(F.col("name")))
         .dropDuplicates(["path"])
         .select(
-            names.join_path(folder, F.col("name")).alias("file_id"),
+            F.coalesce(names.sample_key(F.col("url")), names.join_path(folder, F.col("name"))).alias("file_id"),
             F.col("name").alias("file"),
             F.trim("path").alias("path"),
             folder.alias("folder"),
             "url",
         )
+        .sort("path")
+        .withColumn("pos", F.monotonically_increasing_id())
     )
 
 

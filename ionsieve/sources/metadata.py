@@ -15,13 +15,19 @@ def as_metadata(table: DataFrame) -> DataFrame:
     """
     require_columns(table, METADATA.fieldNames())
     return table.withColumns(
-        {name: F.expr(f"cast(try_cast({name} as double) as int)") for name in ("year", "month")}
+        {name: F.expr(f"try_cast(try_cast({name} as double) as int)") for name in ("year", "month")}
     )
 
 
 def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata from a CSV file with a header; all columns start as text."""
-    return as_metadata(spark.read.option("header", True).csv(path))
+    """Metadata from a CSV file with a header; all columns start as text.
+
+    `pos` numbers the rows in file order (rising, not dense), unless the file has such a column.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    if "pos" not in rows.columns:
+        rows = rows.withColumn("pos", F.monotonically_increasing_id())
+    return as_metadata(rows)
 
 
 def latest_metadata(metadata: DataFrame) -> DataFrame:

@@ -7,19 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import sample_key, url_decoded
+from ..functions.names import base_name, matches_any, sample_key, url_decoded
 from ..schemas import PEAK_FILE, PEAKS, require_columns
 from .manifest import PARQUET_FILES
 
 
 def read_samples(
-    spark: SparkSession, paths: str | Sequence[str], skip_damaged: bool = False
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    skip_damaged: bool = False,
+    exclude_patterns: Sequence[str] = (),
 ) -> DataFrame:
     """Peaks of one Parquet file per sample, all read as one dataset.
 
     `paths` are files, or folders that are searched to any depth.
 
     `file_id` is the full path (without a scheme for local files), so two files with one base name stay apart.
+    `exclude_patterns` leave out samples whose file name matches; their files are not opened.
     `skip_damaged` reads past unreadable files instead of failing;
     `files_without_peaks` then tells which samples gave nothing.
     """
@@ -29,15 +33,18 @@ def read_samples(
         reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     paths = [paths] if isinstance(paths, str) else list(paths)
     rows = reader.parquet(*paths)
+    if exclude_patterns:
+        rows = rows.where(~matches_any(base_name(url_decoded(F.col("_metadata.file_path"))), exclude_patterns))
     # The metadata path is percent-encoded on top of the real name: decode once.
     file_id = sample_key(url_decoded(F.col("_metadata.file_path")))
     return clean_points(rows.withColumn("file_id", file_id))
 
 
 def clean_points(peaks: DataFrame) -> DataFrame:
-    """Peak columns only, without NaN intensities (NaN would pass any floor)."""
+    """Peak columns only, without NaN numbers (a NaN intensity would pass any floor)."""
     require_columns(peaks, PEAKS.fieldNames())
-    return peaks.where(~F.isnan("intensity")).select(*PEAKS.fieldNames())
+    numbers = ~F.isnan("intensity") & ~F.isnan("mz") & ~F.isnan("rt")
+    return peaks.where(F.coalesce(numbers, F.lit(True))).select(*PEAKS.fieldNames())
 
 
 def write_peaks(peaks: DataFrame, path: str, partitions: int, mode: str = "errorifexists") -> None:

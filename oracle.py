@@ -157,6 +157,32 @@ _PARTS = {
         join box b on b.molecule = p.name_2 and b.file = a.file""",
     "profile": """
         select molecule, file, value from box""",
+    "kept_box": """
+        select b.molecule, b.file, b.value from box b
+        where b.value > 0 and not regexp_matches(b.file, '(?i)(blanc|reference|pool|cal|SST)')""",
+    "kept_profile": """
+        select m.molecule, f.file, coalesce(k.value, 0) as value
+        from (select distinct molecule from kept_box) m, (select distinct file from kept_box) f
+        left join kept_box k on k.molecule = m.molecule and k.file = f.file""",
+    "kept_pair": """
+        select a.file as item_1, b.file as item_2, sqrt(sum((a.value - b.value) * (a.value - b.value))) as distance
+        from kept_profile a join kept_profile b on a.molecule = b.molecule and a.file < b.file
+        group by a.file, b.file""",
+    "given": """
+        select t.target_id, t.name as molecule, f.file, r.rt as apex_rt
+        from manifest f, molecules t, (select unnest([cast(1 as double), cast(2.5 as double), cast(9 as double)]) as rt) r""",
+    "given_near": """
+        select g.*, s.rt, s.intensity, max(s.intensity) over (partition by g.target_id, g.file, g.apex_rt) as top
+        from given g join scans s on s.target_id = g.target_id and s.file = g.file
+         and s.rt between g.apex_rt - 0.5 and g.apex_rt + 0.5""",
+    "given_window": """
+        select g.target_id, g.molecule, g.file, g.apex_rt, count(n.rt) as n_near,
+               case when count(n.rt) > 3 and max(n.rt) filter (n.intensity > n.top / 2) is not null
+                    then greatest(cast(0.05 as double), max(n.rt) filter (n.intensity > n.top / 2)
+                                  - min(n.rt) filter (n.intensity > n.top / 2))
+                    else cast(0.1 as double) end as rt_tolerance
+        from given g left join given_near n using (target_id, file, apex_rt)
+        group by g.target_id, g.molecule, g.file, g.apex_rt""",
     "sample_pair": """
         select a.file as item_1, b.file as item_2, sqrt(sum((a.value - b.value) * (a.value - b.value))) as distance
         from profile a join profile b on a.molecule = b.molecule and a.file < b.file
@@ -187,6 +213,12 @@ _NEEDS = {
     "diff": ["pair", "box"],
     "profile": ["box"],
     "sample_pair": ["profile"],
+    "kept_box": ["box"],
+    "kept_profile": ["kept_box"],
+    "kept_pair": ["kept_profile"],
+    "given": ["manifest", "molecules"],
+    "given_near": ["given", "scans"],
+    "given_window": ["given", "given_near"],
 }
 
 
@@ -268,6 +300,43 @@ def _spectrum(mslevel: str) -> str:
     )
 
 
+def _given_spectrum(mslevel: str) -> str:
+    return _with(
+        ["given_window", "peaks"],
+        f"""
+        , lines as (
+            select w.molecule, w.file, w.apex_rt, p.mz, sum(p.intensity) as intensity
+            from given_window w join peaks p on p.file = w.file
+             and p.rt between w.apex_rt - w.rt_tolerance and w.apex_rt + w.rt_tolerance
+            where p.mslevel = '{mslevel}' group by all)
+        select molecule, file, apex_rt, mz, round(intensity, 2) as intensity,
+               round(max(intensity) over (partition by molecule, file, apex_rt), 2) as base_peak
+        from lines""",
+    )
+
+
+def _nearest(pairs: str) -> str:
+    return f"""
+        select item, other as nearest, round(distance, 6) as distance from (
+            select *, row_number() over (partition by item order by distance, other) as place from (
+                select item_1 as item, item_2 as other, distance from {pairs}
+                union all select item_2, item_1, distance from {pairs}))
+        where place = 1"""
+
+
+def _wide(cells: str) -> str:
+    columns = ", ".join(f"coalesce(round(sum(value) filter (molecule = 'mol_{i}'), 6), 0) as mol_{i}" for i in range(5))
+    return f"select file, {columns} from {cells} group by file"
+
+
+def _molecule_distance(profile: str) -> str:
+    return f"""
+        select a.molecule as item_1, b.molecule as item_2,
+               round(sqrt(sum((a.value - b.value) * (a.value - b.value))), 6) as distance
+        from {profile} a join {profile} b on a.file = b.file and a.molecule < b.molecule
+        group by a.molecule, b.molecule"""
+
+
 # Mid-ranks of `value` over each pair, as 1 + smaller values + half the other equals.
 _MID = """rank() over (partition by name_1, name_2 order by {value})
           + (count(*) over (partition by name_1, name_2, {value}) - 1) / cast(2 as double)"""
@@ -317,6 +386,20 @@ def statements() -> dict[str, str]:
             "select molecule, file, rt, scanid, max_intensity, round(mean_mz, 9) as mean_mz, n_points from hit",
         ),
         "suspect_screening": _with(["screened"], "select * from screened"),
+        "suspect_screening_rounded": _with(
+            ["grid", "hit"],
+            """
+            select g.file as "Sample", g.molecule as "Compound", g.target_mz as "Exact_Mass",
+                   round_even(h.mz, 4) as "Observed_MZ",
+                   round_even((h.mz - g.target_mz) / g.target_mz * 1e6, 2) as "MZ_Error_ppm",
+                   round_even(least(cast(100 as double), coalesce(h.n, 0) / cast(10 as double) * 100), 1) as "Detection_Score",
+                   round_even(coalesce(h.top, 0), 0) as "Max_Intensity", coalesce(h.n, 0) as "N_Detections",
+                   case when h.n is null then 'Not Detected'
+                        when least(100, h.n / cast(10 as double) * 100) > 50 then 'Detected' else 'Tentative' end as "Status"
+            from grid g left join (
+                select target_id, file, count(*) as n, max(max_intensity) as top, avg(mean_mz) as mz
+                from hit group by target_id, file) h using (target_id, file)""",
+        ),
         "suspect_screening_library": _with(
             ["library", "screened"], "select * from screened", matched=library_match, grid=library_grid
         ),
@@ -396,6 +479,28 @@ def statements() -> dict[str, str]:
             where m.molecule = 'mol_0' and s.molecule = 'mol_3'
               and m.max_intensity > 0 and s.max_intensity > 0""",
         ),
+        "normalized_line": _with(
+            ["processed"],
+            """
+            select 'mol_0' as molecule, m.file, m.display_name, m.date_order, m.sample_idx, m.display_name as tick,
+                   round(m.max_intensity / s.max_intensity, 9) as plot_intensity
+            from processed m join processed s using (file)
+            where m.molecule = 'mol_0' and s.molecule = 'mol_3'""",
+        ),
+        "combined_stripes": _with(
+            ["mx"],
+            """
+            , stacked as (
+                select 'Raw' as molecule, 0 as molecule_ord, file, pos, log10(max_intensity + 1) as value
+                from mx where molecule = 'mol_0'
+                union all
+                select 'Normalised', 1, m.file, m.pos, log10(m.max_intensity / s.max_intensity + 1)
+                from mx m join mx s using (file)
+                where m.molecule = 'mol_0' and s.molecule = 'mol_3' and m.max_intensity > 0 and s.max_intensity > 0)
+            select molecule, molecule_ord, file, row_number() over (partition by molecule order by pos) as sample_idx,
+                   round(value, 9) as plot_intensity, round(median(value) over (partition by molecule), 9) as midpoint
+            from stacked""",
+        ),
         "combine_molecules": _with(
             ["mx"],
             "select case molecule when 'mol_1' then 'First' else 'Second' end as molecule, file,"
@@ -407,6 +512,12 @@ def statements() -> dict[str, str]:
         ),
         "spectrum_at_apex_ms1": _spectrum("1"),
         "spectrum_at_apex_ms2": _spectrum("2"),
+        "given_rt_windows": _with(
+            ["given_window"],
+            "select molecule, file, apex_rt, n_near, round(rt_tolerance, 9) as rt_tolerance from given_window",
+        ),
+        "spectrum_at_given_rt_ms1": _given_spectrum("1"),
+        "spectrum_at_given_rt_ms2": _given_spectrum("2"),
         "spectrum_rt_range": _with(
             ["peaks"],
             "select file, mz, round(sum(intensity), 2) as intensity from peaks"
@@ -427,6 +538,24 @@ def statements() -> dict[str, str]:
                    round(median(value) over (partition by molecule), 6) as midpoint
             from placed""",
         ),
+        "interactive_stripes": _with(
+            ["mx", "decoded"],
+            f"""
+            , placed as (
+                select m.molecule, m.file, log10(m.max_intensity + 1) as value,
+                       row_number() over (partition by m.molecule order by m.pos) as sample_idx,
+                       {_metadata_label('m.file')} as date_label
+                from mx m {_label_joins('m.file')}),
+            ranged as (
+                select *, min(value) over (partition by molecule) as low, max(value) over (partition by molecule) as high
+                from placed)
+            select molecule, file, sample_idx, date_label,
+                   case when row_number() over (partition by molecule, date_label order by sample_idx) = 1
+                        then date_label end as tick,
+                   round(value, 6) as plot_intensity,
+                   cast(greatest(1, ceil((value - low) / (high - low + 1e-10) * 100)) as bigint) as bucket
+            from ranged""",
+        ),
         "stripes_color_bucket": _with(
             ["box"],
             """
@@ -450,32 +579,15 @@ def statements() -> dict[str, str]:
         "multi_stripes_matrix": _with(
             ["box"], "select molecule, file, round(value, 6) as plot_intensity from box"
         ),
-        "multi_stripes_wide": _with(
-            ["box"],
-            "select file, "
-            + ", ".join(f"round(sum(value) filter (molecule = 'mol_{i}'), 6) as mol_{i}" for i in range(5))
-            + " from box group by file",
-        ),
-        "molecule_distance": _with(
-            ["profile"],
-            """
-            select a.molecule as item_1, b.molecule as item_2,
-                   round(sqrt(sum((a.value - b.value) * (a.value - b.value))), 6) as distance
-            from profile a join profile b on a.file = b.file and a.molecule < b.molecule
-            group by a.molecule, b.molecule""",
-        ),
+        "multi_stripes_wide": _with(["box"], _wide("box")),
+        "multi_stripes_wide_processed": _with(["kept_box"], _wide("kept_box")),
+        "molecule_distance": _with(["profile"], _molecule_distance("profile")),
+        "molecule_distance_processed": _with(["kept_profile"], _molecule_distance("kept_profile")),
         "sample_distance": _with(
             ["sample_pair"], "select item_1, item_2, round(distance, 6) as distance from sample_pair"
         ),
-        "nearest_profile": _with(
-            ["sample_pair"],
-            """
-            select item, other as nearest, round(distance, 6) as distance from (
-                select *, row_number() over (partition by item order by distance, other) as place from (
-                    select item_1 as item, item_2 as other, distance from sample_pair
-                    union all select item_2, item_1, distance from sample_pair))
-            where place = 1""",
-        ),
+        "nearest_profile": _with(["sample_pair"], _nearest("sample_pair")),
+        "nearest_profile_processed": _with(["kept_pair"], _nearest("kept_pair")),
         "box_compare_frame": _with(["box"], "select molecule, file, round(value, 6) as value from box"),
         "box_stats": _with(
             ["box"],

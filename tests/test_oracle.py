@@ -9,8 +9,8 @@ import pytest
 import __spark_entry__ as entry
 from plan_text import plan_of
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in entry.QUERIES}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def duck(sf_dir):
 
 
 # The queries with p-values or block distances; all others stay in the JVM.
-WITH_PYTHON = {"pairwise_tests", "nearest_profile"}
+WITH_PYTHON = {"pairwise_tests", "nearest_profile", "nearest_profile_processed"}
 
 # SQL type names of the column types that results may have.
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}

@@ -241,13 +241,17 @@ def test_normalise(spark):
     standard = max_rows(spark, ("a", 4), ("b", 0), ("d", 5), ("a", 8))
     ratios = {r.file: r.max_intensity for r in normalise(molecule, standard).collect()}
     assert ratios == {"a": 2.5, "b": None, "c": None, "d": 0.0}
-    assert [r.file for r in normalize_by_istd(molecule, standard).collect()] == ["a"]
+    dated = molecule.withColumns({"date_order": F.lit(202201), "display_name": F.lit("d"), "sample_idx": F.col("pos") + 1})
+    kept = normalize_by_istd(dated, standard)
+    assert [(r.file, r.date_order, r.display_name, r.sample_idx) for r in kept.collect()] == [("a", 202201, "d", 1)]
+    assert normalise(molecule, standard.drop("pos")).where("file = 'a'").first().max_intensity_istd == 8.0
 
 
 def test_combine(spark):
     one, two = max_rows(spark, ("a", 1)), max_rows(spark, ("a", 2))
     found = combine_molecules(X=one, Y=two).orderBy("molecule_ord").collect()
     assert [(r.molecule, r.max_intensity) for r in found] == [("X", 1.0), ("Y", 2.0)]
+    assert [(r.target_id, r.source_target_id) for r in found] == [(0, 1), (1, 1)]
     with pytest.raises(ValueError):
         combine_molecules()
     with pytest.raises(ValueError, match="Missing required columns"):
@@ -271,6 +275,16 @@ def test_apex_tolerance(spark):
     assert apex.apex_windows(scans, given).first().rt_tolerance == pytest.approx(0.5)
 
 
+def test_several_given_times_stay_apart(spark):
+    given = spark.createDataFrame([(1, "f", t) for t in (1.0, 1.05, 1.05, 8.0)], "target_id long, file_id string, rt double")
+    windows = apex.apex_windows(scan_rows(spark, (1, 5), (1.1, 5)), given)
+    found = {r.apex_rt: (r.n_near, r.rt_tolerance) for r in windows.collect()}
+    assert found == {1.0: (2, 0.1), 1.05: (2, 0.1), 8.0: (0, 0.1)} and windows.count() == 3
+    peaks = spark.createDataFrame([("f", "1", 1, 1.0, 100.0, 10.0)], "file_id string, mslevel string, scanid long, rt double, mz double, intensity double")
+    lines = apex.spectra_in_windows(peaks, windows, "1").collect()
+    assert {(r.apex_rt, r.intensity, r.base_peak) for r in lines} == {(1.0, 10.0, 10.0), (1.05, 10.0, 10.0)}
+
+
 def test_overlay_subsample_keeps_whole_chromatograms(peaks, manifest, targets, rows):
     found = as_eic(frames.eic_overlay(peaks, manifest, targets, max_samples=3))
     # Positions 1, 4.5 (even: 4) and 8 of the manifest.

@@ -98,18 +98,19 @@ def test_split_by_file(spark, folder, tmp_path):
 
 def test_listing(spark):
     rows = [
-        ("x.parquet", "x.parquet", False, "u1"),
-        ("y.PARQUET", "d/e/y.PARQUET", False, "u2"),
-        ("y.PARQUET", "d/e/y.PARQUET", False, "u2"),
+        ("x.parquet", "x.parquet", False, "file:///share/x.parquet"),
+        ("y.PARQUET", "d/e/y.PARQUET", False, None),
+        ("y.PARQUET", "d/e/y.PARQUET", False, None),
         ("d", "d", True, None),
         ("z.csv", "d/z.csv", False, "u3"),
     ]
     listing = spark.createDataFrame(rows, "name string, path string, is_folder boolean, url string")
     found = manifest_from_listing(listing)
     assert {(row.file_id, row.folder) for row in found.collect()} == {
-        ("./x.parquet", "."), ("d/e/y.PARQUET", "d/e")
+        ("/share/x.parquet", "."), ("d/e/y.PARQUET", "d/e")
     }
-    loaded = spark.createDataFrame([("./x.parquet",)], "file_id string")
+    assert [row.file for row in found.orderBy("pos").collect()] == ["y.PARQUET", "x.parquet"]
+    loaded = spark.createDataFrame([("/share/x.parquet",)], "file_id string")
     assert [row.file for row in manifests.new_samples(found, loaded).collect()] == ["y.PARQUET"]
     assert manifests.only_samples(found, None).count() == 2
     assert manifests.only_samples(found, ["d/e/y.PARQUET"]).count() == 1
@@ -120,7 +121,31 @@ def test_metadata_csv(spark, tmp_path):
     path = tmp_path / "dates.csv"
     path.write_text("name,year,month,site\na,2021,03,north\nb,2022,May,south\n")
     rows = metadata.read_metadata_csv(spark, str(path)).orderBy("name").collect()
-    assert [tuple(row) for row in rows] == [("a", 2021, 3, "north"), ("b", 2022, None, "south")]
+    assert [tuple(row)[:4] for row in rows] == [("a", 2021, 3, "north"), ("b", 2022, None, "south")]
+    assert rows[0].pos < rows[1].pos
+
+
+def test_equal_years_take_the_first_row(spark, tmp_path):
+    path = tmp_path / "dates.csv"
+    path.write_text("name,year,month\na,2021,09\na,2021,02\na,2020,01\na,1e99,5\n")
+    row = metadata.latest_metadata(metadata.read_metadata_csv(spark, str(path))).first()
+    assert (row.year, row.month) == (2021, 9)
+
+
+def test_excluded_files_are_not_read(spark, tmp_path):
+    one = [("1", 1, 1.0, 100.0, 5.0)]
+    kinds = "mslevel string, scanid long, rt double, mz double, intensity double"
+    for name in ("a.parquet", "POOL_1.parquet", "sub/blanc.parquet"):
+        spark.createDataFrame(one, kinds).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    found = read_samples(spark, str(tmp_path), exclude_patterns=["part"])
+    assert found.count() == 0
+    assert read_samples(spark, str(tmp_path), exclude_patterns=["no such"]).count() == 3
+
+
+def test_targets_without_a_mass_are_returned(spark):
+    listed = spark.createDataFrame([("a", 100.0), ("b", None)], "name string, mz double")
+    targets = prepare_targets(listed)
+    assert targets.count == 1 and [r.molecule for r in targets.rejected.collect()] == ["b"]
 
 
 def test_suspects(spark, tmp_path):

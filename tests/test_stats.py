@@ -9,7 +9,7 @@ import pytest
 
 from ionsieve.functions import pvalues
 from ionsieve.functions.scoring import p_text, significance_label
-from ionsieve.operators import distance, stats
+from ionsieve.operators import distance, ordering, stats
 from pyspark.sql import functions as F
 
 
@@ -24,13 +24,13 @@ def table():
 
 @pytest.fixture(scope="module")
 def values(spark, table):
-    rows = [(m, s, v) for m, samples in table.items() for s, v in samples.items()]
-    return spark.createDataFrame(rows, "molecule string, file_id string, value double")
+    rows = [("abc".index(m), m, s, v) for m, samples in table.items() for s, v in samples.items()]
+    return spark.createDataFrame(rows, "target_id int, molecule string, file_id string, value double")
 
 
 @pytest.fixture(scope="module")
 def pairs(spark):
-    names = spark.createDataFrame([("a", 5), ("b", 9), ("c", 12)], "molecule string, ord int")
+    names = spark.createDataFrame([(0, "a", 5), (1, "b", 9), (2, "c", 12)], "target_id int, molecule string, ord int")
     return stats.all_pairs(names, "ord")
 
 
@@ -39,7 +39,17 @@ def ranks(values):
 
 
 def test_all_pairs(pairs):
-    assert {tuple(row) for row in pairs.collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert {tuple(row) for row in pairs.collect()} == {(0, 1, "a", "b"), (0, 2, "a", "c"), (1, 2, "b", "c")}
+
+
+def test_targets_of_one_name_stay_apart(spark):
+    rows = [(t, "same", f"s{i}", float(i * t)) for t in (1, 2, 3) for i in range(9)]
+    values = spark.createDataFrame(rows, "target_id long, molecule string, file_id string, value double")
+    pairs = stats.all_pairs(values.select("target_id", "molecule").distinct(), "target_id")
+    assert pairs.count() == 3
+    found = {(r.target_1, r.target_2): r.n for r in stats.signed_rank(values, pairs).collect()}
+    assert found == {(1, 2): 8, (1, 3): 8, (2, 3): 8}
+    assert {r.target_id: r.median for r in stats.box_statistics(values).collect()} == {1: 4.0, 2: 8.0, 3: 12.0}
 
 
 def test_signed_rank(values, pairs, table):
@@ -117,13 +127,14 @@ def test_labels(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").orderBy("i")
     shown = df.select(significance_label(F.col("p")), p_text(F.col("p"))).collect()
     assert [row[0] for row in shown] == ["****", "****", "***", "**", "*", "ns", None]
-    assert [row[1] for row in shown][:2] == ["p < 2.2e-16", "p = 5.0e-05"]
-    assert shown[5][1] == "p = 0.20"
+    assert [row[1] for row in shown][:2] == ["p < 2.2e-16", "p = 5e-05"]
+    assert shown[5][1] == "p = 0.2"
 
 
 def test_box(spark):
     data = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 50.0]
-    df = spark.createDataFrame([("m", str(i), v) for i, v in enumerate(data)], "molecule string, file_id string, value double")
+    rows = [(1, "m", str(i), v) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "target_id int, molecule string, file_id string, value double")
     row = stats.box_statistics(df).first()
     assert (row.q1, row.median, row.q3) == tuple(np.quantile(data, [0.25, 0.5, 0.75]))
     assert (row.whisker_low, row.whisker_high, row.n_outliers, row.n) == (1.0, 7.0, 1, 8)
@@ -179,28 +190,29 @@ def test_nearest_over_several_chunks(cells):
         assert row.nearest == min(mine, key=mine.get)
 
 
+def test_incomplete_profiles(spark, monkeypatch):
+    """Missing cells are zeros, in items, dimensions and whole chunks."""
+    monkeypatch.setattr(distance, "CHUNK", 4)
+    rng = random.Random(3)
+    profiles = {f"i{i:02}": {d: rng.choice([0.0, rng.uniform(1, 9)]) for d in range(11) if rng.random() < 0.4} for i in range(30)}
+    profiles |= {"x": {0: 3.0}, "y": {1: 3.0}, "zero": {5: 0.0}}
+    rows = [(item, d, v) for item, cells in profiles.items() for d, v in cells.items()]
+    chunks = distance.profile_chunks(spark.createDataFrame(rows, "item string, d int, v double"), "item", "d", "v")
+    away = lambda a, b: math.dist(*([profiles[i].get(d, 0.0) for d in range(11)] for i in (a, b)))
+    known = {item for item, cells in profiles.items() if cells}
+    found = {(r.item_1, r.item_2): r.distance for r in distance.pairwise_distances(chunks).collect()}
+    assert found == {(a, b): pytest.approx(away(a, b)) for a in known for b in known if a < b}
+    assert found["x", "y"] == pytest.approx(18**0.5)
+    for row in distance.nearest_profiles(chunks).collect():
+        best = min(away(row.item, other) for other in known if other != row.item)
+        assert row.distance == pytest.approx(best, abs=1e-12) == away(row.item, row.nearest)
+
+
 def test_wide(cells):
     df, profiles = cells
-    wide = distance.wide_matrix(df, "sample", "molecule", "v", ["a", "c", "none"])
+    wide = distance.wide_matrix(df, ["sample"], "molecule", "v", ["a", "c", "none"])
     row = wide.where("sample = 's0001'").first()
     assert (row.a, row.c, row.none) == (profiles["s0001"][0], profiles["s0001"][2], 0.0)
-    with pytest.raises(ValueError):
-        distance.wide_matrix(df, "sample", "molecule", "v", [str(i) for i in range(1001)])
-
-
-def test_long_groups_give_the_same(values, pairs, cells, monkeypatch):
-    """Cells instead of one task per group."""
-    short = [sorted(map(tuple, test(values, pairs).collect())) for test in (stats.signed_rank, stats.rank_sum)]
-    monkeypatch.setattr(stats, "ROWS_IN_ONE_TASK", 0)
-    assert short == [
-        sorted(map(tuple, test(values, pairs).collect())) for test in (stats.signed_rank, stats.rank_sum)
-    ]
-    numbered = lambda: sorted(
-        (r.item, r.idx) for r in distance.profile_chunks(cells[0], "sample", "molecule", "v").collect()
-    )
-    few = numbered()
-    monkeypatch.setattr(distance, "ROWS_IN_ONE_TASK", 0)
-    assert numbered() == few
 
 
 def test_nearest_meets_few_blocks(spark, monkeypatch):
@@ -214,8 +226,8 @@ def test_nearest_meets_few_blocks(spark, monkeypatch):
         name: min((math.dist(v, w), other) for other, w in profiles.items() if other != name)
         for name, v in profiles.items()
     }
-    for bound in (500_000, 0):
-        monkeypatch.setattr(distance, "ROWS_IN_ONE_TASK", bound)
+    for bound in (65_536, 20):
+        monkeypatch.setattr(ordering, "ROWS_PER_CELL", bound)
         seen = []
         inner = distance._visits
         monkeypatch.setattr(distance, "_visits", lambda *a: seen.append(inner(*a)) or seen[-1])
