@@ -422,28 +422,28 @@ KEYS = ("target_1", "target_2")
 
 
 def wilcoxon_signed_rank_stat(d: Data) -> DataFrame:
-    return stats.signed_rank(d.box_values, d.pairs).drop("p", *KEYS)
+    return _rounded(stats.signed_rank(d.box_values, d.pairs).drop(*KEYS), p=6)
 
 
 def rank_sum_stat(d: Data) -> DataFrame:
-    return stats.rank_sum(d.box_values, d.pairs).drop("p", *KEYS)
+    return _rounded(stats.rank_sum(d.box_values, d.pairs).drop(*KEYS), p=6)
 
 
 def t_test_paired(d: Data) -> DataFrame:
-    found = stats.paired_t(d.box_values, d.pairs).drop("p", *KEYS)
-    return _rounded(found, statistic=6, mean_difference=6)
+    found = stats.paired_t(d.box_values, d.pairs).drop(*KEYS)
+    return _rounded(found, statistic=6, mean_difference=6, p=6)
 
 
 def t_test_welch(d: Data) -> DataFrame:
-    found = stats.welch_t(d.box_values, d.pairs).drop("p", *KEYS)
-    return _rounded(found, statistic=6, df=6, mean_1=6, mean_2=6)
+    found = stats.welch_t(d.box_values, d.pairs).drop(*KEYS)
+    return _rounded(found, statistic=6, df=6, mean_1=6, mean_2=6, p=6)
 
 
 def pairwise_tests(d: Data) -> DataFrame:
     found = stats.compare(d.box_values, d.pairs)
     for test, paired in (("wilcox.test", False), ("t.test", True), ("t.test", False)):
         found = found.unionByName(stats.compare(d.box_values, d.pairs, test, paired))
-    return found.drop(*KEYS)
+    return _rounded(found.drop(*KEYS), statistic=6, p=6)
 
 
 QUERIES: dict[str, Callable[[Data], DataFrame]] = {

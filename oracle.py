@@ -343,6 +343,24 @@ _MID = """rank() over (partition by name_1, name_2 order by {value})
 _TIE = "count(*) over (partition by name_1, name_2, {value})"
 
 
+def _steps(n: int) -> str:
+    """Places k / n with the weights of Simpson's rule."""
+    return f"""
+        select k / cast({n} as double) as x, 1 / cast({3 * n} as double)
+               * case when k in (0, {n}) then 1 when k % 2 = 1 then 4 else 2 end as w
+        from range({n + 1}) r(k)"""
+
+
+# Both tails of the normal distribution beyond z: its density there times the integral of exp(-z t - t^2 / 2).
+_NORMAL_TAILS = """least(1, 2 * exp(-any_value(z) * any_value(z) / 2) / sqrt(2 * pi())
+    * sum(w * 12 * exp(-z * 12 * x - 72 * x * x)))"""
+
+# With t = sqrt(df) tan(a), the density of t becomes cos(a)^(df - 1), and the share of it beyond t needs no constant.
+_STUDENT_TAILS = """sum(w * (pi() / 2 - atan(abs(statistic) / sqrt(df)))
+        * pow(cos(atan(abs(statistic) / sqrt(df)) + x * (pi() / 2 - atan(abs(statistic) / sqrt(df)))), df - 1))
+    / sum(w * pi() / 2 * pow(cos(x * pi() / 2), df - 1))"""
+
+
 def statements() -> dict[str, str]:
     eic_columns = f"select {_EIC_COLUMNS}"
     library_match = _PARTS["matched"].replace("molecules t", "library t")
@@ -653,4 +671,46 @@ def statements() -> dict[str, str]:
             from pair join side a on a.molecule = name_1 join side b on b.molecule = name_2""",
         ),
     }
+    exact = lambda text: text.replace("round(", "(").replace(", 6)", ")")
+    sql["pairwise_tests"] = f"""
+        with signed as ({sql['wilcoxon_signed_rank_stat']}),
+        ranks as ({sql['rank_sum_stat']}),
+        paired as ({exact(sql['t_test_paired'])}),
+        welch as ({exact(sql['t_test_welch'])}),
+        shifted as (
+            select name_1, name_2, 'wilcox.test' as method, true as paired, statistic,
+                   statistic - n * (n + 1) / 4.0 as shift, n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48 as variance
+            from signed
+            union all
+            select name_1, name_2, 'wilcox.test', false, statistic, statistic - n_1 * n_2 / 2.0,
+                   n_1 * n_2 / 12.0 * (n_1 + n_2 + 1 - ties / ((n_1 + n_2) * (n_1 + n_2 - 1.0)))
+            from ranks),
+        normal as (
+            select *, (abs(shift) - case when shift <> 0 then 0.5 else 0 end) / sqrt(variance) as z from shifted),
+        student as (
+            select name_1, name_2, 't.test' as method, true as paired, statistic, df from paired
+            union all select name_1, name_2, 't.test', false, statistic, df from welch),
+        tests as (
+            select name_1, name_2, method, paired, statistic, {_NORMAL_TAILS} as p
+            from normal, ({_steps(6000)}) s group by all
+            union all
+            select name_1, name_2, method, paired, statistic, {_STUDENT_TAILS} as p
+            from student, ({_steps(40000)}) s group by name_1, name_2, method, paired, statistic, df)
+        select name_1, name_2, method, paired, round(statistic, 6) as statistic, round(p, 6) as p,
+               case when p <= 1e-4 then '****' when p <= 1e-3 then '***' when p <= 0.01 then '**'
+                    when p <= 0.05 then '*' when p is not null then 'ns' end as p_signif,
+               case when p < 2.2e-16 then 'p < 2.2e-16'
+                    when p < 1e-4 then concat('p = ', replace(format('{{:.1e}}', p), '.0e', 'e'))
+                    when p is not null then concat('p = ', format('{{:.2g}}', p)) end as p_format
+        from tests"""
+    for name, method, paired in (
+        ("wilcoxon_signed_rank_stat", "wilcox.test", "true"),
+        ("rank_sum_stat", "wilcox.test", "false"),
+        ("t_test_paired", "t.test", "true"),
+        ("t_test_welch", "t.test", "false"),
+    ):
+        sql[name] = f"""
+            select s.*, t.p from ({sql[name]}) s
+            join (select name_1, name_2, p from ({sql['pairwise_tests']}) where method = '{method}' and paired = {paired}) t
+            using (name_1, name_2)"""
     return sql

@@ -22,7 +22,10 @@ def duck(sf_dir):
 
 
 # The queries with p-values or block distances; all others stay in the JVM.
-WITH_PYTHON = {"pairwise_tests", "nearest_profile", "nearest_profile_processed"}
+WITH_PYTHON = {
+    "pairwise_tests", "nearest_profile", "nearest_profile_processed", "wilcoxon_signed_rank_stat", "rank_sum_stat",
+    "t_test_paired", "t_test_welch",
+}
 
 # SQL type names of the column types that results may have.
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
