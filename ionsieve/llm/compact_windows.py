@@ -30,9 +30,9 @@ FUNCTIONS = 4
 ENOUGH = 2  # functions that must agree on a stretch
 SLACK = 8  # tokens by which insertions may move a passage
 # Windows and collisions per task that compares them.
-PER_BUCKET = 1 << 17
+PER_BUCKET = 1 << 16
 # Windows that a task gathers before it hands them on.
-PER_FLUSH = 1 << 18
+PER_FLUSH = 1 << 17
 # Stretches are broadcast up to so many (two places each), and joined by a shuffle of the texts beyond.
 BROADCAST_STRETCHES = 1 << 20
 # Stretches of one document that are cut out in one go.

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are taken in slices of about this many bytes (never cut), so that the work arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLES: dict[str, np.ndarray] = {}
@@ -52,7 +52,7 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_TABLES.get("up", ())) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
+        size = max(1 << 18, 1 << int(n).bit_length())
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base)
