@@ -21,7 +21,7 @@ def _to_minimum(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         own = least.select("a", F.col("m").alias("b"))
         moved = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own)
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates between moving larger and smaller neighbours to the least one until every component is a star: no
     centre is a neighbour of another. Long chains shorten by half in each round. Loops and repeated edges do no harm.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         larger = _to_minimum(edges, larger=True)
-        edges = written(_to_minimum(larger, larger=False), "edges")
+        edges = written(_to_minimum(larger, larger=False).distinct(), "edges")
         centres = edges.select(F.col("b").alias("a")).distinct()
         if edges.join(centres, "a", "left_semi").isEmpty():
             break

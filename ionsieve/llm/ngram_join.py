@@ -286,11 +286,14 @@ def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns a, b and the least difference of the last two columns, bitmaps."""
+    """a, b, a_n, b_n and the least difference of the last two columns, bitmaps; null where the sizes do not fit."""
     for batch in batches:
-        x, y = (batch.column(k).to_pylist() for k in (2, 3))
-        bounds = pa.array(map(least_difference, x, y), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bounds], names=["a", "b", "least"])
+        m, n = (batch.column(k).to_numpy() for k in (2, 3))
+        fit = np.minimum(m, n) * 100 >= np.maximum(m, n) * PERCENT
+        x, y = (batch.column(k) for k in (4, 5))
+        bounds = [least_difference(x[k].as_py(), y[k].as_py()) if fit[k] else None for k in range(len(m))]
+        names = ["a", "b", "a_n", "b_n", "least"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bounds, pa.int64())], names=names)
 
 
 def _sizes_fit(x: str, y: str) -> Column:
@@ -304,13 +307,20 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def _with_bounds(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """`pairs` (a, b, a_n, b_n, ...) with `least`: a lower bound of the tokens in one set only, null if the sizes do not fit."""
-    maps = lambda side: sets.select(F.col("id").alias(side), F.col("bitmap").alias(f"{side}_map"))
-    near = pairs.where(_sizes_fit("a_n", "b_n"))
-    near = near.select("a", "b").join(maps("a"), "a").join(maps("b"), "b").select("a", "b", "a_map", "b_map")
-    bounds = written(near.mapInArrow(_differences, "a long, b long, least long"), "bounds")
-    return pairs.join(bounds, ["a", "b"], "left")
+BOUNDS = "a long, b long, a_n long, b_n long, least long"
+
+
+def _with_bounds(pairs: DataFrame, sets: DataFrame, key: str = "id") -> DataFrame:
+    """(a, b) by id and size, with `least`: a lower bound of the tokens in one set only, null if the sizes do not fit.
+
+    `pairs` (a, b) name the sets by their column `key`.
+    """
+    side = lambda x: sets.select(
+        F.col(key).alias(x), F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("bitmap").alias(f"{x}_map")
+    )
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_n", "b_n", "a_map", "b_map")
+    return written(both.mapInArrow(_differences, BOUNDS), "bounds")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -319,7 +329,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     sizes = F.expr("a_n + b_n")
     open_ = pairs.where((sizes - F.col("least")) * 100 >= (sizes + F.col("least")) * PERCENT).select("a", "b")
     ids = written(open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = _with_ids(docs, ids).dropDuplicates(["doc_id"])
+    texts = _with_ids(docs, ids).groupBy("doc_id").agg(F.min("text").alias("text"))
     tokens = written(texts.mapInArrow(_sets(k), "id long, tokens binary"), "sets")
     left = open_.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
     both = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
@@ -335,10 +345,17 @@ _HIGH = f"coalesce(1 - shared / {_UNION}, 1D)"
 _WITHIN = (100 - PERCENT) / 100 + 1e-9
 
 
-def _members(stars: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, id, n, group, apart (not in the group of a), low, high: the members of stars that have some apart, a itself not."""
-    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
-    members = stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
+def _members(stars: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """a, id, n, group, apart (not in the group of a), low, high: the members of stars that have some apart, a itself not.
+
+    Without `groups` the members that a links are its group, and each other one is a group of its own.
+    """
+    if groups is None:
+        linked = F.coalesce(F.expr(_LINKED), F.lit(False))
+        members = stars.withColumns({"a_group": F.col("a"), "b_group": F.when(linked, F.col("a")).otherwise(F.col("b"))})
+    else:
+        of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
+        members = stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
     group_of = lambda side: F.coalesce(f"{side}_group", side)
     apart = group_of("a") != group_of("b")
     members = members.select(
@@ -349,12 +366,12 @@ def _members(stars: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _second_stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b, a_n, b_n) of the member nearest to each star's own with the members outside its group."""
+    """Pairs (a, b) of the member nearest to each star's own with the members outside its group."""
     centre = F.min(F.struct("high", "id", "n", "group", "low")).alias("c")
     pairs = members.join(members.groupBy("a").agg(centre), "a").where("`group` <> c.group")
     pairs = pairs.where(F.greatest(F.expr("low - c.high"), F.expr("c.low - high")) <= _WITHIN)
-    pairs = pairs.select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("a_n"), F.col("n").alias("b_n"))
-    return pairs.where(_sizes_fit("a_n", "b_n")).distinct()
+    pairs = pairs.where(_sizes_fit("c.n", "n"))
+    return pairs.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 # Members that are held against others at once.
@@ -416,13 +433,11 @@ def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     Documents link when 100 * intersection >= 75 * union of their distinct k-word shingles; a shorter
     text is one shingle. Texts without words have no shingles and link with nothing. Null texts count as empty. A row
     whose doc_id is null links with nothing and gets a null component. Rows with one doc_id and different texts
-    are one document with the text of the least hash as far as links go. Other columns are ignored; an empty table
+    are one node; where sets are compared, its least text counts. Other columns are ignored; an empty table
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    summaries = written(
-        docs.mapInArrow(_summaries(k), SUMMARY), "summaries"
-    )
+    summaries = written(docs.mapInArrow(_summaries(k), SUMMARY), "summaries")
     rows = summaries.where("block is null").select("doc_id", "n", "f1", "f2", "bitmap")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n")
     sets = written(sets.agg(F.min("doc_id").alias("id"), F.min("bitmap").alias("bitmap")), "distinct-sets")
@@ -431,16 +446,10 @@ def similar_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     bits = max(0, (keys // KEYS_PER_BUCKET).bit_length())
     index = docs.where("doc_id is not null").mapInArrow(_index(order, bits, k), "bucket long, keys binary, owners binary")
     stars = index.groupBy("bucket").applyInPandas(_stars, "a long, b long").distinct()
-    named = lambda side: sets.select(F.col("f1").alias(side), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"))
-    stars = stars.join(named("a"), "a").join(named("b"), "b")
-    stars = written(stars.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_n", "b_n"), "stars")
-
-    stars = _compared(_with_bounds(stars, sets), docs, k)
+    stars = _compared(_with_bounds(stars, sets, "f1"), docs, k)
     linked = stars.where(_LINKED).select("a", "b")
-    groups = components(linked)
     # A star whose least member is at its rim leaves many apart that the one nearest to it links.
-    second = written(_second_stars(written(_members(stars, groups), "members")), "second")
-    second = _compared(_with_bounds(second, sets), docs, k)
+    second = _compared(_with_bounds(_second_stars(_members(stars)), sets), docs, k)
     linked = linked.unionByName(second.where(_LINKED).select("a", "b"))
     groups = components(linked)
     across = written(_across_pairs(written(_members(stars, groups), "members"), sets), "across")
