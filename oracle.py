@@ -408,8 +408,6 @@ def statements() -> dict[str, str]:
             ["grid", "hit"],
             """
             select g.file as "Sample", g.molecule as "Compound", g.target_mz as "Exact_Mass",
-                   round_even(h.mz, 4) as "Observed_MZ",
-                   round_even((h.mz - g.target_mz) / g.target_mz * 1e6, 2) as "MZ_Error_ppm",
                    round_even(least(cast(100 as double), coalesce(h.n, 0) / cast(10 as double) * 100), 1) as "Detection_Score",
                    round_even(coalesce(h.top, 0), 0) as "Max_Intensity", coalesce(h.n, 0) as "N_Detections",
                    case when h.n is null then 'Not Detected'
