@@ -47,7 +47,6 @@ LEVELS_PER_E = 4  # steps of the order per factor e
 KEYS_PER_BUCKET = 1 << 16
 # Ids are broadcast up to so many rows (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 1 << 20
-SALTS = 64
 
 _SIGNED = np.int64
 

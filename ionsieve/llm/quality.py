@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .words import mix, slices, text_bytes, words_of
+from .words import slices, text_bytes, words_of
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
