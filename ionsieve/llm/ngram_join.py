@@ -414,9 +414,14 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _across_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """What is left between the groups of each star: (a, b, a_n, b_n, least), large stars in parts of ACROSS members."""
+    # Only stars of more than ACROSS members have several parts, so they are few, and no star has to meet in one task.
+    large = members.groupBy("a").agg(F.ceil(F.count("*") / ACROSS).alias("parts")).where("parts > 1")
+    large = written(large, "large-stars")
+    if large.count() <= BROADCAST_IDS:
+        large = F.broadcast(large)
+    members = members.join(large, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     members = members.join(sets.select("id", "bitmap"), "id")
-    counts = members.groupBy("a").agg(F.ceil(F.count("*") / ACROSS).alias("parts"))
-    members = members.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     columns = ["a", "id", "n", "group", "low", "high", "bitmap"]
     left = members.where("apart").select(*columns, F.lit(0).alias("side"), F.col("part").alias("i"), others.alias("j"))
