@@ -8,6 +8,9 @@ Jaccard similarity says; equal passages always do, under every function.
 
 Windows with equal least tokens are brought together, an interval join finds the stretches of a pair of documents that
 enough functions agree on, and each stretch is verified on the tokens themselves.
+
+Of the windows under one key, only the least document's meets the others. Where it turns out not to hold the passage of
+another, all windows of the key get finer keys from the tokens around the least one, and meet again under these.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
-from .words import mix, shingles_of, slices, text_bytes, words_of
+from .words import mix, run_hashes, shingles_of, slices, text_bytes, words_of
 
 SHINGLE = 5
 WORDS = 50  # of a passage, at least
@@ -41,6 +44,8 @@ STRETCHES_PER_ROW = 1000
 WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("left", "<i4"), ("at", "<i4"), ("right", "<i4")])
 # The low bits of a key say which function it is of.
 _FUNCTION_BITS = np.uint64(7)
+# Least tokens of either side of a window's own that become a finer key each.
+SKETCHES = 4
 
 
 def least_places(values: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -106,21 +111,23 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nda
         yield a, found.hashes, found.first
 
 
+def _packed(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Rows (bucket, windows); buckets go by the keys' highest bits."""
+    rows = np.concatenate(held)
+    bucket = (rows["key"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
+    order = np.argsort(bucket, kind="stable")
+    numbers, starts = np.unique(bucket[order], return_index=True)
+    ends = [*starts[1:].tolist(), len(rows)]
+    blobs = [rows[order[a:b]].tobytes() for a, b in zip(starts.tolist(), ends)]
+    return pa.RecordBatch.from_pydict({"bucket": numbers, "windows": pa.array(blobs, pa.binary())})
+
+
 def _windows(size: int, functions: int, bits: int) -> Callable:
     """Rows (bucket, windows): packed windows of the task's documents."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def packed() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            bucket = (rows["key"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
-            order = np.argsort(bucket, kind="stable")
-            numbers, starts = np.unique(bucket[order], return_index=True)
-            ends = [*starts[1:].tolist(), len(rows)]
-            blobs = [rows[order[a:b]].tobytes() for a, b in zip(starts.tolist(), ends)]
-            return pa.RecordBatch.from_pydict({"bucket": numbers, "windows": pa.array(blobs, pa.binary())})
-
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, hashes, first in _tokens(*text_bytes(batch.column(1))):
@@ -135,47 +142,45 @@ def _windows(size: int, functions: int, bits: int) -> Callable:
                         found[name] = x - first[text]
                     held.append(found)
                 if sum(map(len, held)) > PER_FLUSH:
-                    yield packed()
+                    yield _packed(held, bits)
                     held = []
         if held:
-            yield packed()
+            yield _packed(held, bits)
 
     return windows
 
 
-COLLISIONS = "a long, b long, function int, shift int, at int, begin int, end int"
+COLLISIONS = "key long, a long, a_left int, a_at int, a_right int, b long, b_left int, b_at int, b_right int"
 
 
-def _collide(size: int) -> Callable:
-    def collide(rows: pd.DataFrame) -> pd.DataFrame:
-        """For each key in several documents: the window of the least document with each window of the others.
+def _collide(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each key in several documents: the first window of the least document (a) with each window (b), itself too."""
+    windows = np.concatenate([np.frombuffer(x, WINDOW) for x in rows["windows"]])
+    windows = windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))]
+    keys = windows["key"]
+    begins = np.concatenate([[True], keys[1:] != keys[:-1]])
+    of = np.cumsum(begins) - 1
+    least = windows[begins][of]
+    several = np.bincount(of, least["doc"] != windows["doc"])[of] > 0
+    found = {"key": windows["key"][several].astype(np.int64)}
+    for name, side in (("a", least[several]), ("b", windows[several])):
+        found |= {name: side["doc"], f"{name}_left": side["left"], f"{name}_at": side["at"], f"{name}_right": side["right"]}
+    return pd.DataFrame(found)
 
-        begin and end (included) bound the stretch of document a around the common token that fits both
-        windows; document b has it `shift` tokens later.
-        """
-        windows = np.concatenate([np.frombuffer(x, WINDOW) for x in rows["windows"]])
-        windows = windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))]
-        keys = windows["key"]
-        begins = np.concatenate([[True], keys[1:] != keys[:-1]])
-        least = windows[begins][np.cumsum(begins) - 1]
-        apart = least["doc"] != windows["doc"]
-        a, b = least[apart], windows[apart]
-        before = np.minimum(a["at"] - a["left"], b["at"] - b["left"])
-        after = np.minimum(a["right"] - a["at"], b["right"] - b["at"])
-        found = pd.DataFrame(
-            {
-                "a": a["doc"],
-                "b": b["doc"],
-                "function": (a["key"] & _FUNCTION_BITS).astype(np.int32),
-                "shift": b["at"] - a["at"],
-                "at": a["at"],
-                "begin": a["at"] - before,
-                "end": a["at"] + after,
-            }
-        )
-        return found[before + after + 1 >= size]
-
-    return collide
+
+def _fits(collisions: DataFrame, size: int) -> DataFrame:
+    """a, b, function, shift, begin, end of the collisions of two documents that leave room for a passage.
+
+    begin and end (included) bound the stretch of document a around the common token that fits both
+    windows; document b has it `shift` tokens later.
+    """
+    before = F.least(F.expr("a_at - a_left"), F.expr("b_at - b_left"))
+    after = F.least(F.expr("a_right - a_at"), F.expr("b_right - b_at"))
+    function = F.col("key").bitwiseAND(F.lit(int(_FUNCTION_BITS))).cast("int")
+    return collisions.where((F.col("a") != F.col("b")) & (before + after + 1 >= size)).select(
+        "a", "b", function.alias("function"), F.expr("b_at - a_at").alias("shift"),
+        (F.col("a_at") - before).alias("begin"), (F.col("a_at") + after).alias("end"),
+    )
 
 
 STRETCHES = "a long, b long, a_begin int, a_end int, b_begin int, b_end int"
@@ -314,11 +319,156 @@ def _stretch_tokens(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     return cut.mapInArrow(_cut, "doc long, begin int, end int, tokens binary")
 
 
+def _agreements(fits: DataFrame, size: int, enough: int) -> DataFrame:
+    fits = written(fits, "fits")
+    of_pair = F.pmod(F.xxhash64("a", "b"), F.lit(fits.count() // PER_BUCKET + 1))
+    return written(fits.groupBy(of_pair).applyInPandas(_agreed(size, enough), STRETCHES), "agreed")
+
+
+def _verified(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
+    sides = [stretches.select(F.col(s).alias("doc"), F.col(f"{s}_begin").alias("begin"), F.col(f"{s}_end").alias("end")) for s in "ab"]
+    tokens = written(_stretch_tokens(docs, sides[0].unionByName(sides[1])), "tokens").dropDuplicates(["doc", "begin", "end"])
+    for side in "ab":
+        named = {"doc": side, "begin": f"{side}_begin", "end": f"{side}_end", "tokens": f"{side}_tokens"}
+        stretches = stretches.join(tokens.withColumnsRenamed(named), [side, f"{side}_begin", f"{side}_end"])
+    columns = ("a", "b", "a_begin", "b_begin", "a_tokens", "b_tokens")
+    return written(stretches.select(*columns).mapInArrow(_verify(size), PASSAGES), "passages")
+
+
+# What the least document of a key does not hold
+
+
+def _unsettled(collisions: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+    """The collisions whose common token no verified passage of the same two documents covers."""
+    collisions = collisions[collisions["a"] != collisions["b"]]
+    if not len(passages) or not len(collisions):
+        return collisions[[*_NAMES]]
+    pairs = mix(mix(passages["doc_id"].to_numpy()) + passages["first_doc_id"].to_numpy().astype(np.uint64))
+    ids = np.unique(pairs)
+    wide = np.int64(max(collisions["b_at"].max(), passages["end_word"].max()) + 2)
+    begin = np.searchsorted(ids, pairs) * wide + passages["start_word"].to_numpy()
+    end = begin + (passages["end_word"] - passages["start_word"]).to_numpy() - SHINGLE + 1
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    pairs = mix(mix(collisions["b"].to_numpy()) + collisions["a"].to_numpy().astype(np.uint64))
+    pair = np.searchsorted(ids, pairs)
+    known = ids[np.minimum(pair, len(ids) - 1)] == pairs
+    place = pair * wide + collisions["b_at"].to_numpy()
+    last = np.searchsorted(begin, place, side="right") - 1
+    covered = known & (last >= 0) & (reach[last] > place)
+    return collisions.loc[~covered, [*_NAMES]]
+
+
+_NAMES = [x.split()[0] for x in COLLISIONS.split(", ")]
+
+
+def _finer(size: int, bits: int) -> Callable:
+    """Rows (bucket, windows): given windows under finer keys.
+
+    A window of the first function gets the content of each run of `size` tokens that its least token is least of, so
+    equal passages meet under a key that nothing else has. All windows get the least tokens, under SKETCHES other
+    functions, of both sides; one of the two sides lies in the passage.
+    """
+    half = size // 2 + 1
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            given = [batch.column(k) for k in range(2, 6)]
+            for row, hashes, first in _tokens(*text_bytes(batch.column(1))):
+                values = [mix(hashes + np.uint64(201 + j)) for j in range(SKETCHES)]
+                for k in range(len(first) - 1):
+                    key, left, at, right = (x[row + k].values.to_numpy() for x in given)
+                    # Rows of equal doc_ids may be other texts.
+                    inside = right < first[k + 1] - first[k]
+                    key, left, at, right = (x[inside] for x in (key, left, at, right))
+
+                    def hold(keys: np.ndarray, which: np.ndarray) -> None:
+                        found = np.empty(len(keys), WINDOW)
+                        found["key"], found["doc"] = keys & ~_FUNCTION_BITS, ids[row + k]
+                        for name, x in (("left", left), ("at", at), ("right", right)):
+                            found[name] = x[which]
+                        held.append(found)
+
+                    begins = at[:, None] - np.arange(size)
+                    of, run = np.nonzero((begins >= left[:, None]) & (begins + size - 1 <= right[:, None]) & (key & int(_FUNCTION_BITS) == 0)[:, None])
+                    begin = begins[of, run] + first[k]
+                    hold(run_hashes(hashes[first[k] : first[k + 1]], begin - first[k], begin - first[k] + size), of)
+                    for side in (-1, 1):
+                        places = at[:, None] + side * np.arange(half)
+                        out = (places < left[:, None]) | (places > right[:, None])
+                        places = np.where(out, at[:, None], places) + first[k]
+                        for j in range(SKETCHES):
+                            least = values[j][places].min(axis=1)
+                            hold(mix(least + mix(key.astype(np.uint64) + np.uint64(j + (side > 0) * SKETCHES))), np.arange(len(at)))
+                if sum(map(len, held)) > PER_FLUSH:
+                    yield _packed(held, bits)
+                    held = []
+        if held:
+            yield _packed(held, bits)
+
+    return finer
+
+
+def _together(reported: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    """The reported rows with those of `more`, least first document first, that add something.
+
+    A row of which more than SLACK words are in no row yet is added; one that holds a row of the same pair takes its place.
+    """
+    more = more.sort_values(["doc_id", "first_doc_id", "start_word", "end_word"], ascending=[True, True, True, False], ignore_index=True)
+    touched = reported["doc_id"].isin(more["doc_id"])
+    seen: dict[int, list[tuple]] = {}
+    for row in [*reported[touched].itertuples(index=False, name=None)]:
+        seen.setdefault(row[0], []).append(row)
+    for row in more.itertuples(index=False, name=None):
+        doc, begin, end, first, low, high, _ = row
+        rows = seen.setdefault(doc, [])
+        pair = [x for x in rows if x[3] == first]
+        if any(x[1] <= begin and end <= x[2] and x[4] <= low and high <= x[5] for x in pair):
+            continue
+        held = [x for x in pair if begin <= x[1] and x[2] <= end and low <= x[4] and x[5] <= high]
+        free = np.ones(end - begin, bool)
+        for x in rows:
+            free[max(x[1] - begin, 0) : max(x[2] - begin, 0)] = False
+        if held or free.sum() > SLACK:
+            seen[doc] = [x for x in rows if x not in held] + [row]
+    rows = pd.DataFrame([x for rows in seen.values() for x in rows], columns=reported.columns)
+    return pd.concat([reported[~touched], rows.astype(reported.dtypes)]) if len(rows) else reported
+
+
+def _second_stars(docs: DataFrame, collisions: DataFrame, passages: DataFrame, size: int) -> DataFrame:
+    """Passages around tokens that the least document of the key shares without the passage."""
+    parts = F.lit(collisions.count() // PER_BUCKET + 1)
+    of_doc = lambda rows, doc: rows.groupBy(F.pmod(F.xxhash64(doc), parts))
+    open_ = of_doc(collisions, "b").cogroup(of_doc(passages, "doc_id")).applyInPandas(_unsettled, COLLISIONS)
+    open_ = written(open_, "open")
+    windows = collisions.join(open_.select("key").distinct(), "key", "left_semi")
+    windows = written(windows.select("key", F.col("b").alias("doc"), "b_left", "b_at", "b_right").distinct(), "unsettled")
+    amount = windows.count()
+    if not amount:
+        return passages
+    bits = max(0, (amount * (2 * SKETCHES + size // FUNCTIONS) // PER_BUCKET).bit_length())
+    listed = [F.col(f"of.{c}").alias(c) for c in ("key", "b_left", "b_at", "b_right")]
+    parts_of = windows.groupBy("doc").agg(F.ceil(F.count("*") / STRETCHES_PER_ROW).alias("parts"))
+    part = F.pmod(F.xxhash64("key", "b_at"), F.col("parts")).alias("part")
+    lists = windows.join(parts_of, "doc").groupBy("doc", part).agg(F.collect_list(F.struct("key", "b_left", "b_at", "b_right")).alias("of"))
+    lists = lists.select(F.col("doc").alias("doc_id"), *listed)
+    if amount <= BROADCAST_STRETCHES:
+        lists = F.broadcast(lists)
+    finer = docs.join(lists, "doc_id").select("doc_id", "text", "key", "b_left", "b_at", "b_right")
+    finer = finer.mapInArrow(_finer(size, bits), "bucket long, windows binary")
+    again = finer.groupBy("bucket").applyInPandas(_collide, COLLISIONS).join(open_.select("b", "b_at").distinct(), ["b", "b_at"], "left_semi")
+    fits = _fits(again, size).withColumn("function", F.lit(0)).distinct()
+    more = _verified(docs, _agreements(fits, size, 1), size)
+    return of_doc(passages, "doc_id").cogroup(of_doc(more, "doc_id")).applyInPandas(_together, PASSAGES)
+
+
 def repeated_passages(docs: DataFrame, *, words: int = WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
     """doc_id, start_word, end_word, first_doc_id, first_start_word, first_end_word, similarity.
 
     One row for each passage of at least `words` words that a document shares with the least document that has the
-    same least token; ends are exclusive, words count from 0. A passage in n documents makes n - 1 rows. Passages that
+    same least token, or, where that document lacks the passage, with the least that has it; ends are exclusive, words count from 0. A passage in n documents makes n - 1 rows. Passages that
     repeat only inside one document are not reported. Null, empty and short texts have none. Rows without a doc_id are
     passed over; rows with equal doc_ids are one document. Other columns are ignored; an empty table gives no rows.
     """
@@ -327,14 +477,6 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, functions: int = F
     n_windows = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * functions // (3 * size)
     bits = max(0, (n_windows // PER_BUCKET).bit_length())
     windows = docs.mapInArrow(_windows(size, functions, bits), "bucket long, windows binary")
-    collisions = written(windows.groupBy("bucket").applyInPandas(_collide(size), COLLISIONS), "collisions")
-    parts = collisions.count() // PER_BUCKET + 1
-    of_pair = F.pmod(F.xxhash64("a", "b"), F.lit(parts))
-    stretches = written(collisions.groupBy(of_pair).applyInPandas(_agreed(size, enough), STRETCHES), "agreed")
-    sides = [stretches.select(F.col(s).alias("doc"), F.col(f"{s}_begin").alias("begin"), F.col(f"{s}_end").alias("end")) for s in "ab"]
-    tokens = written(_stretch_tokens(docs, sides[0].unionByName(sides[1])), "tokens").dropDuplicates(["doc", "begin", "end"])
-    for side in "ab":
-        named = {"doc": side, "begin": f"{side}_begin", "end": f"{side}_end", "tokens": f"{side}_tokens"}
-        stretches = stretches.join(tokens.withColumnsRenamed(named), [side, f"{side}_begin", f"{side}_end"])
-    columns = ("a", "b", "a_begin", "b_begin", "a_tokens", "b_tokens")
-    return stretches.select(*columns).mapInArrow(_verify(size), PASSAGES)
+    collisions = written(windows.groupBy("bucket").applyInPandas(_collide, COLLISIONS), "collisions")
+    passages = _verified(docs, _agreements(_fits(collisions, size), size, enough), size)
+    return _second_stars(docs, collisions, passages, size)

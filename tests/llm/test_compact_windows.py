@@ -67,3 +67,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     found = compact_windows.repeated_passages(odd_docs.unionByName(more, allowMissingColumns=True)).collect()
     assert {(x.doc_id, x.first_doc_id) for x in found} == {(8, 5)}
     assert max(x.end_word - x.start_word for x in found) == 60_000
+
+
+def test_quotes_in_lesser_documents_hide_no_passage(spark):
+    rng = random.Random(5)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=4)) for _ in range(n)]
+    docs, expected = [], set()
+    for i in range(120):
+        passage, at = text(60), rng.randrange(20)
+        quote = passage[at : at + 40]
+        near = [w if k % 12 else "x" + w for k, w in enumerate(passage)]  # below the similarity asked for
+        docs.append((i, " ".join(text(60) + (quote if i % 2 else near) + text(60) + quote)))
+        for k in (1000, 2000):
+            docs.append((k + i, " ".join(text(80) + passage + text(80))))
+        expected.add((2000 + i, 1000 + i))
+    rows = compact_windows.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.first_doc_id) for x in rows if x.first_doc_id >= 1000} == expected
+    assert [x for x in rows if x.first_doc_id < 1000] == []
+    assert len(rows) == len(expected) and all(x.similarity == 1 for x in rows)
+    assert all(abs(x.start_word - 80) <= 1 and abs(x.end_word - 140) <= 1 for x in rows)
