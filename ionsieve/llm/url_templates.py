@@ -1,8 +1,8 @@
 """Verdicts on urls: given rules first, then path templates whose labelled urls are mostly blocked.
 
-Per host, paths form a tree of segments. Level by level, a segment that few of its siblings' urls share becomes a
-wildcard of its shape; segments that stay are merged again where their labelled urls are blocked at rates
-that do not differ. Each leaf is a template. It is rejected if the smoothed share of blocked urls among its
+Per host, paths form a tree of segments. Level by level, segments that are ids become a wildcard of their shape: numbers,
+and words of which there are many with hardly any paths each. A segment whose labelled urls are blocked at another
+rate than its siblings' stays, and so does every other name. Each leaf is a template. It is rejected if the smoothed share of blocked urls among its
 labelled ones is high. The labels are the rules' own verdicts.
 """
 
@@ -16,8 +16,8 @@ from .tables import written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 LEVELS = 4  # segments of a template; what lies deeper is its `**`
-LEAST_SHARE = 0.05  # of its siblings' urls, for a segment to be kept as it is
-LEAST_URLS = 3
+NAMES = 16  # words of one shape beside each other, above which they may be ids
+PATHS_PER_NAME = 3  # words with as many distinct paths on average are names
 MERGE_BELOW = 1.96  # two rates whose difference has fewer standard errors are alike
 PRIOR = 2.0  # urls by which the share of all labelled urls smooths a template's
 REJECT_FROM = 0.8
@@ -60,18 +60,21 @@ def _next_level(paths: DataFrame, level: int) -> DataFrame:
     key = ["host", "template"]
     segment = F.coalesce(F.get("segments", F.lit(level)), F.lit(""))
     paths = paths.withColumns({"segment": segment, "more": F.size("segments") > level})
-    counts = [F.sum("urls").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    branches = paths.where("more").groupBy(*key, "segment").agg(*counts)
-    parents = branches.groupBy(*key).agg(*(F.sum(c).alias(f"all_{c}") for c in ("urls", "labelled", "blocked")))
-    branches = branches.join(parents, key)
-    frequent = (F.col("urls") >= LEAST_URLS) & (F.col("urls") >= LEAST_SHARE * F.col("all_urls"))
-    # The branch against its siblings: two shares of blocked urls, each smoothed by one url of either kind.
-    n, rest = F.col("labelled") + 2, F.col("all_labelled") - F.col("labelled") + 2
-    p, q = (F.col("blocked") + 1) / n, (F.col("all_blocked") - F.col("blocked") + 1) / rest
-    pooled = (F.col("all_blocked") + 2) / (n + rest)
-    score = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))
-    kept = frequent & (score >= MERGE_BELOW)
-    names = branches.select(*key, "segment", F.when(kept, F.col("segment")).otherwise(shape(F.col("segment"))).alias("name"))
+    counts = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
+    branches = paths.where("more").groupBy(*key, "segment").agg(F.count("*").alias("paths"), *counts)
+    branches = branches.withColumn("shape", shape(F.col("segment")))
+    kinds = branches.groupBy(*key, "shape").agg(F.count("*").alias("names"), F.sum("paths").alias("all_paths"))
+    parents = branches.groupBy(*key).agg(*(F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked")))
+    branches = branches.join(kinds, [*key, "shape"]).join(parents, key)
+    many = (F.col("names") > NAMES) & (F.col("all_paths") < PATHS_PER_NAME * F.col("names"))
+    ids = many | ~F.startswith(F.col("shape"), F.lit("<w>"))
+    # The branch against its siblings: two shares of blocked urls, if both have labels.
+    n, rest = F.col("labelled"), F.col("all_labelled") - F.col("labelled")
+    p, q = F.try_divide(F.col("blocked"), n), F.try_divide(F.col("all_blocked") - F.col("blocked"), rest)
+    pooled = (F.col("all_blocked") + 1) / (F.col("all_labelled") + 2)
+    score = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n) + F.try_divide(F.lit(1), rest)))
+    kept = ~ids | F.coalesce(score >= MERGE_BELOW, F.lit(False))
+    names = branches.select(*key, "segment", F.when(kept, F.col("segment")).otherwise(F.col("shape")).alias("name"))
     longer = paths.join(names, [*key, "segment"], "left")
     template = F.when(F.col("more"), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))
     return longer.withColumn("template", template).drop("segment", "more", "name")
@@ -86,7 +89,7 @@ def path_templates(urls: DataFrame) -> DataFrame:
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
     paths = paths.withColumns({"segments": segments, "template": F.lit("")})
     for level in range(LEVELS):
-        paths = _next_level(paths, level)
+        paths = written(_next_level(paths, level), "level")
     deeper = F.when(F.size("segments") > LEVELS, "/**").otherwise("")
     return paths.withColumn("template", F.concat("template", deeper)).drop("segments")
 

@@ -58,3 +58,14 @@ def test_odd_rows(spark):
     assert urls.judge_urls(pages.where("false")).count() == 0
     long = spark.createDataFrame([(1, "http://a.b/" + "x/" * 50_000)], "page_id long, url string")
     assert urls.judge_urls(long).first().verdict == "allow"
+
+
+def test_only_ids_share_labels(spark):
+    rules = (("block", "host.b", "/de/"), ("block", "host.c", "/a/"), ("allow", "host.c", "/b/"))
+    rows = [f"http://host.b/{word}/{i}" for word in ("de", "fr", "en") for i in range(14)]
+    rows += [f"http://host.c/a/{i}" for i in range(300)] + [f"http://host.c/{word}/{i}" for word in "bc" for i in range(4)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    found = {rows[x.page_id]: x for x in urls.judge_urls(pages, rules).collect()}
+    for url, x in found.items():
+        assert x.verdict == ("block" if "/de/" in url or "/a/" in url else "allow"), url
+    assert {found[f"http://host.{u}/3"].template for u in ("b/de", "b/fr", "c/a", "c/c")} == {"/de/<n>", "/fr/<n>", "/a/<n>", "/c/<n>"}
