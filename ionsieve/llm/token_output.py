@@ -74,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(re.escape(x.encode()) for x in added)) if added else None
         vocabulary = self.tokenizer.get_vocab()  # each character of an entry stands for one byte
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -88,7 +89,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.first, self.ids = [0], []
-        cuts = piece_cuts(data, offsets)
+        cuts = self._cuts(data, offsets)
         hashes = run_hashes(exact_values(data), cuts[:-1], cuts[1:])
         hashes, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         keys, known = hashes.tolist(), self.known
@@ -107,6 +108,23 @@ class Encoder:
         begins = np.concatenate([[0], ends])
         return store[places], begins[np.searchsorted(cuts, offsets)]
 
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """As piece_cuts(), with each added token's text in a piece of its own."""
+        cuts, raw = piece_cuts(data, offsets), data.tobytes()
+        if self.added is None or not self.added.search(raw):
+            return cuts
+        cut = np.zeros(len(data) + 1, bool)
+        cut[cuts] = True
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            last = a
+            for found in self.added.finditer(raw[a:b]):
+                begin, end = a + found.start(), a + found.end()
+                # The library splits there first: a last space before it follows no visible character any more.
+                cut[max(last + 1, begin - 1) : end] = False
+                cut[[begin, end]] = True
+                last = end
+        return np.flatnonzero(cut)
+
     def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
         """Remember the ids of `pieces`.
 
@@ -217,7 +235,7 @@ def write_sequences(
 
     A null text is empty and yields the end id alone. A null doc_id comes first. Rows with equal doc_id
     are all written, in the order of a hash of their text. Other columns are ignored. An empty table
-    gives shards without documents. Special tokens' names in a text are ordinary text.
+    gives shards without documents. An added token's name in a text is that token, as the library has it.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "sequences")

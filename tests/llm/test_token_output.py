@@ -53,3 +53,14 @@ def test_pieces_encode_like_the_whole(text):
     ids, begins = encode(*text_bytes(pa.array([text, None, text])))
     expected = encode.tokenizer.encode(text, add_special_tokens=False).ids
     assert ids.tolist() == expected * 2 and begins.tolist() == [0, len(expected), len(expected), 2 * len(expected)]
+
+
+@pytest.mark.parametrize("text", ["one <|endoftext|> two", "a  <|endoftext|>  b.\n<|endoftext|>\nA", "<|endoftext|><|endoftext|>x <|endoftext", "x <|endoftext|>", "|><|endoftext|>, y"])
+def test_added_tokens_are_what_the_library_gives(text):
+    from ionsieve.llm.words import text_bytes
+    import pyarrow as pa
+
+    expected = [Tokenizer.from_file(PATH).encode(x, add_special_tokens=False).ids for x in (text, "<|endof", "text|> z", text)]
+    ids, begins = token_output.Encoder(PATH)(*text_bytes(pa.array([text, "<|endof", "text|> z", text])))
+    assert 50256 in expected[0]
+    assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == expected
