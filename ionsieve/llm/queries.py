@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, decontamination, mixing, neighbour_graph, ngram_join, page_text, quality, secrets, token_output, url_templates
+from . import compact_windows, decontamination, mixing, neighbour_graph, ngram_join, page_text, quality, rule_cascade, secrets, sql, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -58,6 +58,10 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_cascade.judged(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_suffix_text": op1_host_suffix_text,
     "op2_novel_secrets": op2_novel_secrets,
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_templates": op8_url_templates,
     "op9_source_mixture": op9_source_mixture,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_rule_cascade": op11_rule_cascade,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_rule_cascade": sql.RULE_CASCADE}
