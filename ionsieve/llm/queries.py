@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, decontamination, mixing, neighbour_graph, ngram_join, page_text, quality, rule_cascade, secrets, sql, token_output, url_templates
+from . import compact_windows, decontamination, lexical_search, mixing, neighbour_graph, ngram_join, page_text, quality, rule_cascade, secrets, sql, token_alignment, token_output, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,15 @@ def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.judged(_table(spark, sf_dir, "documents"))
 
 
+def op12_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_alignment.aligned_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_suffix_text": op1_host_suffix_text,
     "op2_novel_secrets": op2_novel_secrets,
@@ -74,5 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixture": op9_source_mixture,
     "op10_repeated_passages": op10_repeated_passages,
     "op11_rule_cascade": op11_rule_cascade,
+    "op12_pair_bound_search": op12_pair_bound_search,
+    "op13_token_alignment": op13_token_alignment,
 }
-ORACLES: dict[str, str] = {"op11_rule_cascade": sql.RULE_CASCADE}
+ORACLES: dict[str, str] = {"op11_rule_cascade": sql.RULE_CASCADE, "op12_pair_bound_search": sql.RANKED_SEARCH}
