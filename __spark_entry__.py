@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle  # noqa: E402
 from ionsieve import fixtures  # noqa: E402
-from ionsieve.operators import distance, eic as eics, filters, samples, stats  # noqa: E402
+from ionsieve.operators import distance, eic as eics, filters, metric_index, samples, stats  # noqa: E402
 from ionsieve.operators.normalize import combine_molecules, normalize_by_istd  # noqa: E402
 from ionsieve.operators.targets import prepare_targets  # noqa: E402
 from ionsieve.plans import apex, frames, screening  # noqa: E402
@@ -396,6 +396,23 @@ def _molecule_distances(d: Data, cells: DataFrame) -> DataFrame:
     return _rounded(named.select(F.col("name_1").alias("item_1"), F.col("name_2").alias("item_2"), "distance"), distance=6)
 
 
+def _leaves(d: Data, of: str) -> DataFrame:
+    return frames.cluster_order(d.saved_max, of)[0]
+
+
+def cluster_order_molecules(d: Data) -> DataFrame:
+    named = _leaves(d, "molecule").join(d.targets.labels, F.col("item") == F.col("target_id"))
+    return _rounded(named.select("molecule", "place", "height"), height=6)
+
+
+def cluster_order_samples(d: Data) -> DataFrame:
+    return _rounded(_leaves(d, "file").select(F.col("item").alias("file"), "place", "height"), height=6)
+
+
+def cluster_merges_samples(d: Data) -> DataFrame:
+    return _rounded(frames.cluster_order(d.saved_max, "file")[1], height=6)
+
+
 def sample_distance(d: Data) -> DataFrame:
     return _rounded(distance.pairwise_distances(_profiles(frames.multi_stripes(d.saved_max), "file")), distance=6)
 
@@ -408,6 +425,19 @@ def nearest_profile_processed(d: Data) -> DataFrame:
     return _rounded(distance.nearest_profiles(_profiles(_kept(d), "file")), distance=6)
 
 
+# Neighbours of each sample.
+NEAREST = 5
+
+
+def nearest_k_profiles(d: Data) -> DataFrame:
+    found = metric_index.nearest_k(_profiles(frames.multi_stripes(d.saved_max), "file"), NEAREST)
+    return _rounded(found, distance=6)
+
+
+def nearest_k_profiles_processed(d: Data) -> DataFrame:
+    return _rounded(metric_index.nearest_k(_profiles(_kept(d), "file"), NEAREST), distance=6)
+
+
 def box_compare_frame(d: Data) -> DataFrame:
     return _rounded(d.box_values.drop("file_id", "target_id"), value=6)
 
@@ -500,6 +530,11 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "molecule_distance": molecule_distance,
     "molecule_distance_processed": molecule_distance_processed,
     "sample_distance": sample_distance,
+    "cluster_order_molecules": cluster_order_molecules,
+    "cluster_order_samples": cluster_order_samples,
+    "cluster_merges_samples": cluster_merges_samples,
+    "nearest_k_profiles": nearest_k_profiles,
+    "nearest_k_profiles_processed": nearest_k_profiles_processed,
     "nearest_profile": nearest_profile,
     "nearest_profile_processed": nearest_profile_processed,
     "box_compare_frame": box_compare_frame,

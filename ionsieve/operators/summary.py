@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ from .targets import Targets
 # Minutes of a chromatogram that one task orders at a time.
 RT_CELL = 1.0
 
-# Blocks per side when a sample x target grid is too large to broadcast one side.
+# Pairs of samples and targets that one task makes, about.
+GRID_ROWS = 500_000
+
+# Targets of a block when there are too many to broadcast, and samples that meet it in one cell.
 TARGETS_PER_BLOCK = 5_000
-SAMPLE_BLOCKS = 64
+SAMPLES_PER_BLOCK = 100
 
 
 def _first_at_max() -> Column:
@@ -21,35 +26,51 @@ def _first_at_max() -> Column:
     return F.min_by("rt", F.struct((-F.col("intensity")).alias("high"), F.col("rt").alias("early")))
 
 
-def sample_target_grid(manifest: DataFrame, targets: Targets) -> DataFrame:
-    """One row per sample and target: `pos`, file_id, file, target_id.
+@dataclass(frozen=True)
+class Grid:
+    """Samples times targets, dealt out by `cells`, and how anything keyed like it finds its cell."""
+
+    pairs: DataFrame
+    cells: dict[str, Column]
+
+    def left_join(self, results: DataFrame) -> DataFrame:
+        """`results` (file_id, target_id, ...) on every pair, nulls where there are none.
+
+        The cells are part of the join keys, so only the results have to move to where the pairs are made already, with
+        spark.sql.requireAllClusterKeysForCoPartition off (see session.recommended_conf).
+        """
+        # Hashed rather than sorted: a task has at most as many results as it makes pairs.
+        placed = results.withColumns(self.cells).hint("shuffle_hash")
+        return self.pairs.join(placed, [*self.cells, "file_id", "target_id"], "left").drop(*self.cells)
 
-    Every pair is a row of the result, found or not. Pairs are made by an equi
-    join on block numbers, so each task makes an even share of them; a short
-    target list is a single block and is broadcast.
+
+def sample_target_grid(manifest: DataFrame, targets: Targets) -> Grid:
+    """One row per sample and target: `pos`, file_id, file, target_id, molecule, target_mz.
+
+    Every pair is a row of the result, found or not. Samples are dealt out first, to as many tasks as the pairs need; a
+    short target list is then broadcast to them, and blocks of a long one meet blocks of samples by an equi join.
     """
-    blocks = 1 if targets.few else -(-targets.count // TARGETS_PER_BLOCK)
-    sample_blocks = 1 if targets.few else SAMPLE_BLOCKS
-    numbered = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+    samples = manifest.select("file_id", "pos", base_name(F.col("file_id")).alias("file"))
+    count = samples.count()
+    spark = manifest.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * targets.count // GRID_ROWS))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    samples = manifest.select(
-        "file_id", "pos", numbered("file_id", sample_blocks).alias("_s"), every(blocks).alias("_t")
-    )
-    wanted = targets.table.select(
-        "target_id", numbered("target_id", blocks).alias("_t"), every(sample_blocks).alias("_s")
-    )
+    n_t = 1 if targets.few else -(-targets.count // TARGETS_PER_BLOCK)
+    n_s = 1 if targets.few else max(1, -(-count // SAMPLES_PER_BLOCK))
+    wanted = targets.labels.withColumn("_t", block("target_id", n_t))
     if targets.few:
-        wanted = F.broadcast(wanted)
-    return samples.join(wanted, ["_s", "_t"]).drop("_s", "_t")
+        dealt = samples.withColumn("_t", F.pmod(F.xxhash64("file_id"), F.lit(1))).repartition(tasks, "file_id")
+        return Grid(dealt.join(F.broadcast(wanted), "_t").drop("_t"), {})
+    cells = {"_s": block("file_id", n_s), "_t": block("target_id", n_t)}
+    dealt = samples.withColumn("_s", cells["_s"]).withColumn("_t", every(n_t)).repartition(tasks, "_s", "_t")
+    wanted = wanted.withColumn("_s", every(n_s)).repartition(tasks, "_s", "_t")
+    return Grid(dealt.join(wanted, ["_s", "_t"]), cells)
 
 
 def complete(results: DataFrame, manifest: DataFrame, targets: Targets) -> DataFrame:
     """Results on the full grid: pairs without a result get nulls."""
-    grid = sample_target_grid(manifest, targets)
-    placed = grid.join(results, ["file_id", "target_id"], "left").join(
-        targets.labels, "target_id"
-    )
-    return placed.withColumn("file", base_name(F.col("file_id")))
+    return sample_target_grid(manifest, targets).left_join(results)
 
 
 def apexes(chromatograms: DataFrame) -> DataFrame:

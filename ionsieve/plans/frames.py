@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, scoring
-from ..operators import distance
+from ..operators import clustering, distance
 from ..operators.eic import eic, labelled
 from ..operators.ordering import evenly_spaced, quantiles, with_index
 from ..operators.samples import in_date_order, labelled_frame
 from ..operators.stats import box_statistics, compare
 from ..operators.targets import Targets
-from ..session import BROADCAST_MAX_ROWS
+from ..session import BROADCAST_MAX_ROWS, materialize
 
 X_LABELS = ("file", "date", "year", "none")
 
@@ -175,6 +175,25 @@ def profiles(cells: DataFrame, of: str) -> DataFrame:
     return distance.profile_chunks(cells, item, dimension, "plot_intensity")
 
 
+# Distances are compared to so many digits, as sums have no fixed order.
+DISTANCE_DIGITS = 9
+
+
+def cluster_order(max_values: DataFrame, of: str, log_scale: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(leaves, merges) of the complete-linkage tree of the "molecule"s or of the samples ("file"): rows and columns of the grid
+    in the order in which a clustered stripes chart draws them. See clustering.cluster_tree.
+
+    Equals go by list order: target_id, or a sample's pos and path. Items are keys: target_id or file_id.
+    """
+    cells = multi_stripes(max_values, log_scale)
+    pairs = distance.pairwise_distances(materialize(profiles(cells, of)))
+    pairs = pairs.withColumn("distance", F.round("distance", DISTANCE_DIGITS))
+    item, order = ("target_id", ["item"]) if of == "molecule" else ("file_id", ["pos", "item"])
+    known = [F.first("pos").alias("pos")] if of == "file" else []
+    items = max_values.groupBy(F.col(item).alias("item")).agg(F.lit(0).alias("_"), *known)
+    return clustering.cluster_tree(pairs, items, [F.col(x) for x in order])
+
+
 def box_values(max_values: DataFrame, log_scale: bool = True) -> DataFrame:
     """Values that boxes and tests are made of: target_id, molecule, file_id, file, value."""
     value: Column = scoring.plot_intensity(F.col("max_intensity"), log_scale)

@@ -29,6 +29,8 @@ def recommended_conf(cores: int, checkpoint_folder: str, input_bytes: int = 0) -
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
         "spark.sql.files.maxPartitionBytes": "256MB",
         "spark.sql.parquet.filterPushdown": "true",
+        # A join may keep rows where a part of its keys has put them already.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.session.timeZone": "UTC",
     }
 
@@ -40,6 +42,7 @@ def local_session(cores: int = 8, app_name: str = "ionsieve") -> SparkSession:
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")

@@ -324,6 +324,15 @@ def _nearest(pairs: str) -> str:
         where place = 1"""
 
 
+def _nearest_k(pairs: str, k: int) -> str:
+    return f"""
+        select item, cast(place as int) as rank, other as nearest, round(distance, 6) as distance from (
+            select *, row_number() over (partition by item order by round(distance, 9), other) as place from (
+                select item_1 as item, item_2 as other, distance from {pairs}
+                union all select item_2, item_1, distance from {pairs}))
+        where place <= {k}"""
+
+
 def _wide(cells: str) -> str:
     columns = ", ".join(f"coalesce(round(sum(value) filter (molecule = 'mol_{i}'), 6), 0) as mol_{i}" for i in range(5))
     return f"select file, {columns} from {cells} group by file"
@@ -337,6 +346,65 @@ def _molecule_distance(profile: str) -> str:
         group by a.molecule, b.molecule"""
 
 
+def _tree(known: str, query: str) -> str:
+    """`query` over the complete-linkage tree of `known` (i, j, name_i, name_j, distance; i < j): merge by merge.
+
+    A cluster is named after its first item. The least (distance, first item, first item) merges next.
+    """
+    return f"""
+        with recursive known as ({known}),
+        name as (select distinct i, name_i as item from known union select distinct j, name_j from known),
+        state as (
+            select cast(1 as bigint) as step, i as lo, j as hi, distance as d from known
+            union all
+            select step + 1, lo, hi, max(d) from (
+                select step, least(x, y) as lo, greatest(x, y) as hi, d from (
+                    select step, d, case when lo = b then a else lo end as x, case when hi = b then a else hi end as y
+                    from (select *, first_value(lo) over w as a, first_value(hi) over w as b from state
+                          window w as (order by d, lo, hi)))
+                where x <> y)
+            group by step, lo, hi),
+        merge as (select * from state qualify row_number() over (partition by step order by d, lo, hi) = 1),
+        child as (
+            select m.step, m.lo, m.hi,
+                   (select max(x.step) from merge x where x.lo = m.lo and x.step < m.step) as lo_step,
+                   (select max(x.step) from merge x where x.lo = m.hi and x.step < m.step) as hi_step
+            from merge m),
+        side as (
+            select step, lo as label, lo_step as below, coalesce(lo_step, 0) <= coalesce(hi_step, 0) as first from child
+            union all
+            select step, hi, hi_step, coalesce(lo_step, 0) > coalesce(hi_step, 0) from child),
+        node as (
+            select max(step) as step, cast(null as bigint) as leaf, '' as path from merge
+            union all
+            select s.below, case when s.below is null then s.label end, concat(n.path, case when s.first then '0' else '1' end)
+            from node n join side s on s.step = n.step),
+        leaf as (select leaf as i, path, row_number() over (order by path) as place from node where leaf is not null)
+        {query}"""
+
+
+def _distances(item: str, other: str, place: str) -> str:
+    return f"""
+        , placed as (select item_name as item, row_number() over (order by {place}, item_name) as i from
+                     (select distinct {item} as item_name from profile) left join manifest m on m.file = item_name),
+        valued as (select i, p.{item} as item, p.{other} as other, value from profile p join placed on placed.item = p.{item})
+        select a.i, b.i as j, a.item as name_i, b.item as name_j,
+               round(sqrt(sum((a.value - b.value) * (a.value - b.value))), 9) as distance
+        from valued a join valued b on a.other = b.other and a.i < b.i group by all"""
+
+
+_TREE_OF = {"molecule": _distances("molecule", "file", "cast(0 as bigint)"), "file": _distances("file", "molecule", "pos")}
+
+_LEAVES = """
+    select item as {name}, place, round((select min(d) from merge where lo = i or hi = i), 6) as height
+    from leaf join name using (i)"""
+
+_MERGES = """
+    select m.step, a.item as a, b.item as b, round(m.d, 6) as height,
+           (select count(*) from leaf join node n on n.step = m.step and starts_with(leaf.path, n.path)) as n_items
+    from merge m join name a on a.i = m.lo join name b on b.i = m.hi"""
+
+
 # Mid-ranks of `value` over each pair, as 1 + smaller values + half the other equals.
 _MID = """rank() over (partition by name_1, name_2 order by {value})
           + (count(*) over (partition by name_1, name_2, {value}) - 1) / cast(2 as double)"""
@@ -602,7 +670,12 @@ def statements() -> dict[str, str]:
         "sample_distance": _with(
             ["sample_pair"], "select item_1, item_2, round(distance, 6) as distance from sample_pair"
         ),
+        "cluster_order_molecules": _tree(_with(["profile"], _TREE_OF["molecule"]), _LEAVES.format(name="molecule")),
+        "cluster_order_samples": _tree(_with(["profile"], _TREE_OF["file"]), _LEAVES.format(name="file")),
+        "cluster_merges_samples": _tree(_with(["profile"], _TREE_OF["file"]), _MERGES),
         "nearest_profile": _with(["sample_pair"], _nearest("sample_pair")),
+        "nearest_k_profiles": _with(["sample_pair"], _nearest_k("sample_pair", 5)),
+        "nearest_k_profiles_processed": _with(["kept_pair"], _nearest_k("kept_pair", 5)),
         "nearest_profile_processed": _with(["kept_pair"], _nearest("kept_pair")),
         "box_compare_frame": _with(["box"], "select molecule, file, round(value, 6) as value from box"),
         "box_stats": _with(

@@ -221,9 +221,9 @@ def test_salted_join_on_one_hot_bin(spark):
 
 
 def test_block_grid_equals_small_grid(manifest, targets):
-    small = {tuple(r) for r in summary.sample_target_grid(manifest, targets).select("file_id", "target_id").collect()}
+    small = {tuple(r) for r in summary.sample_target_grid(manifest, targets).pairs.select("file_id", "target_id").collect()}
     large = type(targets)(targets.table, targets.tolerance, 10**7, targets.scan_ranges)
-    blocks = summary.sample_target_grid(manifest, large).select("file_id", "target_id").collect()
+    blocks = summary.sample_target_grid(manifest, large).pairs.select("file_id", "target_id").collect()
     assert len(blocks) == 8 * 3 and {tuple(r) for r in blocks} == small
 
 
