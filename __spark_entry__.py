@@ -17,8 +17,9 @@ from ionsieve import fixtures  # noqa: E402
 from ionsieve.operators import distance, eic as eics, filters, metric_index, samples, stats  # noqa: E402
 from ionsieve.operators.normalize import combine_molecules, normalize_by_istd  # noqa: E402
 from ionsieve.operators.targets import prepare_targets  # noqa: E402
-from ionsieve.plans import apex, frames, screening  # noqa: E402
-from ionsieve.session import materialize  # noqa: E402
+from ionsieve.plans import apex, counters, frames, incremental, screening  # noqa: E402
+from ionsieve.session import materialize, scratch_folder  # noqa: E402
+from ionsieve.sources import time_layout  # noqa: E402
 from ionsieve.sources.manifest import files_without_peaks  # noqa: E402
 from ionsieve.sources.metadata import latest_metadata  # noqa: E402
 
@@ -235,6 +236,25 @@ def run_counters(d: Data) -> DataFrame:
     return screening.run_counters(d.saved_max, standard, d.metadata).drop("target_id")
 
 
+def run_counters_observed(d: Data) -> DataFrame:
+    """The same counts, from the metrics of the run that processes the results."""
+    ids = [row.target_id for row in d.targets.table.select("target_id").collect()]
+    standard = d.saved_max.where(F.col("molecule") == STANDARD)
+    _, counted = counters.processed_with_counters(d.saved_max, standard, d.metadata, ids)
+    return counted.join(d.targets.labels.select("target_id", "molecule"), "target_id").drop("target_id")
+
+
+def incremental_max_frame(d: Data) -> DataFrame:
+    """Two loads of samples, the second one with new samples and with some of the first again, whose peaks had been cut short."""
+    path = scratch_folder(d.spark, "max-state")
+    first = d.manifest.where("pos % 3 <> 0")
+    short = d.peaks.where("rt < 2")
+    incremental.update_max_frame(path, short.unionByName(d.peaks.where("rt >= 2 and file_id not like 'Sample%'")), first, d.targets, folders=8)
+    second = d.manifest.where("pos % 3 = 0 or file like 'Sample%'")
+    found = incremental.update_max_frame(path, d.peaks, second, d.targets, folders=8)
+    return _rounded(found.select("molecule", "file", "max_intensity", "rt_at_max", "target_mz"), max_intensity=2)
+
+
 def process_screening_results(d: Data) -> DataFrame:
     kept = screening.process_screening_results(d.saved_max, d.metadata)
     columns = ("molecule", "file", "display_name", "sample_idx", "max_intensity", "rt_at_max")
@@ -312,6 +332,16 @@ def _given_spectrum(mslevel: str) -> Callable[[Data], DataFrame]:
     return query
 
 
+def spectrum_from_time_layout(d: Data) -> DataFrame:
+    """MS2 spectra from peaks that are laid out by sample and time; only files that the windows touch are opened."""
+    path = scratch_folder(d.spark, "time-layout")
+    time_layout.write_time_layout(d.peaks, path, 24)
+    windows = apex.apex_window_frame(d.peaks, d.targets)
+    bounds = windows.select("file_id", (F.col("apex_rt") - F.col("rt_tolerance")).alias("lo"), (F.col("apex_rt") + F.col("rt_tolerance")).alias("hi"))
+    lines = apex.spectrum_at_apex(time_layout.peaks_in_windows(d.spark, path, bounds, "2"), d.targets, windows, "2")
+    return _rounded(lines.select("molecule", "file", "mz", "intensity", "base_peak"), intensity=2, base_peak=2)
+
+
 def given_rt_windows(d: Data) -> DataFrame:
     given = d.manifest.select("file_id").crossJoin(d.targets.table.select("target_id"))
     given = given.select("target_id", "file_id", F.explode(F.array(F.lit(1.0), F.lit(2.5), F.lit(9.0))).alias("rt"))
@@ -508,6 +538,8 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "filter_sample_paths": filter_sample_paths,
     "missing_files": missing_files,
     "run_counters": run_counters,
+    "run_counters_observed": run_counters_observed,
+    "incremental_max_frame": incremental_max_frame,
     "process_screening_results": process_screening_results,
     "normalize_by_istd": normalize,
     "normalized_line": normalized_line,
@@ -516,6 +548,7 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "apex_rt_tolerance": apex_rt_tolerance,
     "spectrum_at_apex_ms1": _spectrum("1"),
     "spectrum_at_apex_ms2": _spectrum("2"),
+    "spectrum_from_time_layout": spectrum_from_time_layout,
     "given_rt_windows": given_rt_windows,
     "spectrum_at_given_rt_ms1": _given_spectrum("1"),
     "spectrum_at_given_rt_ms2": _given_spectrum("2"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,15 +52,7 @@ def local_session(cores: int = 8, app_name: str = "ionsieve") -> SparkSession:
     )
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and continue from there.
-
-    For small results that several later steps read, so that the peak scan
-    behind them runs once. The folder is the shared one that the cluster names
-    in `spark.checkpoint.dir`; only a local session may fall back to a folder
-    of its own.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
@@ -68,6 +61,23 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="ionsieve-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for tables of a run."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and continue from there.
+
+    For small results that several later steps read, so that the peak scan
+    behind them runs once. The folder is the shared one that the cluster names
+    in `spark.checkpoint.dir`; only a local session may fall back to a folder
+    of its own.
+    """
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -742,6 +742,9 @@ def statements() -> dict[str, str]:
             from pair join side a on a.molecule = name_1 join side b on b.molecule = name_2""",
         ),
     }
+    sql["run_counters_observed"] = sql["run_counters"]
+    sql["incremental_max_frame"] = sql["max_intensities"]
+    sql["spectrum_from_time_layout"] = sql["spectrum_at_apex_ms2"]
     exact = lambda text: text.replace("round(", "(").replace(", 6)", ")")
     sql["pairwise_tests"] = f"""
         with signed as ({sql['wilcoxon_signed_rank_stat']}),
