@@ -16,12 +16,13 @@ import oracle  # noqa: E402
 from ionsieve import fixtures  # noqa: E402
 from ionsieve.operators import distance, eic as eics, filters, metric_index, samples, stats  # noqa: E402
 from ionsieve.operators.normalize import combine_molecules, normalize_by_istd  # noqa: E402
+from ionsieve.operators.ordering import with_index  # noqa: E402
 from ionsieve.operators.targets import prepare_targets  # noqa: E402
 from ionsieve.plans import apex, counters, frames, incremental, screening  # noqa: E402
 from ionsieve.session import materialize, scratch_folder  # noqa: E402
-from ionsieve.sources import time_layout  # noqa: E402
-from ionsieve.sources.manifest import files_without_peaks  # noqa: E402
-from ionsieve.sources.metadata import latest_metadata  # noqa: E402
+from ionsieve.sources import sinks, time_layout  # noqa: E402
+from ionsieve.sources.manifest import files_without_peaks, manifest_from_listing, only_samples  # noqa: E402
+from ionsieve.sources.metadata import as_metadata, latest_metadata  # noqa: E402
 
 ONE_MASS = 155.0523
 HIGH = 90_000.0
@@ -169,6 +170,16 @@ def suspect_screening_library(d: Data) -> DataFrame:
     return _screened(d, d.library)
 
 
+def results_by_score(d: Data) -> DataFrame:
+    found = screening.suspect_screening(d.peaks, d.manifest, d.targets, min_intensity=HIGH)
+    return sinks.ranked_by_score(found).select("place", "Sample", "Compound", "Detection_Score", "Status")
+
+
+def one_sample_only(d: Data) -> DataFrame:
+    """Chromatograms of one sample that the user names."""
+    return _eic_columns(screening.screen_molecules(only_samples(d.peaks, ["POOL_2023%201.parquet"]), d.targets))
+
+
 def detected_compounds(d: Data) -> DataFrame:
     return filters.detected_compounds(_screened(d, d.targets))
 
@@ -196,6 +207,15 @@ def _heatmap(metric: str) -> Callable[[Data], DataFrame]:
 # Samples and dates
 
 
+def manifest_listing(d: Data) -> DataFrame:
+    found = manifest_from_listing(fixtures.listing(d.spark, d.sf_dir))
+    return with_index(materialize(found), [], [F.col("pos")], "place").select("place", "file_id", "file", "path", "folder", "url")
+
+
+def metadata_from_text(d: Data) -> DataFrame:
+    return latest_metadata(as_metadata(fixtures.text_metadata(d.spark, d.sf_dir)))
+
+
 def metadata_latest(d: Data) -> DataFrame:
     return latest_metadata(d.metadata)
 
@@ -523,12 +543,16 @@ QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "suspect_screening": suspect_screening,
     "suspect_screening_rounded": suspect_screening_rounded,
     "suspect_screening_library": suspect_screening_library,
+    "results_by_score": results_by_score,
+    "one_sample_only": one_sample_only,
     "detected_compounds": detected_compounds,
     "batch_summary": batch_summary,
     "max_intensities": max_intensities,
     "heatmap_max": _heatmap("max_intensity"),
     "heatmap_auc": _heatmap("auc"),
     "heatmap_detected": _heatmap("detected"),
+    "manifest_listing": manifest_listing,
+    "metadata_from_text": metadata_from_text,
     "metadata_latest": metadata_latest,
     "date_labels_from_name": date_labels_from_name,
     "date_labels_from_metadata": date_labels_from_metadata,

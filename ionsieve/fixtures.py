@@ -105,3 +105,31 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("part_"), key.cast("string")).alias("name"),
         (F.lit(149.9) + key * F.lit(0.01) + F.lit(0.0003)).alias("mz"),
     )
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A share's listing: files in folders and at the root, some without a URL, some of another kind, some twice, and folders."""
+    key = F.col("s_suppkey")
+    sample = sample_name("s_suppkey")
+    name = F.when(key % 5 == 4, F.replace(sample, F.lit(".parquet"), F.lit(".csv"))).when(key % 7 == 2, F.upper(sample)).otherwise(sample)
+    folder = F.when(key % 4 == 0, "").when(key % 4 == 1, "batch/").otherwise("batch/part two/")
+    rows = _table(spark, sf_dir, "supplier").select(
+        name.alias("name"),
+        F.concat(folder, name).alias("path"),
+        (key % 11 == 0).alias("is_folder"),
+        F.when(key % 2 == 0, F.concat(F.lit("file:///data/"), folder, name)).alias("url"),
+        key.alias("key"),
+    )
+    return rows.drop("key").unionByName(rows.where("key % 3 = 0").drop("key"))
+
+
+def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text: numbers, numbers with a fraction, words and gaps; names repeat, also within a year."""
+    key = F.col("s_suppkey")
+    year = (2019 + key % 3).cast("string")
+    return _table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("sample "), (key % 9).cast("string")).alias("name"),
+        F.when(key % 5 == 0, F.concat(year, F.lit(".0"))).when(key % 7 == 0, "unknown").when(key % 13 == 0, None).otherwise(year).alias("year"),
+        F.when(key % 4 == 0, "May").otherwise((1 + key % 12).cast("string")).alias("month"),
+        (F.lit(1_000_000) - key).alias("pos"),
+    )

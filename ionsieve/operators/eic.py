@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_name
 from .filters import in_any_range, points
-from .ranges import join_ranges
+from .ranges import crowded_bins, join_ranges
 from .targets import Targets
 
 
@@ -44,19 +44,15 @@ def matched_points(
     min_intensity: float | None = 0.0,
     broadcast: bool | None = None,
 ) -> DataFrame:
-    """Peaks with every target whose mass window holds them, in one scan."""
+    """Peaks with every target whose mass window holds them, in one scan; a long list has one mass column scanned before."""
     near = (
         points(peaks, mslevel, rt_range, min_intensity)
         .where(in_any_range("mz", targets.scan_ranges))
         .select("file_id", "rt", "scanid", "mz", "intensity")
     )
-    return join_ranges(
-        near,
-        targets.windows,
-        value="mz",
-        width=2 * targets.tolerance,
-        broadcast=targets.few if broadcast is None else broadcast,
-    )
+    width, broadcast = 2 * targets.tolerance, targets.few if broadcast is None else broadcast
+    crowded = None if broadcast else crowded_bins(near, "mz", width)
+    return join_ranges(near, targets.windows, value="mz", width=width, broadcast=broadcast, crowded=crowded)
 
 
 def eic(

@@ -71,9 +71,10 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_by_file(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder per sample name.
+    """One folder per sample: `sample` is its name and a hash of its path, so that samples of one name stay apart.
 
     Rows of a sample are brought together; adaptive execution splits a sample
     that is too large for one writer and merges small ones.
     """
-    df.hint("rebalance", "file").write.mode(mode).partitionBy("file").parquet(path)
+    place = F.concat_ws("-", base_name(F.col("file_id")), F.lower(F.hex(F.xxhash64("file_id"))))
+    df.withColumn("sample", place).hint("rebalance", "sample").write.mode(mode).partitionBy("sample").parquet(path)

@@ -742,6 +742,35 @@ def statements() -> dict[str, str]:
             from pair join side a on a.molecule = name_1 join side b on b.molecule = name_2""",
         ),
     }
+    sql["one_sample_only"] = _with(["eic"], f"{eic_columns} from eic where file = 'POOL_2023%201.parquet'")
+    sql["results_by_score"] = f"""
+        select row_number() over (order by "Detection_Score" desc, "Compound", "Sample") as place,
+               "Sample", "Compound", "Detection_Score", "Status"
+        from ({sql['suspect_screening_rounded']})"""
+    sql["manifest_listing"] = f"""
+        with named as (
+            select s_suppkey as k, {_file('s_suppkey')} as sample,
+                   case when s_suppkey % 4 = 0 then '' when s_suppkey % 4 = 1 then 'batch/' else 'batch/part two/' end as place
+            from supplier),
+        listed as (
+            select k, place, case when k % 5 = 4 then replace(sample, '.parquet', '.csv')
+                                  when k % 7 = 2 then upper(sample) else sample end as file from named),
+        kept as (
+            select file, concat(place, file) as path, case when place = '' then '.' else rtrim(place, '/') end as folder,
+                   case when k % 2 = 0 then concat('file:///data/', place, file) end as url
+            from listed where k % 11 <> 0 and lower(file) like '%.parquet')
+        select row_number() over (order by path) as place,
+               coalesce(replace(url, 'file:///', '/'), concat(folder, '/', file)) as file_id, file, path, folder, url
+        from kept"""
+    sql["metadata_from_text"] = """
+        with parsed as (
+            select concat('sample ', s_suppkey % 9) as name, 1000000 - s_suppkey as pos,
+                   case when s_suppkey % 5 <> 0 and (s_suppkey % 7 = 0 or s_suppkey % 13 = 0) then null
+                        else cast(2019 + s_suppkey % 3 as int) end as year,
+                   case when s_suppkey % 4 <> 0 then cast(1 + s_suppkey % 12 as int) end as month
+            from supplier)
+        select name, year, month from parsed
+        qualify row_number() over (partition by name order by year desc nulls last, pos) = 1"""
     sql["run_counters_observed"] = sql["run_counters"]
     sql["incremental_max_frame"] = sql["max_intensities"]
     sql["spectrum_from_time_layout"] = sql["spectrum_at_apex_ms2"]
