@@ -1,24 +1,35 @@
 """Complete-linkage clustering of items, and the order of the leaves of its tree.
 
 The clusters live in tables: distances between clusters, and the members of each. A round merges every pair of clusters
-that are each other's nearest at the same time. Under complete linkage no merge brings another cluster
-nearer, so these are merges that the one-by-one procedure makes too, and a tree of n leaves takes about log n rounds,
-n at worst. A cluster is named after its first item. Pairs at equal distance rank by the names of their clusters,
-the smaller one first, which makes the tree unique.
+that are each other's nearest at the same time. Under complete linkage no merge brings another cluster nearer, so these are
+merges that the one-by-one procedure makes too. Rounds go on until LOCAL clusters are left, whose distances fit into one
+task; it merges them one by one. A cluster is named after its first item. Pairs at equal distance rank by the names of
+their clusters, the smaller one first, which makes the tree unique.
 
 Every pair of items has a distance, so this is for items that someone chose, as for a chart.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_MAX_ROWS, at_most, materialize
 from .ordering import with_index
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Clusters that one task may merge: a matrix of 8 MB.
+LOCAL = 1_024
+
+FORMED = "struct<d: double, lo: bigint, hi: bigint>"
+
 
 def _small(df: DataFrame) -> DataFrame:
     """A materialised frame, broadcast if its rows are few."""
@@ -89,26 +100,86 @@ def cluster_tree(distances: DataFrame, items: DataFrame, order: Sequence[Column]
     name = lambda side, number: numbered.select(F.col("item").alias(f"item_{side}"), F.col("idx").alias(number))
     known = distances.join(_small(name(1, "i")), "item_1").join(_small(name(2, "j")), "item_2")
     rows = materialize(known.select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("distance").alias("d")))
-    alone = F.lit(None).cast("struct<d: double, lo: bigint, hi: bigint>")
+    alone = F.lit(None).cast(FORMED)
     one = lambda value: F.lit(value).cast("long")
     members = numbered.select("idx", F.col("idx").alias("label"), one(0).alias("place"), one(1).alias("n"), alone.alias("formed"))
-    merged: list[DataFrame] = []
-    while not rows.isEmpty():
+    left, merged = numbered.count(), []
+    while left > LOCAL and not rows.isEmpty():
         moves = materialize(_moves(_mutual(rows), members))
         merged.append(moves)
+        left -= moves.count() // 2
         moves = _small(moves)
         members = materialize(_moved_members(members, moves))
         rows = materialize(_moved_distances(rows, moves))
+    last = materialize(_finished(rows, members))
+    merged.append(last.where("shift is null"))
+    shifts = last.where("shift is not null").select("label", "shift")
     steps, firsts = _steps(merged, numbered)
-    places = members.select("idx", (F.col("place") + 1).alias("place"))
+    places = members.join(F.broadcast(shifts), "label", "left")  # one row for each of the clusters left
+    places = places.select("idx", (F.col("place") + F.coalesce("shift", F.lit(0)) + 1).alias("place"))
     leaves = numbered.join(places, "idx").join(firsts, "idx", "left").select("item", "idx", "place", "height")
     return leaves, steps
 
 
+def _finished(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """label, formed, n, shift: the merges of the clusters that are left, two rows each as in _moves but with no shift, and
+    by how many places each cluster moves on in all."""
+    heads = members.where("idx = label").select("label", "n", F.col("formed.d").alias("d"), F.col("formed.lo").alias("lo"), F.col("formed.hi").alias("hi"))
+    one = lambda key: F.pmod(F.col(key), F.lit(1))
+    pairs = rows.groupBy(one("lo"))
+    return pairs.cogroup(heads.groupBy(one("label"))).applyInPandas(_one_by_one, f"label long, formed {FORMED}, n long, shift long")
+
+
+def _one_by_one(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+    heads = heads.sort_values("label", ignore_index=True)
+    labels, m = heads["label"].to_numpy(), len(heads)
+    matrix = np.full((m, m), np.inf)
+    i, j = np.searchsorted(labels, rows["lo"].to_numpy()), np.searchsorted(labels, rows["hi"].to_numpy())
+    matrix[i, j] = matrix[j, i] = rows["d"].to_numpy()
+    sizes = heads["n"].tolist()
+    # An item that stands alone is younger than any cluster.
+    ages = [(-np.inf, 0, 0) if pd.isna(d) else (d, lo, hi) for d, lo, hi in zip(heads["d"], heads["lo"], heads["hi"])]
+    inside, shifts = [[k] for k in range(m)], np.zeros(m, np.int64)
+    to, nearest = np.zeros(m, np.int64), np.full(m, np.inf)
+
+    def look(k: int) -> None:
+        """The nearest of the later clusters; the first of equal ones."""
+        if k + 1 < m:
+            to[k] = k + 1 + int(np.argmin(matrix[k, k + 1 :]))
+            nearest[k] = matrix[k, to[k]]
+
+    for k in range(m):
+        look(k)
+    out = []
+    while m > 1:
+        i = int(np.argmin(nearest))
+        if not np.isfinite(nearest[i]):
+            break
+        j, d = int(to[i]), float(nearest[i])
+        first, second = (i, j) if ages[i] <= ages[j] else (j, i)
+        shifts[inside[second]] += sizes[first]
+        sizes[i] += sizes[j]
+        inside[i] += inside[j]
+        ages[i] = formed = (d, int(labels[i]), int(labels[j]))
+        out += [(int(labels[k]), formed, sizes[i], None) for k in (i, j)]
+        joint = np.maximum(matrix[i], matrix[j])
+        joint[[i, j]] = np.inf
+        matrix[i] = matrix[:, i] = joint
+        matrix[j] = matrix[:, j] = np.inf
+        nearest[j] = np.inf
+        # Distances only grow, so nobody else's nearest changes.
+        for k in np.flatnonzero(np.isfinite(nearest) & ((to == i) | (to == j))).tolist() + [i]:
+            look(k)
+    out += [(label, None, size, shift) for label, size, shift in zip(labels.tolist(), sizes, shifts.tolist())]
+    found = pd.DataFrame(out, columns=["label", "formed", "n", "shift"])
+    found["formed"] = [None if x is None else dict(zip(("d", "lo", "hi"), x)) for x in found["formed"]]
+    return found.astype({"label": "int64", "n": "int64", "shift": "Int64"})
+
+
 def _steps(merged: list[DataFrame], numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merges, height of each item's first merge) from the moves of all rounds."""
     none = numbered.where("false").select(
-        F.col("idx").alias("label"), F.lit(None).cast("struct<d: double, lo: bigint, hi: bigint>").alias("formed"), F.lit(0).cast("long").alias("n")
+        F.col("idx").alias("label"), F.lit(None).cast(FORMED).alias("formed"), F.lit(0).cast("long").alias("n")
     )
     moves = none
     for rows in merged:

@@ -29,10 +29,10 @@ def plain_tree(d, n):
     return merges, next(iter(clusters.values()))[0]
 
 
-@pytest.mark.parametrize("kind", ["ties", "chain"])
-def test_tree_is_the_one_by_one_tree(spark, kind):
+@pytest.mark.parametrize("kind,n,local", [("ties", 8, 3), ("chain", 7, 1), ("ties", 30, 1024), ("apart", 40, 1024), ("equal", 12, 1024)])
+def test_tree_is_the_one_by_one_tree(spark, monkeypatch, kind, n, local):
+    monkeypatch.setattr(clustering, "LOCAL", local)
     draw = random.Random(7)
-    n = 7
     value = {"apart": lambda i, j: draw.random(), "ties": lambda i, j: float(draw.randint(1, 4)), "chain": lambda i, j: 1.0 + j * j - i, "equal": lambda i, j: 2.0}[kind]
     d = {(i, j): value(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)}
     name = "item{:02}".format
