@@ -13,9 +13,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import slices, text_bytes, words_of
 
@@ -176,11 +176,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -
     )
 
 
+def _accepting(table: np.ndarray, bias: float, accept: float, at: int) -> Callable:
+    """A task that keeps the rows whose text, the column at place `at`, scores at least `accept`."""
+    score = scorer(table, bias)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scored in score(iter([batch.select([at])])):
+                yield batch.filter(pc.greater_equal(scored.column(0), accept))
+
+    return kept
+
+
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of `docs`, all columns, whose text scores at least `accept`."""
-    name = "_score"
-    while name in map(str.lower, docs.columns):
-        name += "_"
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    scored = docs.withColumn(name, F.col("text")).mapInArrow(scorer(*fit(docs, labels), name), schema)
-    return scored.where(F.col(name) >= accept).drop(name)
+    return docs.mapInArrow(_accepting(*fit(docs, labels), accept, docs.columns.index("text")), docs.schema)

@@ -29,7 +29,7 @@ END_ID = 2
 # Pieces that a task remembers; beyond it the memory is emptied and fills again.
 REMEMBERED = 1_000_000
 # Bytes of text that are encoded at once.
-SLICE = 4 << 20
+SLICE = 1 << 19
 
 # A space and a character of which piece_cuts() knows that it is no space.
 _SPACED = re.compile(rb" [\x21-\x7e\xc3-\xdf]")
