@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pvalues import rank_sum_p_value, signed_rank_p_value, t_p_value
+from ..functions.distributions import t_two_sided, with_rank_sum_p, with_signed_rank_p
 from ..functions.scoring import p_text, significance_label
 from .ordering import quantiles, tied_ranks, with_index
 
@@ -97,7 +97,7 @@ def signed_rank(values: DataFrame, pairs: DataFrame) -> DataFrame:
         "zeros",
         F.coalesce("ties", F.lit(0.0)).alias("ties"),
     )
-    return counted.withColumn("p", signed_rank_p_value("statistic", "n", "zeros", "ties"))
+    return with_signed_rank_p(counted)
 
 
 def rank_sum(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -110,7 +110,9 @@ def rank_sum(values: DataFrame, pairs: DataFrame) -> DataFrame:
         (F.sum("n") - first).alias("n_2"),
         _ties().alias("ties"),
     )
-    return counted.withColumn("p", rank_sum_p_value("statistic", "n_1", "n_2", "ties"))
+    amounts = values.groupBy("target_id").agg(F.count("*").alias("n"))
+    amount = lambda i: amounts.select(F.col("target_id").alias(f"target_{i}"), F.col("n").alias(f"n_{i}"))
+    return with_rank_sum_p(counted, pairs.join(amount(1), "target_1").join(amount(2), "target_2"))
 
 
 def paired_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def paired_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
         (n - 1).cast("double").alias("df"),
         F.avg("d").alias("mean_difference"),
     )
-    return counted.withColumn("p", t_p_value("statistic", "df"))
+    return counted.withColumn("p", t_two_sided(F.col("statistic"), F.col("df")))
 
 
 def welch_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def welch_t(values: DataFrame, pairs: DataFrame) -> DataFrame:
         "mean_1",
         "mean_2",
     )
-    return counted.withColumn("p", t_p_value("statistic", "df"))
+    return counted.withColumn("p", t_two_sided(F.col("statistic"), F.col("df")))
 
 
 def compare(

@@ -1,22 +1,10 @@
-"""Two-sided p-values from test statistics, for a few aggregated rows.
-
-Spark has no normal or t distribution function, so this is the one place with
-Python: Arrow batches of one row per comparison.
-"""
+"""Two-sided p-values from test statistics, one at a time: what the expressions of functions.distributions are held against."""
 
 from __future__ import annotations
 
 import math
-import sys
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
-
-# Functions of this module travel with the job; workers need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Sample sizes below this use the exact distribution if nothing is tied.
 EXACT_BELOW = 50
@@ -49,7 +37,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return math.exp(log_front) / a / (1.0 + first / (1.0 + tail))
 
 
-# Counts that a task has worked out; both sizes are below EXACT_BELOW, so there are few.
+# Counts that have been worked out.
 _KNOWN: dict[tuple[int, ...], np.ndarray] = {}
 
 
@@ -117,25 +105,3 @@ def rank_sum_p(w: float, m: int, n: int, ties: float) -> float:
     total = m + n
     spread = (total + 1) - ties / (total * (total - 1))
     return _corrected(w, m * n / 2, m * n / 12 * spread)
-
-
-def _each(function, *columns: pd.Series) -> pd.Series:
-    def one(*values):
-        return None if any(pd.isna(value) for value in values) else function(*values)
-
-    return pd.Series([one(*row) for row in zip(*columns)], dtype="float64")
-
-
-@pandas_udf(DoubleType())
-def signed_rank_p_value(v: pd.Series, n: pd.Series, zeros: pd.Series, ties: pd.Series) -> pd.Series:
-    return _each(signed_rank_p, v, n, zeros, ties)
-
-
-@pandas_udf(DoubleType())
-def rank_sum_p_value(w: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    return _each(rank_sum_p, w, m, n, ties)
-
-
-@pandas_udf(DoubleType())
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _each(t_two_sided, t, df)

@@ -21,11 +21,10 @@ def duck(sf_dir):
     return connection
 
 
-# The queries with p-values, block distances or trees; all others stay in the JVM.
+# The queries with block distances or trees; all others stay in the JVM.
 WITH_PYTHON = {
     "cluster_order_molecules", "cluster_order_samples", "cluster_merges_samples", "nearest_k_profiles", "nearest_k_profiles_processed",
-    "pairwise_tests", "nearest_profile", "nearest_profile_processed", "wilcoxon_signed_rank_stat", "rank_sum_stat",
-    "t_test_paired", "t_test_welch",
+    "nearest_profile", "nearest_profile_processed",
 }
 
 # SQL type names of the column types that results may have.

@@ -7,9 +7,11 @@ import random
 import numpy as np
 import pytest
 
-from ionsieve.functions import pvalues
+import plain_pvalues as pvalues
+from ionsieve.functions import distributions
 from ionsieve.functions.scoring import p_text, significance_label
-from ionsieve.operators import distance, ordering, stats
+from ionsieve.operators import clustering, distance, metric_index, ordering, stats
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 
@@ -244,11 +246,52 @@ def test_workers_need_no_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    functions = [distance._best_inside, distance._best_across, pvalues.signed_rank_p, pvalues.t_two_sided]
+    functions = [distance._best_inside, distance._best_across, metric_index._distances, clustering._one_by_one]
     (tmp_path / "functions.bin").write_bytes(cloudpickle.dumps(functions))
     script = (
         "import pickle; f = pickle.load(open('functions.bin', 'rb'));"
-        "import sys; assert 'ionsieve' not in sys.modules; print(f[2](15, 5, 0, 0), f[3](1.0, 1))"
+        "import sys; assert 'ionsieve' not in sys.modules; import numpy; print(f[2](numpy.zeros((1, 2)), numpy.array([[3.0, 4.0]]))[0, 0])"
     )
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True)
-    assert done.stdout.split()[0] == "0.0625", done.stderr
+    assert done.stdout.split()[0] == "5.0", done.stderr
+
+
+def test_tails_in_expressions(spark):
+    """Against plain Python, into far tails: relative errors."""
+    zs = [(z / 7.0, ) for z in range(-20, 250)]
+    for z, p in spark.createDataFrame(zs, "z double").select("z", distributions.normal_two_sided(F.col("z"))).collect():
+        assert p == pytest.approx(pvalues.normal_two_sided(z), rel=1e-11, abs=1e-300)
+    ts = [(t / 3.0, df) for t in (0, 1, 2, 5, 9, 40, 300, -7) for df in (1.0, 1.5, 2.0, 7.3, 30.0, 999.0, 20_000.0)] + [(None, 3.0), (float("nan"), 3.0)]
+    for t, df, p in spark.createDataFrame(ts, "t double, df double").select("t", "df", distributions.t_two_sided(F.col("t"), F.col("df"))).collect():
+        if t is None or math.isnan(t):
+            assert p is None
+        else:
+            assert p == pytest.approx(pvalues.t_two_sided(t, df), rel=1e-8, abs=1e-300)
+
+
+def test_exact_tables_are_built_by_spark(spark):
+    for row in distributions.signed_rank_table(spark).where("n in (1, 2, 7, 30, 49)").collect():
+        counts = pvalues.signed_rank_counts(row.n)
+        assert row.counts == pytest.approx(list(counts[: len(row.counts)])) and row.ways == counts.sum()
+        assert len(row.counts) == row.n * (row.n + 1) // 4 + 1
+    sizes = [(1, 1), (1, 9), (9, 1), (3, 4), (4, 3), (12, 20), (49, 49)]
+    for row in distributions.rank_sum_table(spark.createDataFrame(sizes, "n_1 long, n_2 long")).collect():
+        counts = pvalues.rank_sum_counts(row.n_1, row.n_2)
+        assert row.counts == pytest.approx(list(counts[: len(row.counts)]), rel=1e-9)
+        assert row.ways == pytest.approx(math.comb(row.n_1 + row.n_2, row.n_1)) and len(row.counts) == row.n_1 * row.n_2 // 2 + 1
+
+
+def test_p_values_of_rank_tests_need_no_python(spark):
+    rows = [(15.0, 5, 0, 0.0), (15.0, 5, 0, 6.0), (0.0, 0, 4, 0.0), (100.0, 30, 2, 0.0), (400.0, 60, 0, 0.0), (3.0, 49, 0, 0.0), (1.0, 1, 0, 0.0)]
+    found = distributions.with_signed_rank_p(spark.createDataFrame(rows, "statistic double, n long, zeros long, ties double"))
+    for v, n, zeros, ties, p in found.collect():
+        expected = pvalues.signed_rank_p(v, n, zeros, ties)
+        assert p is None if math.isnan(expected) else p == pytest.approx(expected, rel=1e-9)
+    assert "Python" not in plan_of(found)
+    rows = [(0.0, 3, 3, 0.0), (4.0, 3, 3, 0.0), (4.5, 3, 3, 6.0), (7.0, 0, 3, 0.0), (700.0, 49, 40, 0.0), (900.0, 50, 40, 0.0), (0.0, 1, 1, 6.0)]
+    table = spark.createDataFrame(rows, "statistic double, n_1 long, n_2 long, ties double")
+    found = distributions.with_rank_sum_p(table, table)
+    for w, m, n, ties, p in found.collect():
+        expected = pvalues.rank_sum_p(w, m, n, ties)
+        assert p is None if math.isnan(expected) else p == pytest.approx(expected, rel=1e-9)
+    assert "Python" not in plan_of(found)
