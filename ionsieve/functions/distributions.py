@@ -158,7 +158,7 @@ def with_rank_sum_p(tested: DataFrame, sizes: DataFrame) -> DataFrame:
     total = m + n
     variance = m * n / 12 * ((total + 1) - F.col("ties") / (total * (total - 1)))
     # At most EXACT_BELOW squared rows.
-    table = F.broadcast(rank_sum_table(sizes.where(small).distinct()))
+    table = F.broadcast(rank_sum_table(sizes.select("n_1", "n_2").where(small).distinct()))
     p = F.when((m == 0) | (n == 0), None).when(small & (F.col("ties") == 0), _exact(F.col("statistic"), m * n))
     p = p.otherwise(_corrected(F.col("statistic"), m * n / 2, variance))
     return tested.join(table, ["n_1", "n_2"], "left").withColumn("p", p).select(*tested.columns, "p")

@@ -290,7 +290,10 @@ def test_p_values_of_rank_tests_need_no_python(spark):
     assert "Python" not in plan_of(found)
     rows = [(0.0, 3, 3, 0.0), (4.0, 3, 3, 0.0), (4.5, 3, 3, 6.0), (7.0, 0, 3, 0.0), (700.0, 49, 40, 0.0), (900.0, 50, 40, 0.0), (0.0, 1, 1, 6.0)]
     table = spark.createDataFrame(rows, "statistic double, n_1 long, n_2 long, ties double")
-    found = distributions.with_rank_sum_p(table, table)
+    # Pairs of one size come many times, with columns of their own.
+    sizes = table.unionByName(table).select("n_1", "n_2", F.monotonically_increasing_id().alias("pair"))
+    found = distributions.with_rank_sum_p(table, sizes)
+    assert found.count() == len(rows)
     for w, m, n, ties, p in found.collect():
         expected = pvalues.rank_sum_p(w, m, n, ties)
         assert p is None if math.isnan(expected) else p == pytest.approx(expected, rel=1e-9)
