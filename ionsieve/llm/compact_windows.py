@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, written
 from .words import mix, run_hashes, shingles_of, slices, text_bytes, words_of
 
 SHINGLE = 5
@@ -41,7 +41,12 @@ BROADCAST_STRETCHES = 1 << 20
 # Stretches of one document that are cut out in one go.
 STRETCHES_PER_ROW = 1000
 
+# Windows under finer keys, before those that no other needs are left out.
+PER_CHOICE = 1 << 20
+
 WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("left", "<i4"), ("at", "<i4"), ("right", "<i4")])
+# A window under a finer key; `open` if it still looks for a document that holds its passage.
+FINER = np.dtype([*WINDOW.descr, ("open", "?")])
 # The low bits of a key say which function it is of.
 _FUNCTION_BITS = np.uint64(7)
 # Least tokens of either side of a window's own that become a finer key each.
@@ -322,17 +327,22 @@ def _stretch_tokens(docs: DataFrame, stretches: DataFrame) -> DataFrame:
 def _agreements(fits: DataFrame, size: int, enough: int) -> DataFrame:
     fits = written(fits, "fits")
     of_pair = F.pmod(F.xxhash64("a", "b"), F.lit(fits.count() // PER_BUCKET + 1))
-    return written(fits.groupBy(of_pair).applyInPandas(_agreed(size, enough), STRETCHES), "agreed")
+    agreed = written(fits.groupBy(of_pair).applyInPandas(_agreed(size, enough), STRETCHES), "agreed")
+    discard(fits)
+    return agreed
 
 
 def _verified(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
     sides = [stretches.select(F.col(s).alias("doc"), F.col(f"{s}_begin").alias("begin"), F.col(f"{s}_end").alias("end")) for s in "ab"]
-    tokens = written(_stretch_tokens(docs, sides[0].unionByName(sides[1])), "tokens").dropDuplicates(["doc", "begin", "end"])
+    table = written(_stretch_tokens(docs, sides[0].unionByName(sides[1])), "tokens")
+    tokens = table.dropDuplicates(["doc", "begin", "end"])
     for side in "ab":
         named = {"doc": side, "begin": f"{side}_begin", "end": f"{side}_end", "tokens": f"{side}_tokens"}
         stretches = stretches.join(tokens.withColumnsRenamed(named), [side, f"{side}_begin", f"{side}_end"])
     columns = ("a", "b", "a_begin", "b_begin", "a_tokens", "b_tokens")
-    return written(stretches.select(*columns).mapInArrow(_verify(size), PASSAGES), "passages")
+    passages = written(stretches.select(*columns).mapInArrow(_verify(size), PASSAGES), "passages")
+    discard(table)
+    return passages
 
 
 # What the least document of a key does not hold
@@ -362,6 +372,33 @@ def _unsettled(collisions: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame
 _NAMES = [x.split()[0] for x in COLLISIONS.split(", ")]
 
 
+def _useful(windows: np.ndarray) -> np.ndarray:
+    """The open windows and the first of each key, by key, document and place; no other can be a key's first."""
+    windows = windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))]
+    first = np.ones(len(windows), bool)
+    first[1:] = windows["key"][1:] != windows["key"][:-1]
+    return windows[first | windows["open"]]
+
+
+FITS = "a long, b long, function int, shift int, begin int, end int"
+
+
+def _meet(size: int) -> Callable:
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        """What `_fits` gives for each open window and the first window of the least document of its key."""
+        windows = _useful(np.concatenate([np.frombuffer(x, FINER) for x in rows["windows"]]))
+        begins = np.concatenate([[True], windows["key"][1:] != windows["key"][:-1]])
+        least = windows[begins][np.cumsum(begins) - 1]
+        a, b = least[here := windows["open"] & (least["doc"] != windows["doc"])], windows[here]
+        before = np.minimum(a["at"] - a["left"], b["at"] - b["left"])
+        after = np.minimum(a["right"] - a["at"], b["right"] - b["at"])
+        found = {"a": a["doc"], "b": b["doc"], "function": np.zeros(len(a), np.int32), "shift": b["at"] - a["at"]}
+        found |= {"begin": a["at"] - before, "end": a["at"] + after}
+        return pd.DataFrame(found)[before + after + 1 >= size].drop_duplicates()
+
+    return meet
+
+
 def _finer(size: int, bits: int) -> Callable:
     """Rows (bucket, windows): given windows under finer keys.
 
@@ -375,19 +412,19 @@ def _finer(size: int, bits: int) -> Callable:
         held: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            given = [batch.column(k) for k in range(2, 6)]
+            given = [batch.column(k) for k in range(2, 7)]
             for row, hashes, first in _tokens(*text_bytes(batch.column(1))):
                 values = [mix(hashes + np.uint64(201 + j)) for j in range(SKETCHES)]
                 for k in range(len(first) - 1):
-                    key, left, at, right = (x[row + k].values.to_numpy() for x in given)
+                    key, left, at, right, open_ = (x[row + k].values.to_numpy(zero_copy_only=False) for x in given)
                     # Rows of equal doc_ids may be other texts.
                     inside = right < first[k + 1] - first[k]
-                    key, left, at, right = (x[inside] for x in (key, left, at, right))
+                    key, left, at, right, open_ = (x[inside] for x in (key, left, at, right, open_))
 
                     def hold(keys: np.ndarray, which: np.ndarray) -> None:
-                        found = np.empty(len(keys), WINDOW)
+                        found = np.empty(len(keys), FINER)
                         found["key"], found["doc"] = keys & ~_FUNCTION_BITS, ids[row + k]
-                        for name, x in (("left", left), ("at", at), ("right", right)):
+                        for name, x in (("left", left), ("at", at), ("right", right), ("open", open_)):
                             found[name] = x[which]
                         held.append(found)
 
@@ -402,11 +439,11 @@ def _finer(size: int, bits: int) -> Callable:
                         for j in range(SKETCHES):
                             least = values[j][places].min(axis=1)
                             hold(mix(least + mix(key.astype(np.uint64) + np.uint64(j + (side > 0) * SKETCHES))), np.arange(len(at)))
-                if sum(map(len, held)) > PER_FLUSH:
-                    yield _packed(held, bits)
+                if sum(map(len, held)) > PER_CHOICE:
+                    yield _packed([_useful(np.concatenate(held))], bits)
                     held = []
         if held:
-            yield _packed(held, bits)
+            yield _packed([_useful(np.concatenate(held))], bits)
 
     return finer
 
@@ -444,22 +481,25 @@ def _second_stars(docs: DataFrame, collisions: DataFrame, passages: DataFrame, s
     open_ = of_doc(collisions, "b").cogroup(of_doc(passages, "doc_id")).applyInPandas(_unsettled, COLLISIONS)
     open_ = written(open_, "open")
     windows = collisions.join(open_.select("key").distinct(), "key", "left_semi")
-    windows = written(windows.select("key", F.col("b").alias("doc"), "b_left", "b_at", "b_right").distinct(), "unsettled")
+    windows = windows.select("key", F.col("b").alias("doc"), "b_left", "b_at", "b_right").distinct()
+    places = open_.select(F.col("b").alias("doc"), "b_at", F.lit(True).alias("open")).distinct()
+    windows = windows.join(places, ["doc", "b_at"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    windows = written(windows, "unsettled")
+    discard(open_, collisions)
     amount = windows.count()
     if not amount:
         return passages
     bits = max(0, (amount * (2 * SKETCHES + size // FUNCTIONS) // PER_BUCKET).bit_length())
-    listed = [F.col(f"of.{c}").alias(c) for c in ("key", "b_left", "b_at", "b_right")]
+    listed = [F.col(f"of.{c}").alias(c) for c in ("key", "b_left", "b_at", "b_right", "open")]
     parts_of = windows.groupBy("doc").agg(F.ceil(F.count("*") / STRETCHES_PER_ROW).alias("parts"))
     part = F.pmod(F.xxhash64("key", "b_at"), F.col("parts")).alias("part")
-    lists = windows.join(parts_of, "doc").groupBy("doc", part).agg(F.collect_list(F.struct("key", "b_left", "b_at", "b_right")).alias("of"))
+    lists = windows.join(parts_of, "doc").groupBy("doc", part).agg(F.collect_list(F.struct("key", "b_left", "b_at", "b_right", "open")).alias("of"))
     lists = lists.select(F.col("doc").alias("doc_id"), *listed)
     if amount <= BROADCAST_STRETCHES:
         lists = F.broadcast(lists)
-    finer = docs.join(lists, "doc_id").select("doc_id", "text", "key", "b_left", "b_at", "b_right")
+    finer = docs.join(lists, "doc_id").select("doc_id", "text", "key", "b_left", "b_at", "b_right", "open")
     finer = finer.mapInArrow(_finer(size, bits), "bucket long, windows binary")
-    again = finer.groupBy("bucket").applyInPandas(_collide, COLLISIONS).join(open_.select("b", "b_at").distinct(), ["b", "b_at"], "left_semi")
-    fits = _fits(again, size).withColumn("function", F.lit(0)).distinct()
+    fits = finer.groupBy("bucket").applyInPandas(_meet(size), FITS).distinct()
     more = _verified(docs, _agreements(fits, size, 1), size)
     return of_doc(passages, "doc_id").cogroup(of_doc(more, "doc_id")).applyInPandas(_together, PASSAGES)
 
