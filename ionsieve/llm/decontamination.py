@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
 from .words import shingles_of, slices, text_bytes, words_of
 
 SHINGLE = 5
@@ -59,19 +60,24 @@ class Item(NamedTuple):
 
 
 class Items:
-    """Benchmark items with their fingerprints, by length in words."""
+    """Benchmark items with their fingerprints, by length in words.
 
-    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE) -> None:
+    `n` items hold the shingles of the whole benchmark, `holders` of them each; both are those of `rows` unless given.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE, n: int | None = None, holders: dict[int, int] | None = None) -> None:
         self.k = k
         data, offsets = text_bytes(pa.array([text or "" for _, text in rows], pa.string()))
         words = words_of(data, offsets)
         found = shingles_of(words, k)
         each = [found.hashes[a:b] for a, b in zip(found.first, found.first[1:])]
         distinct = [np.unique(x) for x in each]
-        known, holders = np.unique(np.concatenate(distinct) if rows else np.zeros(0, np.uint64), return_counts=True)
+        known, counts = np.unique(np.concatenate(distinct) if rows else np.zeros(0, np.uint64), return_counts=True)
+        if holders is not None:
+            counts = np.array([holders[h] for h in known.tolist()], np.int64)
         # A shingle that many items share says little.
-        self.n, self.known = len(rows), known
-        self.known_weights = np.log1p(self.n / np.maximum(holders, 1))
+        self.n, self.known = len(rows) if n is None else n, known
+        self.known_weights = np.log1p(self.n / np.maximum(counts, 1))
         self.screen = np.zeros(1 << SCREEN_BITS, bool)
         self.screen[(known & np.uint64(len(self.screen) - 1)).astype(np.int64)] = True
         self.lengths: dict[int, list[Item]] = {}
@@ -81,11 +87,12 @@ class Items:
                 continue
             fingerprint = _packed(_sums(sequence, self.weights(sequence))[-1:])[0]
             self.lengths.setdefault(length, []).append(Item(item_id, shingles, self.weights(shingles), fingerprint))
-        # The lengths of the items that hold a shingle: only windows of these lengths can match because of it.
-        pairs = [(h, length) for length, items in self.lengths.items() for x in items for h in x.shingles.tolist()]
-        self.lengths_of: dict[int, set[int]] = {}
-        for h, length in pairs:
-            self.lengths_of.setdefault(h, set()).add(length)
+        # The items that hold a shingle: only they, in windows of their lengths, can match because of it.
+        self.holding: dict[int, dict[int, list[int]]] = {}
+        for length, items in self.lengths.items():
+            for place, x in enumerate(items):
+                for h in x.shingles.tolist():
+                    self.holding.setdefault(h, {}).setdefault(length, []).append(place)
         for length, items in self.lengths.items():
             tables: list[dict[int, list[int]]] = [{} for _ in range(RADIUS + 1)]
             for place, values in enumerate(blocks_of(np.array([x.fingerprint for x in items], np.uint64)).tolist()):
@@ -107,14 +114,14 @@ class Items:
         maybe = np.flatnonzero(self.screen[(hashes & np.uint64(len(self.screen) - 1)).astype(np.int64)])
         return maybe[self._at(hashes[maybe])[1]]
 
-    def near(self, length: int, fingerprints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, place of the item, distance) for all within the radius."""
+    def near(self, length: int, fingerprints: np.ndarray, among: set[int]) -> Iterator[tuple[int, int, int]]:
+        """(window, place of the item, distance) for all items of `among` within the radius."""
         items, tables = self.lengths[length], self.tables[length]
         own = np.array([x.fingerprint for x in items], np.uint64)
         values, back = np.unique(fingerprints, return_inverse=True)
         hits: dict[int, list[tuple[int, int]]] = {}
         for v, blocks in enumerate(blocks_of(values).tolist()):
-            places = sorted({p for table, value in zip(tables, blocks) for p in table.get(value, ())})
+            places = sorted({p for table, value in zip(tables, blocks) for p in table.get(value, ())} & among)
             if places:
                 distance = np.bitwise_count(own[places] ^ values[v])
                 hits[v] = [(p, int(d)) for p, d in zip(places, distance) if d <= RADIUS]
@@ -137,9 +144,11 @@ class Items:
         sums = _sums(hashes, self.weights(hashes))
         last = min(STRETCH, len(hashes))
         by_length: dict[int, list[int]] = {}
+        sharing: dict[int, set[int]] = {}
         for seed, h in zip(seeds.tolist(), hashes[seeds].tolist()):
-            for length in self.lengths_of[h]:
+            for length, places in self.holding[h].items():
                 by_length.setdefault(length, []).append(seed)
+                sharing.setdefault(length, set()).update(places)
         for length, places in by_length.items():
             size = max(1, length - self.k + 1)
             mark, own = np.zeros(len(hashes) + 1, np.int64), np.array(places)
@@ -151,7 +160,7 @@ class Items:
             if not len(starts):
                 continue
             ends = np.minimum(starts + size, len(hashes))
-            for window, place, distance in self.near(length, _packed(sums[ends] - sums[starts])):
+            for window, place, distance in self.near(length, _packed(sums[ends] - sums[starts]), sharing[length]):
                 item = self.lengths[length][place]
                 start, end = int(starts[window]), int(ends[window])
                 similarity = self.similarity(item, np.unique(hashes[start:end]))
@@ -193,13 +202,39 @@ def _report(items: Items) -> Callable:
     return report
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, shingle): the distinct shingles of each item."""
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        data, offsets = text_bytes(batch.column(1))
+        for a, b in slices(offsets):
+            found = shingles_of(words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), SHINGLE)
+            each = [np.unique(found.hashes[x:y]) for x, y in zip(found.first, found.first[1:])]
+            part = np.repeat(parts[a:b], [len(x) for x in each])
+            shingles = np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), "shingle": pa.array(shingles, pa.int64())})
+
+
 def item_passes(benchmark: DataFrame, limit: int = ITEMS_PER_PASS) -> Iterator[Items]:
-    """The items, at most about `limit` at a time. Null ids and texts without words are passed over."""
+    """The items, at most about `limit` at a time. Null ids and texts without words are passed over.
+
+    How many items hold a shingle is counted over the whole benchmark, so passes give what one alone would.
+    """
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    parts = max(1, -(-rows.count() // limit))
+    rows = rows.dropDuplicates(["item_id", "text"])
+    n = rows.count()
+    parts = max(1, -(-n // limit))
+    if parts == 1:
+        yield Items(sorted((x.item_id, x.text) for x in rows.collect()))
+        return
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts))), "items")
+    shingles = written(rows.select("part", "text").mapInArrow(_item_shingles, "part long, shingle long"), "item_shingles")
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("items"), F.collect_set("part").alias("parts"))
+    counts = written(counts, "holders")
     for part in range(parts):
-        here = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).dropDuplicates(["item_id", "text"])
-        yield Items(sorted((x.item_id, x.text) for x in here.collect()))
+        here = counts.where(F.array_contains("parts", F.lit(part).cast("long"))).select("shingle", "items")
+        held = {int(np.int64(x.shingle).view(np.uint64)): x["items"] for x in here.collect()}
+        yield Items(sorted((x.item_id, x.text) for x in rows.where(F.col("part") == part).collect()), n=n, holders=held)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -46,8 +46,59 @@ def test_planted_items_are_found_and_clean_documents_left_alone(tables):
 
 def test_items_in_several_passes(tables):
     docs, items, expected = tables
-    assert sum(x.n for x in decontamination.item_passes(items, limit=2)) == 7
-    assert len(list(decontamination.item_passes(items, limit=2))) == 4
+    passes = list(decontamination.item_passes(items, limit=2))
+    assert len(passes) == 4 and {x.n for x in passes} == {7}
+    assert sum(len(x) for p in passes for x in p.lengths.values()) == 7
+
+
+def test_passes_change_no_row(spark, monkeypatch):
+    rng = random.Random(66)
+    common = [f"c{k}" for k in range(30)]  # a run that several items share, so that its shingles weigh little
+    items = [common[k % 7 :][:20] + [f"i{k}w{j}" for j in range(12)] for k in range(12)]
+    docs = []
+    for k in range(48):
+        words = items[k % 12].copy()
+        for _ in range(k % 4):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+        docs.append([f"f{rng.randrange(999)}" for _ in range(9)] + words)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    passes = decontamination.item_passes
+    found = []
+    for limit in (20_000, 2):
+        monkeypatch.setattr(decontamination, "item_passes", lambda rows, limit=limit: passes(rows, limit))
+        found.append(sorted(decontamination.find_leaks(docs, items).collect()))
+    assert found[0] == found[1] and len(found[0]) > 12  # more than the unchanged ones
+
+
+def test_closest_windows_are_those_of_every_window_times_every_item(spark):
+    """Every window of every document against every item; what lies within the radius must be reported as it is."""
+    rng = random.Random(3)
+    items = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in (6, 9, 14, 14, 25, 40)]
+    docs = []
+    for k in range(40):
+        words = items[k % 6].copy()
+        if k % 3 == 1:
+            words[rng.randrange(len(words))] = "other"
+        docs.append([f"w{rng.randrange(40)}" for _ in range(k)] + words + [f"w{rng.randrange(40)}" for _ in range(20)])
+    rows = [(i, " ".join(x)) for i, x in enumerate(items)]
+    held = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in items]
+    weight = lambda s: np.log1p(len(items) / max(1, sum(s in h for h in held)))
+    total = lambda shingles: sum(map(weight, shingles))
+    best = {}
+    for i, words in enumerate(docs):
+        for j, item in enumerate(items):
+            for start in range(len(words) - len(item) + 1):
+                own = {tuple(words[x : x + 5]) for x in range(start, start + len(item) - 4)}
+                similarity = total(own & held[j]) / total(own | held[j])
+                if similarity >= 0.75 and similarity > best.get((i, j), 0) + 1e-9:
+                    best[i, j] = similarity
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    found = {(x.doc_id, x.item_id): x.similarity for x in decontamination.find_leaks(table, benchmark).collect()}
+    assert set(found) <= set(best) and all(found[x] == pytest.approx(best[x]) for x in found)
+    # Equal items are always within the radius; of those that just pass, about one in 20 is not.
+    assert {x for x in best if best[x] == 1} <= set(found) and len(found) >= 0.9 * len(best)
 
 
 def test_blocks_find_all_within_the_radius():

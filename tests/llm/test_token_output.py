@@ -12,7 +12,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     start = 0
     for doc_id, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, token_output.END_ID]
