@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import base_name
@@ -10,6 +10,21 @@ from .filters import in_any_range, points
 from .ranges import crowded_bins, join_ranges
 from .targets import Targets
 
+# Sums are taken in decimals of this kind up to this size of a single intensity.
+EXACT = "decimal(38, 15)"
+EXACT_BELOW = 1e15
+
+
+def summed_intensity() -> Column:
+    """The sum of `intensity`, the same in whatever order its points come.
+
+    Sums of doubles hang on their order, and equal chromatograms would be tied on one run and not on the next one. Only
+    a group with larger or non-finite values, or too large a sum, is summed as doubles.
+    """
+    small = F.abs("intensity") < EXACT_BELOW
+    exact = F.try_sum(F.when(small, F.col("intensity").cast(EXACT))).cast("double")
+    return F.coalesce(F.when(F.bool_and(small), exact), F.sum("intensity"))
+
 
 def eic_one_target(
     peaks: DataFrame,
@@ -25,7 +40,7 @@ def eic_one_target(
         points(peaks, mslevel, rt_range, min_intensity)
         .where(window)
         .groupBy("file_id", "rt")
-        .agg(F.sum("intensity").alias("intensity"))
+        .agg(summed_intensity().alias("intensity"))
         .select(
             "file_id",
             base_name(F.col("file_id")).alias("file"),
@@ -71,7 +86,7 @@ def eic(
     """
     keys = ["target_id", "file_id", "rt"] + (["scanid"] if per_scan else [])
     matched = matched_points(peaks, targets, rt_range, mslevel, min_intensity, broadcast)
-    return matched.groupBy(*keys).agg(F.sum("intensity").alias("intensity"))
+    return matched.groupBy(*keys).agg(summed_intensity().alias("intensity"))
 
 
 def labelled(frame: DataFrame, targets: Targets) -> DataFrame:
@@ -101,4 +116,4 @@ def spectrum(
 ) -> DataFrame:
     """Summed intensity per exact m/z and sample inside a retention time range."""
     kept = points(peaks, mslevel, rt_range, min_intensity=None)
-    return kept.groupBy("file_id", "mz").agg(F.sum("intensity").alias("intensity"))
+    return kept.groupBy("file_id", "mz").agg(summed_intensity().alias("intensity"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_MAX_ROWS, at_most
+from .eic import summed_intensity
 from .filters import points
 from .ranges import join_ranges
 
@@ -82,6 +83,6 @@ def spectra_in_windows(peaks: DataFrame, windows: DataFrame, mslevel: str) -> Da
         broadcast=few,
     )
     keys = ["target_id", "file_id", "apex_rt"]
-    lines = inside.groupBy(*keys, "mz").agg(F.sum("intensity").alias("intensity"))
+    lines = inside.groupBy(*keys, "mz").agg(summed_intensity().alias("intensity"))
     base = lines.groupBy(*keys).agg(F.max("intensity").alias("base_peak"))
     return lines.join(base, keys)

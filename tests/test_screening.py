@@ -89,6 +89,15 @@ def test_one_at_a_time_equals_all_at_once(peaks, targets, rows):
         }
 
 
+def test_sums_do_not_hang_on_the_order_of_points(spark):
+    values = {"a": (0.1, 0.2, 0.3), "b": (0.3, 0.2, 0.1), "c": (0.2, 0.3, 0.1), "big": (1e300, 1e300), "nan": (1.0, float("nan")), "sum": (9e14,) * 3}
+    made = [(file, "1", 1, 1.0, 100.0, x) for file, points in values.items() for x in points]
+    peaks = spark.createDataFrame(made, PEAKS).coalesce(1)
+    found = {x.file: x.intensity for x in eics.eic_one_target(peaks, 100.0).collect()}
+    assert found["a"] == found["b"] == found["c"] == 0.6
+    assert found["big"] == 2e300 and found["nan"] != found["nan"] and found["sum"] == 27e14
+
+
 def test_totals_and_wider_tolerance(spark, peaks, targets):
     narrow = as_eic(screening.screen_molecules(peaks, targets))
     wide = as_eic(screening.screen_molecules(peaks, targets_of(spark, TARGETS, 0.015)))
