@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -170,6 +171,24 @@ def test_distances_over_several_chunks(cells):
         assert row.distance == pytest.approx(wanted)
 
 
+def test_pairs_are_not_exchanged(cells):
+    df, _ = cells
+    plan = plan_of(distance.pairwise_distances(distance.profile_chunks(df, "sample", "molecule", "v")))
+    assert re.match(r"[^a-zA-Z]*AdaptiveSparkPlan[^\n]*\n[^a-zA-Z]*Project[^\n]*\n[^a-zA-Z]*SortMergeJoin", plan.split("==\n")[1])
+
+
+@pytest.mark.parametrize("strip,spelled", [(1, 16), (64, 0)])
+def test_distances_over_strips_and_blocks(cells, monkeypatch, strip, spelled):
+    """Blocks and strips change no distance."""
+    for name, value in {"CHUNK": 1, "STRIP": strip, "SPELLED_OUT": spelled, "BLOCK": 7, "BLOCKS": 8, "TASK_PAIRS": 1000}.items():
+        monkeypatch.setattr(distance, name, value)
+    df, profiles = cells
+    some = dict(sorted(profiles.items())[:90])
+    found = distance.pairwise_distances(distance.profile_chunks(df.where(F.col("sample").isin(list(some))), "sample", "molecule", "v")).collect()
+    assert {(r.item_1, r.item_2): r.distance for r in found} == {(a, b): pytest.approx(math.dist(some[a], some[b])) for a in some for b in some if a < b}
+    assert len(found) == 90 * 89 // 2
+
+
 def test_nearest(cells):
     df, profiles = cells
     names = sorted(profiles)
