@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_MAX_ROWS, at_most, materialize
-from .ordering import with_index
+from .ordering import with_index, with_running_total
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Clusters that one task may merge: a matrix of 8 MB.
-LOCAL = 1_024
+# Clusters that one task may merge: a matrix of 128 MB.
+LOCAL = 4_096
 
 FORMED = "struct<d: double, lo: bigint, hi: bigint>"
 
@@ -87,23 +87,65 @@ def _moved_distances(distances: DataFrame, moves: DataFrame) -> DataFrame:
     return pairs.groupBy("lo", "hi").agg(F.max("d").alias("d"))
 
 
-def cluster_tree(distances: DataFrame, items: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+def _folded(numbered: DataFrame, alike: DataFrame | None) -> DataFrame:
+    """item, idx, label (the first of the item's group), k (1-based place in it), n and last (its size and last item)."""
+    if alike is None:
+        one = F.lit(1).cast("long")
+        return numbered.select("item", "idx", F.col("idx").alias("label"), one.alias("k"), one.alias("n"), F.col("idx").alias("last"))
+    placed = materialize(with_running_total(numbered.join(alike, "item"), ["group"], [F.col("idx")], F.lit(1).cast("long")))
+    groups = placed.groupBy("group").agg(F.min("idx").alias("label"), F.max("idx").alias("last"))
+    return materialize(placed.join(groups, "group").select("item", "idx", "label", (F.col("before") + 1).alias("k"), F.col("total").alias("n"), "last"))
+
+
+def _unfolded(rows: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distances and items, with the groups taken apart that lie at distance 0 from another one: their copies need not
+    merge before the groups do."""
+    near = materialize(rows.where("d = 0").select(F.explode(F.array("lo", "hi")).alias("label")).distinct())
+    if near.isEmpty():
+        return rows, folded
+    apart = near.withColumn("_apart", F.lit(True))
+    kept = folded.join(apart, "label", "left").withColumn("group", F.col("label"))
+    alone = lambda value, name: F.when(F.col("_apart"), value).otherwise(F.col(name)).alias(name)
+    one = F.lit(1).cast("long")
+    kept = materialize(kept.select("item", "idx", "group", alone(F.col("idx"), "label"), alone(one, "k"), alone(one, "n"), alone(F.col("idx"), "last")))
+    heads = kept.where("idx = label")
+    side = lambda old, new: heads.select(F.col("group").alias(old), F.col("label").alias(new))
+    across = rows.join(side("lo", "i"), "lo").join(side("hi", "j"), "hi").select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "d")
+    inside = side("group", "lo").join(side("group", "hi"), "group").where("lo < hi").select("lo", "hi", F.lit(0.0).alias("d"))
+    return materialize(across.unionByName(inside)), kept.drop("group")
+
+
+def _copies_merged(folded: DataFrame) -> DataFrame:
+    """The merges inside groups of copies, as _moves gives them: one copy after the other joins the first one."""
+    formed = F.struct(F.lit(0.0).alias("d"), F.col("label").alias("lo"), F.col("idx").alias("hi"))
+    later = folded.where("k > 1").select(F.explode(F.array("label", "idx")).alias("label"), formed.alias("formed"), F.col("k").alias("n"))
+    return later.withColumn("formed", F.col("formed").cast(FORMED))
+
+
+def cluster_tree(
+    distances: DataFrame, items: DataFrame, order: Sequence[Column], alike: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(leaves, merges) of the complete-linkage tree.
 
     distances: item_1, item_2, distance, one row for every pair of `items`, either way round. items: item, and what
-    `order` needs, which numbers them; it decides between equals.
+    `order` needs, which numbers them; it decides between equals. With `alike` (item, group), items of one group are copies
+    at distance 0 from each other, and `distances` has a row for every pair of groups only, under any item of theirs.
 
     leaves: item, idx (1-based), place (1-based, along the tree), height (at which the item first merges, null for a
     single item). merges: step (1-based, by rising height), a, b (first items of both sides), height, n_items.
     """
     numbered = materialize(with_index(items, [], list(order), "idx").select("item", "idx"))
-    name = lambda side, number: numbered.select(F.col("item").alias(f"item_{side}"), F.col("idx").alias(number))
+    folded = _folded(numbered, alike)
+    name = lambda side, number: folded.select(F.col("item").alias(f"item_{side}"), F.col("label").alias(number))
     known = distances.join(_small(name(1, "i")), "item_1").join(_small(name(2, "j")), "item_2")
     rows = materialize(known.select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("distance").alias("d")))
-    alone = F.lit(None).cast(FORMED)
-    one = lambda value: F.lit(value).cast("long")
-    members = numbered.select("idx", F.col("idx").alias("label"), one(0).alias("place"), one(1).alias("n"), alone.alias("formed"))
-    left, merged = numbered.count(), []
+    if alike is not None:
+        rows, folded = _unfolded(rows, folded)
+    # The second copy stands behind the first one, each later one, as it stands alone, in front of all before it.
+    place = F.when(F.col("k") > 2, F.col("n") - F.col("k")).otherwise(F.greatest(F.col("n") - 3 + F.col("k"), F.lit(0)))
+    formed = F.when(F.col("n") > 1, F.struct(F.lit(0.0).alias("d"), F.col("label").alias("lo"), F.col("last").alias("hi")))
+    members = folded.select("idx", "label", place.cast("long").alias("place"), "n", formed.cast(FORMED).alias("formed"))
+    left, merged = members.where("idx = label").count(), [_copies_merged(folded)]
     while left > LOCAL and not rows.isEmpty():
         moves = materialize(_moves(_mutual(rows), members))
         merged.append(moves)

@@ -49,6 +49,27 @@ def test_tree_is_the_one_by_one_tree(spark, monkeypatch, kind, n, local):
     assert {x.idx: x.height for x in found} == {i: min(h for _, a, b, h, _ in expected if i in (a, b)) for i in range(1, n + 1)}
 
 
+@pytest.mark.parametrize("near,local", [(False, 1024), (False, 3), (True, 1024), (True, 2)])
+def test_folded_copies_give_the_same_tree(spark, monkeypatch, near, local):
+    """Groups of 1 to 4 copies; with `near`, different groups lie at distance 0 too."""
+    monkeypatch.setattr(clustering, "LOCAL", local)
+    draw = random.Random(9)
+    group = [draw.randrange(7) for _ in range(18)]
+    known = sorted(set(group))
+    between = {(a, b): float(draw.randint(0 if near else 1, 5)) for a in known for b in known if a < b}
+    if near:
+        between[known[0], known[1]] = between[known[2], known[4]] = 0.0
+    d = {(i, j): between.get((min(a, b), max(a, b)), 0.0) for i, a in enumerate(group, 1) for j, b in enumerate(group, 1) if i < j}
+    name = "item{:02}".format
+    some = {g: name(draw.choice([i for i, x in enumerate(group, 1) if x == g])) for g in known}
+    distances = spark.createDataFrame([(some[a], some[b], x) for (a, b), x in between.items()], "item_1 string, item_2 string, distance double")
+    items = spark.createDataFrame([(name(i), g) for i, g in enumerate(group, 1)], "item string, group int")
+    leaves, merges = clustering.cluster_tree(distances, items.select("item"), [F.col("item")], items)
+    expected, order = plain_tree(d, 18)
+    assert sorted(map(tuple, merges.collect())) == [(s, name(a), name(b), h, k) for s, a, b, h, k in expected]
+    assert [x.item for x in leaves.orderBy("place").collect()] == [name(i) for i in order]
+
+
 def test_trees_of_one_item_and_of_none(spark):
     none = spark.createDataFrame([], "item_1 string, item_2 string, distance double")
     one = spark.createDataFrame([("only",)], "item string")
