@@ -14,6 +14,7 @@ from ionsieve.operators.ranges import join_ranges
 from ionsieve.operators.targets import merged_ranges
 from ionsieve.plans import apex, frames, screening
 from ionsieve.schemas import PEAKS
+from plan_text import plan_of
 
 TARGETS = [("one", 100.00512), ("two", 100.01512), ("far", 250.00012)]
 
@@ -236,6 +237,24 @@ def test_block_grid_equals_small_grid(manifest, targets):
     assert len(blocks) == 8 * 3 and {tuple(r) for r in blocks} == small
 
 
+def test_block_grid_never_moves_pairs(spark, peaks, manifest, targets, monkeypatch):
+    """Blocks of samples and targets give the small grid's rows, with Spark's own settings too."""
+    monkeypatch.setattr(summary, "SAMPLES_PER_BLOCK", 3)
+    large = type(targets)(targets.table, targets.tolerance, 10**5 + 1, targets.scan_ranges)
+    found = summary.apexes(eics.eic(peaks, targets))
+    small = summary.complete(found, manifest, targets)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    try:
+        blocks = summary.complete(found, manifest, large)
+        plan = plan_of(blocks)
+        assert sorted(map(str, blocks.select(*small.columns).collect())) == sorted(map(str, small.collect()))
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # The join that makes the pairs is the last one, and nothing is exchanged after it.
+    assert "Exchange" not in plan.split("Join")[0]
+    assert "target_id" not in plan.split("Join")[1].split("\n")[0]
+
+
 def max_rows(spark, *rows):
     full = [(1, "m", file, file, i, float(top) if top is not None else None, 1.0, 100.0) for i, (file, top) in enumerate(rows)]
     return spark.createDataFrame(
