@@ -1,15 +1,21 @@
-"""Main text of web pages: the article's blocks, and a host's repeated runs taken from pages that mark no article.
+"""Main text of web pages: blocks by markup, without the runs of tokens that a host repeats.
 
 A page is cut into blocks. Menus, headers, footers, asides, forms, adverts, notices and comments are left out by their
-markup. Where the page has an article, its blocks are the text, whole: other pages may well repeat an article,
-so repetition is no reason to drop it. Where it has none, boilerplate is what the host repeats: all tokens
-outside articles, page after page, make the host's token stream. Its suffixes are brought in order by their first
+markup. What is left, the article or else the whole page, is judged by the host's repeated runs.
+
+Outside articles all tokens, page after page, make the host's token stream. Its suffixes are brought in order by their first
 RUN tokens (a suffix array to that depth, as a grouping by their hash, so a large host is spread over all tasks). Neighbours
 from distinct pages share a run of at least RUN tokens. Tokens that such runs cover are removed, unique runs stay.
+
+Inside articles the suffixes of each block count, and repetition alone says little: pages carry copies of articles and quotes.
+So a block goes only if all its runs are common, that is, held by at least half of the host's distinct articles, and by LEAST_HOLDERS. Equal articles
+are one. An article that would lose more than half of its words is a copy: it stays whole, and common runs are
+counted again without it. A block can only go if its first run is common, so only such blocks are looked at run by run.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -25,6 +31,10 @@ from .words import mix, run_hashes, exact_values, text_bytes
 
 # Tokens of a repeated run, at least.
 RUN = 8
+# Distinct articles that hold a common run, at least.
+LEAST_HOLDERS = 4
+# Articles that lose blocks are broadcast up to so many.
+BROADCAST_ARTICLES = 1 << 16
 
 # Fixed names: elements by what they do to the text around them.
 BLOCKS = set(
@@ -167,24 +177,41 @@ def _suffixes(blocks: list[str]) -> np.ndarray:
     return mix(total)
 
 
-OUTSIDE = "page_id long, url string, blocks array<string>, host long, suffixes array<long>"
+CUT = "page_id long, url string, blocks array<string>, host long, article long, starts array<long>, suffixes array<long>"
+
+
+def _host(url: str | None) -> bytes:
+    return re.sub(r"^[^:]*://|[/?#].*$", "", url or "", flags=re.S).lower().encode()
+
+
+def _starts(blocks: list[str], host: np.ndarray) -> list[int | None]:
+    """The first run of each block, none where it has fewer tokens."""
+    heads = [block.split(" ", RUN)[:RUN] for block in blocks]
+    whole = [len(head) == RUN for head in heads]
+    found = iter(mix(_suffixes([" ".join(head) for head, x in zip(heads, whole) if x])[::RUN] ^ host).astype(np.int64).tolist())
+    return [next(found) if x else None for x in whole]
 
 
-def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What lies outside articles: suffixes of the host's token stream, and the open blocks of pages without article."""
-    kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64())]
-    names = [x.split()[0] for x in OUTSIDE.split(", ")]
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page's article, or its open blocks where it has none, first runs of the article's blocks, suffixes of what lies outside."""
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in CUT.split(", ")]
     for batch in batches:
         rows = []
         for page_id, url, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
             blocks = blocks_of(page or "")
-            host = re.sub(r"^[^:]*://|[/?#].*$", "", url or "", flags=re.S).lower().encode()
-            host = run_hashes(exact_values(np.frombuffer(host, np.uint8)), np.array([0]), np.array([len(host)]))
+            name = _host(url)
+            host = run_hashes(exact_values(np.frombuffer(name, np.uint8)), np.array([0]), np.array([len(name)]))
             # The open blocks come first, so that place k is their token k.
             stream = blocks.open + blocks.left_out
             suffixes = mix(_suffixes(stream) ^ host).astype(np.int64)
-            rows.append((page_id, url, None if blocks.has_article else blocks.open, int(host.astype(np.int64)[0]), suffixes))
-        columns = list(zip(*rows)) or [[]] * 5
+            own, article, starts = blocks.open, None, None
+            if blocks.has_article:
+                own, starts = blocks.article, _starts(blocks.article, host)
+                whole = "\n\n".join([*own, ""]).encode() + name
+                article = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
+            rows.append((page_id, url, own, int(host.astype(np.int64)[0]), article, starts, suffixes))
+        columns = list(zip(*rows)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
@@ -199,14 +226,22 @@ def _texts(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
     )
 
 
-def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+RUNS = "article long, host long, words int, block int, size int, runs int, suffix long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All suffixes, to their block's end, of the given blocks of each article."""
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64()]
+    names = [x.split()[0] for x in RUNS.split(", ")]
     for batch in batches:
-        rows = []
-        for page_id, url, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            blocks = blocks_of(page or "")
-            if blocks.has_article:
-                rows.append((page_id, url, "\n\n".join(blocks.article)))
-        yield _texts(rows)
+        for article, host, blocks, of in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            sizes = np.array([block.count(" ") + 1 for block in blocks])
+            found = [_suffixes([blocks[k]]) for k in of]
+            runs = np.array([len(x) for x in found])
+            suffixes = mix(np.concatenate(found) ^ np.array(host, np.int64).astype(np.uint64)).astype(np.int64)
+            numbers = (np.repeat(x, runs.sum()) for x in (article, host, sizes.sum()))
+            columns = [*numbers, *(np.repeat(x, runs) for x in (of, sizes[of], runs)), suffixes]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds)], names=names)
 
 
 def unique_runs(blocks: list[str], repeated: list[int]) -> list[str]:
@@ -227,26 +262,69 @@ def unique_runs(blocks: list[str], repeated: list[int]) -> list[str]:
     return kept
 
 
-def _open_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of pages without the blocks and the runs that their host repeats."""
     for batch in batches:
-        columns = (batch.column(k).to_pylist() for k in range(4))
-        yield _texts([(i, url, "\n\n".join(unique_runs(blocks, places or []))) for i, url, blocks, places in zip(*columns)])
+        rows = []
+        for i, url, blocks, gone, places in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if gone:
+                blocks = [block for k, block in enumerate(blocks) if k not in gone]
+            if places:
+                blocks = unique_runs(blocks, places)
+            rows.append((i, url, "\n\n".join(blocks)))
+        yield _texts(rows)
+
+
+def _common(found: DataFrame, articles: DataFrame, key: str) -> DataFrame:
+    """The values of `key` that at least half of their host's articles hold, and LEAST_HOLDERS of them."""
+    sizes = articles.groupBy("host").agg(F.count("*").alias("articles"))
+    holders = found.select("host", "article", key).distinct().groupBy("host", key).agg(F.count("*").alias("holders"))
+    return holders.where(F.col("holders") >= LEAST_HOLDERS).join(sizes, "host").where("2 * holders >= articles").select(key)
+
+
+def _covered(runs: DataFrame, articles: DataFrame) -> DataFrame:
+    """article, words, lost, gone: the blocks of which all runs are common, and their words."""
+    hits = runs.join(_common(runs, articles, "suffix"), "suffix").groupBy("article", "words", "block", "size", "runs").count()
+    gone = hits.where("count = runs").groupBy("article", "words")
+    return gone.agg(F.sum("size").alias("lost"), F.collect_list("block").alias("gone"))
+
+
+def repeated_blocks(cut: DataFrame) -> DataFrame | None:
+    """article, gone: the numbers of the blocks that articles lose; None if no article's block begins with a common run."""
+    cut = cut.where("article is not null")
+    articles = written(cut.groupBy("article").agg(F.min("row").alias("row"), F.min("host").alias("host")), "articles")
+    starts = cut.select("host", "article", F.posexplode("starts").alias("block", "start")).where("start is not null")
+    begun = starts.join(_common(starts, articles, "start"), "start").groupBy("article").agg(F.collect_set("block").alias("of"))
+    begun = written(begun.join(articles, "article"), "begun")
+    if begun.isEmpty():
+        return None
+    looked_at = cut.select("row", "blocks").join(begun, "row").select("article", "host", "blocks", "of")
+    runs = written(looked_at.mapInArrow(_runs, RUNS), "runs")
+    copies = written(_covered(runs, articles).where("2 * lost > words").select("article"), "copies")
+    runs, articles = (x.join(copies, "article", "left_anti") for x in (runs, articles))
+    return written(_covered(runs, articles).where("2 * lost <= words").select("article", "gone"), "gone")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of `pages`.
 
     A block's white space becomes one space; blocks are joined by an empty line. A null or empty page has an empty text,
-    and so has one that is boilerplate throughout. Null and equal page_ids are ordinary rows (equal ones count as one
-    page when runs are looked for). A null url is a host of its own. Other columns are ignored; an empty table gives no
-    rows.
+    and so has one without article that is boilerplate throughout. Null and equal page_ids are ordinary rows (equal ones count as
+    one page when runs outside articles are looked for). A null url is a host of its own. Other columns are ignored; an empty
+    table gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    outside = written(pages.mapInArrow(_outside, OUTSIDE).withColumn("row", F.monotonically_increasing_id()), "outside")
+    cut = written(pages.mapInArrow(_cut, CUT).withColumn("row", F.monotonically_increasing_id()), "cut")
     page = F.coalesce("page_id", -1 - F.col("row"))
-    places = outside.select("row", page.alias("page"), F.col("blocks").isNotNull().alias("open"), F.posexplode("suffixes").alias("place", "suffix"))
+    places = cut.select("row", page.alias("page"), F.col("article").isNull().alias("open"), F.posexplode("suffixes").alias("place", "suffix"))
     repeated = places.groupBy("suffix").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.max("open").alias("open"))
     repeated = repeated.where("first <> last and open").select("suffix")
     covered = places.where("open").join(repeated, "suffix").groupBy("row").agg(F.collect_list("place").alias("places"))
-    open_pages = outside.where("blocks is not null").join(covered, "row", "left").select("page_id", "url", "blocks", "places")
-    return pages.mapInArrow(_articles, TEXTS).unionByName(open_pages.mapInArrow(_open_pages, TEXTS))
+    columns = ["page_id", "url", "blocks", "gone", "places"]
+    open_pages = cut.where("article is null").join(covered, "row", "left").withColumn("gone", F.lit(None).cast("array<int>"))
+    articles, gone = cut.where("article is not null").withColumn("places", F.lit(None).cast("array<int>")), repeated_blocks(cut)
+    if gone is None:
+        articles = articles.withColumn("gone", F.lit(None).cast("array<int>"))
+    else:
+        articles = articles.join(F.broadcast(gone) if gone.count() <= BROADCAST_ARTICLES else gone, "article", "left")
+    return articles.select(*columns).unionByName(open_pages.select(*columns)).mapInArrow(_left, TEXTS)

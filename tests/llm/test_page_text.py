@@ -55,3 +55,25 @@ def test_odd_rows(spark):
     found = page_text.main_texts(pages).collect()
     assert sorted(x.text[:9] for x in found) == ["", "a", "b", "b", "long text"]
     assert page_text.main_texts(pages.where("false")).count() == 0
+
+
+def test_articles_lose_blocks_that_their_host_repeats(spark):
+    words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    licence = "All rights reserved by the owner of this site, ask before you copy"
+    quote, long = words("quote", 20), words("long", 60)
+    article = lambda *blocks: "<article>" + "".join(f"<p>{x}</p>" for x in blocks) + "</article>"
+    rows = []  # url, html, text
+    for i in range(6):
+        own = [words(f"a{i}", 40), *([quote] * (i < 2)), f"{licence} {words(f'b{i}', 3)}"]
+        rows.append((f"http://h/{i}", article(own[0], licence, *own[1:]), "\n\n".join(own)))
+    # Near copies, more than half of a host's articles: whole, and their blocks are not the host's.
+    for i in range(8):
+        blocks = [long, words("more", 60), f"edit {i}"] if i < 5 else [words(f"c{i}", 30), long[:40]]
+        rows.append((f"http://copies/{i}", article(*blocks), "\n\n".join(blocks)))
+    # Equal articles are one, and three articles are too few.
+    for i in range(9):
+        blocks = [words(f"d{i // 3}", 30), licence]
+        rows.append((f"http://few/{i}", article(*blocks), "\n\n".join(blocks)))
+    pages = spark.createDataFrame([(i, url, page) for i, (url, page, _) in enumerate(rows)], "page_id long, url string, html string")
+    found = {x.page_id: x.text for x in page_text.main_texts(pages).collect()}
+    assert found == {i: text for i, (_, _, text) in enumerate(rows)}
