@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -163,9 +164,7 @@ class PieceEncoder(Encoder):
             raise ValueError("a piece holds a space behind other characters: stretches can't be encoded alone")
         self.bad = size  # stands for a stretch whose tokens do not give back its bytes
         self.token_bytes = np.array([*map(len, self.bytes), 0], np.int64)
-        self.known: dict[int, int] = {}
-        self.first = [0]
-        self.ids: list[np.ndarray] = []
+        self._forget()
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         cut = np.zeros(len(data) + 1, bool)
@@ -173,16 +172,18 @@ class PieceEncoder(Encoder):
         cut[offsets] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        pieces = [raw[x:y] for x, y in zip(begins.tolist(), ends.tolist())]
         found = self.model.encode([x[1:].decode() for x in pieces], num_threads=1)
+        spell = self.bytes.__getitem__
         for k, (piece, ids) in enumerate(zip(pieces, found)):
             if piece == b" ":  # nothing is left to encode
-                ids = [self.model.piece_to_id("▁")]
-            if b"".join([self.bytes[i] for i in ids]) != piece:
-                ids = [self.bad]
-            self.known[keys[k]] = len(self.first) - 1
-            self.first.append(self.first[-1] + len(ids))
-            self.ids.append(np.array(ids, np.uint32))
+                found[k] = ids = [self.model.piece_to_id("▁")]
+            if b"".join(map(spell, ids)) != piece:
+                found[k] = [self.bad]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts, np.arange(len(found))
 
 
 def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

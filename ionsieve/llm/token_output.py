@@ -8,7 +8,7 @@ second Arrow file beside it says where each document lies in the shard.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,8 +31,12 @@ REMEMBERED = 1_000_000
 # Bytes of text that are encoded at once.
 SLICE = 1 << 19
 
-# A space and a character of which piece_cuts() knows that it is no space.
-_SPACED = re.compile(rb" [\x21-\x7e\xc3-\xdf]")
+# Pieces that are encoded as one text.
+TOGETHER = 8192
+
+# First bytes of characters of which piece_cuts() knows that they are no space: visible ASCII, letters and signs.
+_SEEN = np.zeros(256, bool)
+_SEEN[33:127] = _SEEN[0xC3:0xE0] = True
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -46,9 +50,6 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     a line feed between two visible ASCII characters.
     """
     n = len(data)
-    seen = np.zeros(256, bool)
-    seen[33:127] = True
-    seen[0xC3:0xE0] = True  # first bytes of letters and signs, none of them a space
     alnum = np.zeros(256, bool)
     for a, b in ((48, 58), (65, 91), (97, 123)):
         alnum[a:b] = True
@@ -56,7 +57,7 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     points[list(b".,!|%$&*#;:?")] = True
     cut = np.zeros(n + 1, bool)
     if n > 1:
-        cut[1 : n - 1] |= (data[1:-1] == 32) & seen[data[2:]]
+        cut[1 : n - 1] |= (data[1:-1] == 32) & _SEEN[data[2:]]
         cut[0] = data[0] == 32
         cut[1:n] |= points[data[1:]] & alnum[data[:-1]]
     if n > 2:
@@ -67,10 +68,31 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class Store:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.buffer, self.size = np.zeros(1 << 16, kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.buffer[: self.size]
+
+    def append(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.buffer):
+            self.buffer = np.concatenate([self.values, np.zeros(self.size + 2 * len(more), self.buffer.dtype)])
+        self.buffer[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 class Encoder:
     """Encodes texts piece by piece and remembers the ids of pieces it has met."""
 
     def __init__(self, path: str) -> None:
+        import re
+
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,33 +102,36 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.token_bytes[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[int, int] = {}  # by the piece's 64-bit hash
-        self.first = [0]
-        self.ids: list[np.ndarray] = []
+        self.first, self.ids = Store(np.int64), Store(np.uint32)
+        self.first.append(np.zeros(1, np.int64))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the n+1 places where each text's ids begin."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.first, self.ids = [0], []
+            self._forget()
         cuts = self._cuts(data, offsets)
         hashes = run_hashes(exact_values(data), cuts[:-1], cuts[1:])
         hashes, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys, known = hashes.tolist(), self.known
-        new = [i for i, key in enumerate(keys) if key not in known]
-        if new:
-            raw, bounds = data.tobytes(), zip(cuts[at[new]].tolist(), cuts[at[new] + 1].tolist())
-            self._learn([keys[i] for i in new], [raw[x:y] for x, y in bounds])
-        first = np.asarray(self.first, np.int64)
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        store = self.ids[0] if self.ids else np.zeros(0, np.uint32)
-        slot = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
-        lengths = (first[slot + 1] - first[slot])[which]
+        slots = list(map(self.known.get, hashes.tolist()))
+        slot = np.array([-1 if x is None else x for x in slots], np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            ids, counts, order = self._learn(data, cuts[at[new]], cuts[at[new] + 1])
+            slot[new[order]] = len(self.known) + np.arange(len(new))
+            self.known.update(zip(hashes[new].tolist(), slot[new].tolist()))
+            self.first.append(self.first.values[-1] + np.cumsum(counts))
+            self.ids.append(ids)
+        first = self.first.values
+        begin = first[slot]
+        lengths = (first[slot + 1] - begin)[which]
         ends = np.cumsum(lengths)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[slot][which] - ends + lengths, lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[which] - ends + lengths, lengths)
         begins = np.concatenate([[0], ends])
-        return store[places], begins[np.searchsorted(cuts, offsets)]
+        return self.ids.values[places], begins[np.searchsorted(cuts, offsets)]
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """As piece_cuts(), with each added token's text in a piece of its own."""
@@ -125,34 +150,27 @@ class Encoder:
                 last = end
         return np.flatnonzero(cut)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        """Remember the ids of `pieces`.
+    def _learn(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the pieces data[begin:end], how many each has, and the order in which the pieces come there.
 
         Pieces that begin with a space and a visible character are encoded as one text: the splitter
         breaks before each, and the tokens' lengths in bytes say which belong to which.
         """
-        spaced = [_SPACED.match(x) is not None for x in pieces]
-        order = [i for i, x in enumerate(spaced) if x] + [i for i, x in enumerate(spaced) if not x]
-        together = [pieces[i] for i in order[: sum(spaced)]]
-        counts: list[np.ndarray] = []
-        for k in range(0, len(together), 8192):
-            part = together[k : k + 8192]
-            ids = self._encode(b"".join(part))
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
-            last = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
-            counts.append(np.diff(last, prepend=0))
-            self.ids.append(ids)
-        for i in order[len(together) :]:
-            ids = self._encode(pieces[i])
-            counts.append(np.array([len(ids)]))
-            self.ids.append(ids)
-        at = len(self.first) - 1
-        self.known.update((keys[i], at + k) for k, i in enumerate(order))
-        ends = self.first[-1] + np.cumsum(np.concatenate(counts))
-        self.first.extend(ends.tolist())
-
-    def _encode(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        spaced = (data[begins] == 32) & (ends - begins > 1) & _SEEN[data[np.minimum(begins + 1, len(data) - 1)]]
+        order = np.argsort(~spaced, kind="stable")
+        n = int(spaced.sum())
+        begins, sizes = begins[order], (ends - begins)[order]
+        last = np.cumsum(sizes)
+        text = data[np.arange(last[-1]) + np.repeat(begins - last + sizes, sizes)].tobytes()
+        # Texts: pieces 0 to n some at a time, each of the others alone.
+        heads = np.append(np.arange(0, n, TOGETHER), np.arange(n, len(sizes) + 1))
+        bounds = np.append(0, last)[heads].tolist()
+        found = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)
+        ids = [np.array(x.ids, np.uint32) for x in found]
+        together = np.concatenate([np.zeros(0, np.uint32), *ids[: -(-n // TOGETHER)]])
+        counts = np.diff(np.searchsorted(np.cumsum(self.token_bytes[together]), last[:n]) + 1, prepend=0)
+        alone = [len(x) for x in ids[-(-n // TOGETHER) :]]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.append(counts, alone).astype(np.int64), order
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:

@@ -63,3 +63,23 @@ def test_added_tokens_are_what_the_library_gives(text):
     ids, begins = token_output.Encoder(PATH)(*text_bytes(pa.array([text, "<|endof", "text|> z", text])))
     assert 50256 in expected[0]
     assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == expected
+
+
+def test_pieces_are_encoded_once_and_in_one_call(monkeypatch):
+    texts = ["a  b, c\n\nd é", " ", "", "x  <|endoftext|>  y", "  two\t\tthree four" + " word" * 20_000]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(x.encode()) for x in texts)])
+    encoder = token_output.Encoder(PATH)
+    library, calls = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, *args, **options):
+            calls.append(args)
+            return library.encode_batch_fast(*args, **options)
+
+    encoder.tokenizer = Counted()
+    expected = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for remembered, n in ((token_output.REMEMBERED, 1), (token_output.REMEMBERED, 1), (1, 2)):
+        monkeypatch.setattr(token_output, "REMEMBERED", remembered)
+        ids, begins = encoder(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == expected and len(calls) == n
