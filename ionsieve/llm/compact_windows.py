@@ -90,18 +90,21 @@ def compact_windows(values: np.ndarray, first: np.ndarray, size: int) -> tuple[n
     text = np.searchsorted(first, places, side="right") - 1
     begins, ends = first[text], first[text + 1]
     left, right = begins.copy(), ends - 1
-    stack: list[int] = []
     held = values[places].tolist()
     where, texts = places.tolist(), text.tolist()
     lefts, rights = left.tolist(), right.tolist()
-    for k, value in enumerate(held):
-        while stack and (texts[stack[-1]] != texts[k] or held[stack[-1]] > value):
-            top = stack.pop()
-            if texts[top] == texts[k]:
-                rights[top] = where[k] - 1
-        if stack:
+    # Places whose right end is open and their values, from the least to the last; a lower bound lies below them.
+    stack, least, of = [-1], [-1], -1
+    for k, (value, at, own) in enumerate(zip(held, where, texts)):
+        if own != of:
+            stack, least, of = [-1], [-1], own
+        while least[-1] > value:
+            least.pop()
+            rights[stack.pop()] = at - 1
+        if len(stack) > 1:
             lefts[k] = where[stack[-1]] + 1
         stack.append(k)
+        least.append(value)
     left, right = np.array(lefts, np.int64), np.array(rights, np.int64)
     enough = right - left + 1 >= size
     return places[enough], left[enough], right[enough]
@@ -114,16 +117,25 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nda
 
 
 def _packed(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Rows (bucket, windows); buckets go by the keys' highest bits."""
+    """Rows (bucket, windows); buckets go by the keys' highest bits.
+
+    Windows lie there byte by byte, the first bytes of all of them first, as the many zeros are then together and cost nothing.
+    """
     rows = np.concatenate(held)
     bucket = (rows["key"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
     order = np.argsort(bucket, kind="stable")
     numbers, starts = np.unique(bucket[order], return_index=True)
     ends = [*starts[1:].tolist(), len(rows)]
-    blobs = [rows[order[a:b]].tobytes() for a, b in zip(starts.tolist(), ends)]
+    planes = np.ascontiguousarray(rows[order].view(np.uint8).reshape(len(rows), rows.itemsize).T)
+    blobs = [planes[:, a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
     return pa.RecordBatch.from_pydict({"bucket": numbers, "windows": pa.array(blobs, pa.binary())})
 
 
+def _unpacked(blobs: pd.Series, kind: np.dtype) -> np.ndarray:
+    planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1) for x in blobs], axis=1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _windows(size: int, functions: int, bits: int) -> Callable:
     """Rows (bucket, windows): packed windows of the task's documents."""
 
@@ -157,7 +169,7 @@ COLLISIONS = "key long, a long, a_left int, a_at int, a_right int, b long, b_lef
 
 def _collide(rows: pd.DataFrame) -> pd.DataFrame:
     """For each key in several documents: the first window of the least document (a) with each window (b), itself too."""
-    windows = np.concatenate([np.frombuffer(x, WINDOW) for x in rows["windows"]])
+    windows = _unpacked(rows["windows"], WINDOW)
     windows = windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))]
     keys = windows["key"]
     begins = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -257,21 +269,33 @@ def _best_run(hits: np.ndarray, penalty: float) -> tuple[int, int]:
     return begin, end
 
 
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    y = np.sort(y)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def verified(x: np.ndarray, y: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int, float]]:
     """Passages that the tokens x and y share: (begin, end) in x, (begin, end) in y, exact Jaccard similarity."""
+    hits = _held(x, y)
+    before = np.append(0, np.cumsum(hits))
+    # A run of `size` tokens with a score above 0 has more hits than these, the more so under higher penalties.
+    too_few = size * PENALTIES[0] / (1 + PENALTIES[0])
     todo = [(0, len(x), 0)]
     while todo:
         a, b, level = todo.pop()
-        if b - a < size:
+        if before[b] - before[a] <= too_few:
             continue
-        begin, end = _best_run(np.isin(x[a:b], y), PENALTIES[level])
+        begin, end = _best_run(hits[a:b], PENALTIES[level])
         begin, end = a + begin, a + end
         if end - begin < size:
             if level + 1 < len(PENALTIES):
                 todo.append((a, b, level + 1))
             continue
         todo += [(a, begin, level), (end, b, level)]
-        low, high = _best_run(np.isin(y, x[begin:end]), PENALTIES[level])
+        low, high = _best_run(_held(y, x[begin:end]), PENALTIES[level])
         similarity = 0.0
         if high - low >= size:
             mine, theirs = np.unique(x[begin:end]), np.unique(y[low:high])
@@ -371,10 +395,17 @@ _NAMES = [x.split()[0] for x in COLLISIONS.split(", ")]
 
 def _useful(windows: np.ndarray) -> np.ndarray:
     """The open windows and the first of each key, by key, document and place; no other can be a key's first."""
-    windows = windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))]
-    first = np.ones(len(windows), bool)
-    first[1:] = windows["key"][1:] != windows["key"][:-1]
-    return windows[first | windows["open"]]
+    order = np.argsort(windows["key"])
+    keys = windows["key"][order]
+    same = keys[1:] == keys[:-1]
+    # Most keys have one window; only the others' windows are brought in order.
+    places = np.flatnonzero(np.append(False, same) | np.append(same, False))
+    several = np.sort(order[places])
+    order[places] = several[np.lexsort((windows["at"][several], windows["doc"][several], windows["key"][several]))]
+    useful = windows["open"][order]
+    useful[:1] = True
+    useful[1:] |= ~same
+    return windows[order[useful]]
 
 
 FITS = "a long, b long, function int, shift int, begin int, end int"
@@ -383,7 +414,7 @@ FITS = "a long, b long, function int, shift int, begin int, end int"
 def _meet(size: int) -> Callable:
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         """What `_fits` gives for each open window and the first window of the least document of its key."""
-        windows = _useful(np.concatenate([np.frombuffer(x, FINER) for x in rows["windows"]]))
+        windows = _useful(_unpacked(rows["windows"], FINER))
         begins = np.concatenate([[True], windows["key"][1:] != windows["key"][:-1]])
         least = windows[begins][np.cumsum(begins) - 1]
         a, b = least[here := windows["open"] & (least["doc"] != windows["doc"])], windows[here]
@@ -411,7 +442,7 @@ def _finer(size: int, bits: int) -> Callable:
             ids = batch.column(0).to_numpy()
             given = [batch.column(k) for k in range(2, 7)]
             for row, hashes, first in _tokens(*text_bytes(batch.column(1))):
-                values = [mix(hashes + np.uint64(201 + j)) for j in range(SKETCHES)]
+                values = np.stack([mix(hashes + np.uint64(201 + j)) for j in range(SKETCHES)])
                 for k in range(len(first) - 1):
                     key, left, at, right, open_ = (x[row + k].values.to_numpy(zero_copy_only=False) for x in given)
                     # Rows of equal doc_ids may be other texts.
@@ -429,13 +460,13 @@ def _finer(size: int, bits: int) -> Callable:
                     of, run = np.nonzero((begins >= left[:, None]) & (begins + size - 1 <= right[:, None]) & (key & int(_FUNCTION_BITS) == 0)[:, None])
                     begin = begins[of, run] + first[k]
                     hold(run_hashes(hashes[first[k] : first[k + 1]], begin - first[k], begin - first[k] + size), of)
-                    for side in (-1, 1):
+                    sides = mix(key.astype(np.uint64) + np.arange(2 * SKETCHES, dtype=np.uint64)[:, None])
+                    for k_side, side in enumerate((-1, 1)):
                         places = at[:, None] + side * np.arange(half)
                         out = (places < left[:, None]) | (places > right[:, None])
                         places = np.where(out, at[:, None], places) + first[k]
-                        for j in range(SKETCHES):
-                            least = values[j][places].min(axis=1)
-                            hold(mix(least + mix(key.astype(np.uint64) + np.uint64(j + (side > 0) * SKETCHES))), np.arange(len(at)))
+                        sides[k_side * SKETCHES : (k_side + 1) * SKETCHES] += values[:, places].min(axis=2)
+                    hold(mix(sides).ravel(), np.tile(np.arange(len(at)), 2 * SKETCHES))
                 if sum(map(len, held)) > PER_FLUSH:
                     yield _packed([_useful(np.concatenate(held))], bits)
                     held = []
@@ -492,9 +523,8 @@ def _second_stars(docs: DataFrame, collisions: DataFrame, passages: DataFrame, s
     part = F.pmod(F.xxhash64("key", "b_at"), F.col("parts")).alias("part")
     lists = windows.join(parts_of, "doc").groupBy("doc", part).agg(F.collect_list(F.struct("key", "b_left", "b_at", "b_right", "open")).alias("of"))
     lists = lists.select(F.col("doc").alias("doc_id"), *listed)
-    if amount <= BROADCAST_STRETCHES:
-        lists = F.broadcast(lists)
-    finer = docs.join(lists, "doc_id").select("doc_id", "text", "key", "b_left", "b_at", "b_right", "open")
+    # One way at any size: lists small enough for a broadcast on a small table are not on a large one.
+    finer = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "key", "b_left", "b_at", "b_right", "open")
     finer = finer.mapInArrow(_finer(size, bits), "bucket long, windows binary")
     fits = finer.groupBy("bucket").applyInPandas(_meet(size), FITS).distinct()
     more = _verified(docs, _agreements(fits, size, 1), size)

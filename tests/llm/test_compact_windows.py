@@ -86,3 +86,48 @@ def test_quotes_in_lesser_documents_hide_no_passage(spark):
     assert [x for x in rows if x.first_doc_id < 1000] == []
     assert len(rows) == len(expected) and all(x.similarity == 1 for x in rows)
     assert all(abs(x.start_word - 80) <= 1 and abs(x.end_word - 140) <= 1 for x in rows)
+
+
+def test_runs_with_too_few_hits_are_not_looked_at(monkeypatch):
+    rng = np.random.default_rng(2)
+    runs = compact_windows._best_run
+    looked_at = []
+
+    def counted(hits, penalty):
+        looked_at.append(len(hits))
+        return runs(hits, penalty)
+
+    def plain(x, y, size):
+        """As verified(), with each run judged."""
+        todo, found = [(0, len(x), 0)], []
+        while todo:
+            a, b, level = todo.pop()
+            if b - a < size:
+                continue
+            begin, end = (a + k for k in runs(np.isin(x[a:b], y), compact_windows.PENALTIES[level]))
+            similarity = 0.0
+            if end - begin >= size:
+                todo += [(a, begin, level), (end, b, level)]
+                low, high = runs(np.isin(y, x[begin:end]), compact_windows.PENALTIES[level])
+                if high - low >= size:
+                    similarity = len(np.intersect1d(x[begin:end], y[low:high])) / len(np.union1d(x[begin:end], y[low:high]))
+                if similarity >= compact_windows.SIMILARITY:
+                    found.append((begin, end, low, high, similarity))
+                    continue
+                a, b = begin, end
+            if level + 1 < len(compact_windows.PENALTIES):
+                todo.append((a, b, level + 1))
+        return found
+
+    monkeypatch.setattr(compact_windows, "_best_run", counted)
+    for size, wide in ((4, 30), (10, 200), (46, 100_000)):
+        for _ in range(100):
+            x = rng.integers(0, wide, rng.integers(0, 150)).astype(np.uint64)
+            y = rng.integers(0, wide, rng.integers(0, 150)).astype(np.uint64)
+            n, at = int(rng.integers(0, 90)), int(rng.integers(0, 50))
+            y[at : at + n] = x[:n][: len(y[at : at + n])] if len(x[:n]) >= len(y[at : at + n]) else y[at : at + n]
+            y[rng.random(len(y)) < 0.03] = 7
+            assert list(compact_windows.verified(x, y, size)) == plain(x, y, size)
+    looked_at.clear()
+    assert not list(compact_windows.verified(np.arange(300, dtype=np.uint64), np.arange(270, 500, dtype=np.uint64), 46))
+    assert not looked_at
