@@ -72,13 +72,35 @@ def least_places(values: np.ndarray, first: np.ndarray, size: int) -> np.ndarray
     before = np.concatenate([least[:1], least[:-1]])
     entered = follows & (least < before)
     left = ~follows | (values[np.maximum(starts - 1, 0)] == before)
-    places = [starts[entered] + size - 1]
+    found = np.zeros(n, bool)
+    found[starts[entered] + size - 1] = True
     starts, least = starts[left & ~entered], least[left & ~entered]
     for k in range(size):
         hit = values[starts + k] == least
-        places.append(starts[hit] + k)
+        found[starts[hit] + k] = True
         starts, least = starts[~hit], least[~hit]
-    return np.unique(np.concatenate(places))
+    return np.flatnonzero(found)
+
+
+def _bounding(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the last one before it that is not greater and the next lesser one, of the same text; -1 and n if none.
+
+    What lies beyond a greater neighbour's own bound is all that is left to look at, so all values step from bound to bound at once.
+    """
+    n = len(values)
+    before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+    new = np.append(True, text[1:] != text[:-1])[:n]
+    before[new] = -1
+    after[np.append(new[1:], True)[:n]] = n
+    todo = np.flatnonzero(~new)
+    while len(todo := todo[values[before[todo]] > values[todo]]):
+        before[todo] = before[before[todo]]
+        todo = todo[before[todo] >= 0]
+    todo = np.flatnonzero(after < n)
+    while len(todo := todo[values[after[todo]] >= values[todo]]):
+        after[todo] = after[after[todo]]
+        todo = todo[after[todo] < n]
+    return before, after
 
 
 def compact_windows(values: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -88,24 +110,13 @@ def compact_windows(values: np.ndarray, first: np.ndarray, size: int) -> tuple[n
     """
     places = least_places(values, first, size)
     text = np.searchsorted(first, places, side="right") - 1
-    begins, ends = first[text], first[text + 1]
-    left, right = begins.copy(), ends - 1
-    held = values[places].tolist()
-    where, texts = places.tolist(), text.tolist()
-    lefts, rights = left.tolist(), right.tolist()
-    # Places whose right end is open and their values, from the least to the last; a lower bound lies below them.
-    stack, least, of = [-1], [-1], -1
-    for k, (value, at, own) in enumerate(zip(held, where, texts)):
-        if own != of:
-            stack, least, of = [-1], [-1], own
-        while least[-1] > value:
-            least.pop()
-            rights[stack.pop()] = at - 1
-        if len(stack) > 1:
-            lefts[k] = where[stack[-1]] + 1
-        stack.append(k)
-        least.append(value)
-    left, right = np.array(lefts, np.int64), np.array(rights, np.int64)
+    held = values[places]
+    before, after = _bounding(held, text)
+    left, right = first[text], first[text + 1] - 1
+    inner = before >= 0
+    left[inner] = places[before[inner]] + 1
+    inner = after < len(places)
+    right[inner] = places[after[inner]] - 1
     enough = right - left + 1 >= size
     return places[enough], left[enough], right[enough]
 
@@ -145,16 +156,18 @@ def _windows(size: int, functions: int, bits: int) -> Callable:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, hashes, first in _tokens(*text_bytes(batch.column(1))):
-                for j in range(functions):
-                    values = mix(hashes + np.uint64(101 + j))
-                    at, left, right = compact_windows(values, first, size)
-                    text = np.searchsorted(first, at, side="right") - 1
-                    found = np.empty(len(at), WINDOW)
-                    found["key"] = (values[at] & ~_FUNCTION_BITS) | np.uint64(j)
-                    found["doc"] = ids[row + text]
-                    for name, x in (("left", left), ("at", at), ("right", right)):
-                        found[name] = x - first[text]
-                    held.append(found)
+                # Each function has the texts once more, behind those of the function before.
+                values = np.concatenate([mix(hashes + np.uint64(101 + j)) for j in range(functions)])
+                firsts = np.append((first[:-1] + len(hashes) * np.arange(functions)[:, None]).ravel(), len(values))
+                at, left, right = compact_windows(values, firsts, size)
+                text = np.searchsorted(firsts, at, side="right") - 1
+                function, of = np.divmod(text, len(first) - 1)
+                found = np.empty(len(at), WINDOW)
+                found["key"] = (values[at] & ~_FUNCTION_BITS) | function.astype(np.uint64)
+                found["doc"] = ids[row + of]
+                for name, x in (("left", left), ("at", at), ("right", right)):
+                    found[name] = x - firsts[text]
+                held.append(found)
                 if sum(map(len, held)) > PER_FLUSH:
                     yield _packed(held, bits)
                     held = []
@@ -427,6 +440,19 @@ def _meet(size: int) -> Callable:
     return meet
 
 
+def _least_of(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least of each row of `values` from each begin to its end, included: that of two runs of the greatest power of two."""
+    found = np.empty((len(values), len(begin)), values.dtype)
+    wide = end - begin + 1
+    step, widest = 1, wide.max(initial=0)
+    while step <= widest:
+        here = np.flatnonzero((wide >= step) & (wide < 2 * step))
+        found[:, here] = np.minimum(values[:, begin[here]], values[:, end[here] - step + 1])
+        values = np.minimum(values[:, :-step], values[:, step:])
+        step *= 2
+    return found
+
+
 def _finer(size: int, bits: int) -> Callable:
     """Rows (bucket, windows): given windows under finer keys.
 
@@ -440,33 +466,35 @@ def _finer(size: int, bits: int) -> Callable:
         held: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            given = [batch.column(k) for k in range(2, 7)]
+            lists = batch.column(2).offsets.to_numpy()
+            given = [batch.column(k).values.to_numpy(zero_copy_only=False) for k in range(2, 7)]
             for row, hashes, first in _tokens(*text_bytes(batch.column(1))):
+                ends = lists[row : row + len(first)]
+                text = np.repeat(np.arange(len(first) - 1), np.diff(ends))
+                key, left, at, right, open_ = (x[ends[0] : ends[-1]] for x in given)
+                # Rows of equal doc_ids may be other texts.
+                inside = right < np.diff(first)[text]
+                key, left, at, right, open_, text = (x[inside] for x in (key, left, at, right, open_, text))
+
+                def hold(keys: np.ndarray, which: np.ndarray) -> None:
+                    found = np.empty(len(keys), FINER)
+                    found["key"], found["doc"] = keys & ~_FUNCTION_BITS, ids[row + text[which]]
+                    for name, x in (("left", left), ("at", at), ("right", right), ("open", open_)):
+                        found[name] = x[which]
+                    held.append(found)
+
+                of = np.flatnonzero(key & int(_FUNCTION_BITS) == 0)
+                begin = np.maximum(left[of], at[of] - size + 1)
+                runs = np.minimum(at[of], right[of] - size + 1) - begin + 1
+                run = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+                begin = np.repeat(first[text[of]] + begin, runs) + run
+                hold(run_hashes(hashes, begin, begin + size), np.repeat(of, runs))
                 values = np.stack([mix(hashes + np.uint64(201 + j)) for j in range(SKETCHES)])
-                for k in range(len(first) - 1):
-                    key, left, at, right, open_ = (x[row + k].values.to_numpy(zero_copy_only=False) for x in given)
-                    # Rows of equal doc_ids may be other texts.
-                    inside = right < first[k + 1] - first[k]
-                    key, left, at, right, open_ = (x[inside] for x in (key, left, at, right, open_))
-
-                    def hold(keys: np.ndarray, which: np.ndarray) -> None:
-                        found = np.empty(len(keys), FINER)
-                        found["key"], found["doc"] = keys & ~_FUNCTION_BITS, ids[row + k]
-                        for name, x in (("left", left), ("at", at), ("right", right), ("open", open_)):
-                            found[name] = x[which]
-                        held.append(found)
-
-                    begins = at[:, None] - np.arange(size)
-                    of, run = np.nonzero((begins >= left[:, None]) & (begins + size - 1 <= right[:, None]) & (key & int(_FUNCTION_BITS) == 0)[:, None])
-                    begin = begins[of, run] + first[k]
-                    hold(run_hashes(hashes[first[k] : first[k + 1]], begin - first[k], begin - first[k] + size), of)
-                    sides = mix(key.astype(np.uint64) + np.arange(2 * SKETCHES, dtype=np.uint64)[:, None])
-                    for k_side, side in enumerate((-1, 1)):
-                        places = at[:, None] + side * np.arange(half)
-                        out = (places < left[:, None]) | (places > right[:, None])
-                        places = np.where(out, at[:, None], places) + first[k]
-                        sides[k_side * SKETCHES : (k_side + 1) * SKETCHES] += values[:, places].min(axis=2)
-                    hold(mix(sides).ravel(), np.tile(np.arange(len(at)), 2 * SKETCHES))
+                sides = mix(key.astype(np.uint64) + np.arange(2 * SKETCHES, dtype=np.uint64)[:, None])
+                place = first[text] + at
+                sides[:SKETCHES] += _least_of(values, place - np.minimum(at - left, half - 1), place)
+                sides[SKETCHES:] += _least_of(values, place, place + np.minimum(right - at, half - 1))
+                hold(mix(sides).ravel(), np.tile(np.arange(len(at)), 2 * SKETCHES))
                 if sum(map(len, held)) > PER_FLUSH:
                     yield _packed([_useful(np.concatenate(held))], bits)
                     held = []

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ionsieve.llm import compact_windows
@@ -131,3 +132,58 @@ def test_runs_with_too_few_hits_are_not_looked_at(monkeypatch):
     looked_at.clear()
     assert not list(compact_windows.verified(np.arange(300, dtype=np.uint64), np.arange(270, 500, dtype=np.uint64), 46))
     assert not looked_at
+
+
+def _rows(batches, kind):
+    rows = [compact_windows._unpacked(batch.column(1).to_pylist(), kind) for batch in batches if batch.num_rows]
+    return np.sort(np.concatenate([np.zeros(0, kind), *rows]))
+
+
+def test_texts_of_a_slice_are_taken_at_once(monkeypatch):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abc", k=2)) for _ in range(n))
+    texts = [words(rng.choice((0, 3, 30, 80))) for _ in range(60)]
+    texts += [None, "a " * 90, texts[-1]]
+    ids = [*range(len(texts) - 1), 5]  # rows of equal ids
+    size, calls = 8, {"least_places": 0, "run_hashes": 0}
+    documents = lambda at: pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at : at + 1], pa.int64()), "text": pa.array(texts[at : at + 1], pa.string())})
+    every = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+    single = [list(compact_windows._windows(size, 4, 2)(iter([documents(i)]))) for i in range(len(texts))]
+    alone = [batch for found in single for batch in found]
+
+    def listed(i):
+        found = _rows(single[i], compact_windows.WINDOW)
+        return [found["key"].astype(np.int64), found["left"], found["at"], found["right"], found["at"] % 2 == 0]
+
+    def asked(batch, rows):
+        parts = [listed(i) for i in rows]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        lists = [pa.array([part[k].tolist() for part in parts], pa.list_(kind)) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["doc_id", "text", "key", "left", "at", "right", "open"])
+
+    monkeypatch.setattr(compact_windows, "_useful", lambda windows: windows)
+    finer = [b for i in range(len(texts)) for b in compact_windows._finer(size, 2)(iter([asked(documents(i), [i])]))]
+    for name in calls:
+
+        def counted(*given, name=name, plain=getattr(compact_windows, name)):
+            calls[name] += 1
+            return plain(*given)
+
+        monkeypatch.setattr(compact_windows, name, counted)
+    together = asked(every, range(len(texts)))
+    assert _rows(compact_windows._windows(size, 4, 2)(iter([every])), compact_windows.WINDOW).tolist() == _rows(alone, compact_windows.WINDOW).tolist()
+    assert _rows(compact_windows._finer(size, 2)(iter([together])), compact_windows.FINER).tolist() == _rows(finer, compact_windows.FINER).tolist()
+    # Arrow may hand on a part of a batch.
+    part = _rows(compact_windows._finer(size, 2)(iter([together.slice(0, 20), together.slice(20)])), compact_windows.FINER)
+    assert part.tolist() == _rows(finer, compact_windows.FINER).tolist()
+    assert calls == {"least_places": 1, "run_hashes": 3}
+
+
+def test_least_of_ranges():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 60, (3, 50)).astype(np.uint64)
+    begin = rng.integers(0, 50, 200)
+    end = np.minimum(begin + rng.integers(0, 50, 200), 49)
+    expected = np.array([[row[a : b + 1].min() for a, b in zip(begin, end)] for row in values])
+    assert (compact_windows._least_of(values, begin, end) == expected).all()
+    assert compact_windows._least_of(values, begin[:0], end[:0]).shape == (3, 0)
