@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_name
 from .filters import in_any_range, points
-from .ranges import crowded_bins, join_ranges
+from .ranges import crowded_bins, join_ranges, seen_bins, tasks_for
 from .targets import Targets
 
 # Sums are taken in decimals of this kind up to this size of a single intensity.
@@ -66,8 +66,11 @@ def matched_points(
         .select("file_id", "rt", "scanid", "mz", "intensity")
     )
     width, broadcast = 2 * targets.tolerance, targets.few if broadcast is None else broadcast
-    crowded = None if broadcast else crowded_bins(near, "mz", width)
-    return join_ranges(near, targets.windows, value="mz", width=width, broadcast=broadcast, crowded=crowded)
+    if broadcast:
+        return join_ranges(near, targets.windows, value="mz", width=width, broadcast=True)
+    seen = seen_bins(near, "mz", width)
+    crowded, tasks = crowded_bins(near, "mz", width, seen=seen), tasks_for(seen)
+    return join_ranges(near, targets.windows, value="mz", width=width, crowded=crowded, tasks=tasks)
 
 
 def eic(

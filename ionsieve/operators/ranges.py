@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +13,16 @@ from ..session import materialize
 # Copies of each window in a shuffled join whose crowded bins are not known.
 SALTS = 16
 
-# Share of the points that is looked at to find crowded bins, and the part of these that makes one crowded. At most
-# 1 / CROWDED_PART bins are.
+# Share of the points that is looked at to find crowded bins, and the part of these that makes one crowded. Of many points
+# a smaller part does, which PIECE_POINTS are, so that pieces stay as small; at most MOST_CROWDED bins are crowded.
 LOOKED_AT = 0.01
 CROWDED_PART = 1 / 256
+PIECE_POINTS = 1 << 17
+MOST_CROWDED = 4_096
 # Fewer rows than these in the sample say nothing.
 LEAST_ROWS = 32
+# Points that one task joins, about, where there are more than the cluster's tasks take at a time.
+TASK_POINTS = 1 << 18
 # Pieces of a crowded bin at most, before equal values are dealt out by hash.
 PIECES = 64
 
@@ -26,20 +31,41 @@ def _bin(column: str, width: float) -> Column:
     return F.floor(F.col(column) / F.lit(width))
 
 
-def crowded_bins(
+def seen_bins(
     points: DataFrame, value: str, width: float, on: Sequence[str] = (), looked_at: float = LOOKED_AT
+) -> DataFrame:
+    """A sample of the points, written out: `on`, _bin and _v, the value. One job."""
+    seen = points.select(*on, _bin(value, max(float(width), 1e-4)).alias("_bin"), F.col(value).alias("_v"))
+    return materialize(seen.sample(looked_at, 7) if looked_at < 1 else seen)
+
+
+def tasks_for(seen: DataFrame, looked_at: float = LOOKED_AT) -> int | None:
+    """Tasks that a shuffled join of the points behind a sample (see seen_bins) takes; None for few points.
+
+    Points of a task match many windows each, which shuffled bytes do not show, so tasks are counted by points.
+    """
+    tasks = math.ceil(seen.count() / looked_at / TASK_POINTS)
+    return tasks if tasks > seen.sparkSession.sparkContext.defaultParallelism else None
+
+
+def crowded_bins(
+    points: DataFrame,
+    value: str,
+    width: float,
+    on: Sequence[str] = (),
+    looked_at: float = LOOKED_AT,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Bins that hold a large part of all points: `on`, _bin, _cuts, _salts; a few rows, written out.
 
-    Found in a sample. A crowded bin is cut at equal depth into pieces (_cuts are the upper ends of all but the last). A
-    piece that still holds too much, because its values are equal, is dealt out to _salts by hash. One job; no result
+    Found in a sample (`seen`, see seen_bins). A crowded bin is cut at equal depth into pieces (_cuts are the upper ends of all but the last). A
+    piece that still holds too much, because its values are equal, is dealt out to _salts by hash. No result
     hangs on what it finds.
     """
-    width = max(float(width), 1e-4)
     keys = [*on, "_bin"]
-    seen = points.select(*on, _bin(value, width).alias("_bin"), F.col(value).alias("_v"))
-    seen = materialize(seen.sample(looked_at, 7) if looked_at < 1 else seen)
-    most = max(LEAST_ROWS, int(seen.count() * CROWDED_PART))
+    seen = seen_bins(points, value, width, on, looked_at) if seen is None else seen
+    count = seen.count()
+    most = max(LEAST_ROWS, count // MOST_CROWDED, int(min(count * CROWDED_PART, PIECE_POINTS * looked_at)))
     counts = seen.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     shares = [k / PIECES for k in range(1, PIECES)]
     ends = seen.join(F.broadcast(counts), keys).groupBy(*keys).agg(F.max("_n").alias("_n"), F.percentile_approx("_v", shares, 10_000).alias("_ends"))
@@ -82,6 +108,7 @@ def join_ranges(
     broadcast: bool = False,
     salts: int = SALTS,
     crowded: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Rows of `points` with each window (`lo`..`hi`, closed) around their `value`.
 
@@ -89,7 +116,8 @@ def join_ranges(
     touches, so an equi join on the bin plus the exact test finds every match
     once. `on` adds equality keys. With `broadcast` the points never move; the
     caller must know that the windows are few. Otherwise both sides are
-    shuffled: the bins of `crowded` (see crowded_bins) in as many pieces as they need, or all bins with `salts`.
+    shuffled: the bins of `crowded` (see crowded_bins) in as many pieces as they need, or all bins with `salts`. With `crowded`,
+    `tasks` says to how many tasks (see tasks_for).
     """
     width = max(float(width), 1e-4)
     keys = [*on, "_bin"]
@@ -100,6 +128,8 @@ def join_ranges(
     elif crowded is not None:
         left, right = _dealt(left, right, value, crowded, keys)
         keys += ["_piece", "_salt"]
+        if tasks:
+            left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     elif salts > 1:
         keys.append("_salt")
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)))

@@ -56,3 +56,32 @@ def test_no_points_and_keys(spark, points, windows):
     found = ranges.join_ranges(keyed, asked, "mz", WIDTH, on=["k"], crowded=crowded)
     expected = ranges.join_ranges(keyed, asked, "mz", WIDTH, on=["k"], broadcast=True)
     assert sorted(map(tuple, found.select("id", "w").collect())) == sorted(map(tuple, expected.select("id", "w").collect()))
+
+
+def test_tasks_follow_the_points(spark, points, windows, monkeypatch):
+    seen = ranges.seen_bins(points, "mz", WIDTH, looked_at=0.3)
+    assert ranges.tasks_for(seen, 0.3) is None
+    monkeypatch.setattr(ranges, "TASK_POINTS", 300)
+    tasks = ranges.tasks_for(seen, 0.3)
+    assert 90 <= tasks <= 110
+    monkeypatch.setattr(ranges, "PIECE_POINTS", 150)
+    crowded = ranges.crowded_bins(points, "mz", WIDTH, looked_at=0.3, seen=seen)
+    found = ranges.join_ranges(points, windows, "mz", WIDTH, crowded=crowded, tasks=tasks)
+    expected = ranges.join_ranges(points, windows, "mz", WIDTH, broadcast=True)
+    pairs = lambda df: sorted(map(tuple, df.select("id", "w").collect()))
+    assert pairs(found) == pairs(expected)
+    assert found.rdd.getNumPartitions() == tasks  # small tasks stay apart
+
+
+def test_long_lists_are_joined_in_tasks_of_few_points(spark, points, monkeypatch):
+    from ionsieve.operators import eic
+    from ionsieve.operators.targets import targets_of
+
+    peaks = points.select(
+        F.lit("a").alias("file_id"), F.lit("1").alias("mslevel"), F.col("id").alias("scanid"), (F.col("id") % 50).cast("double").alias("rt"), "mz", F.lit(1.0).alias("intensity")
+    )
+    targets = targets_of(spark, [(f"t{i}", 100 + i * 0.37) for i in range(900)])
+    monkeypatch.setattr(ranges, "TASK_POINTS", 1_000)
+    found = eic.matched_points(peaks, targets, broadcast=False)
+    assert found.rdd.getNumPartitions() > 20
+    assert found.count() == eic.matched_points(peaks, targets, broadcast=True).count()
