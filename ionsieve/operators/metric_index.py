@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .distance import _dense, _whole
+from ..session import BROADCAST_MAX_ROWS, materialize
+from .distance import SPELLED_OUT, _dense, _whole
 from .ordering import with_index, with_running_total
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,6 +30,8 @@ PIVOTS = 6
 CANDIDATES = 64
 # Numbers of a difference of blocks that are held at once.
 HELD = 1 << 21
+# Pairs of a profile and a block that one task looks at, about.
+TASK_MEETINGS = 1 << 22
 # Distances are compared to so many digits, as sums have no fixed order.
 DIGITS = 9
 
@@ -38,6 +41,11 @@ _PROFILE = "array<struct<chunk: bigint, v: array<double>>>"
 def _distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     """The distance of every row to every other one, some dimensions at a time."""
     total = np.zeros((len(rows), len(others)))
+    if rows.shape[1] <= SPELLED_OUT:
+        for mine, theirs in zip(rows.T, np.ascontiguousarray(others.T)):
+            gap = mine[:, None] - theirs[None, :]
+            total += gap * gap
+        return np.round(np.sqrt(total), DIGITS)
     step = max(1, HELD // max(1, total.size))
     for at in range(0, rows.shape[1], step):
         part = rows[:, None, at : at + step] - others[None, :, at : at + step]
@@ -128,24 +136,54 @@ def meetings(packed: DataFrame, slab_size: int, k: int) -> DataFrame:
     bounds = _bounds(packed).withColumnRenamed("block", "host")
     gaps = F.zip_with("at", F.zip_with("low", "high", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x, i: F.greatest(i.a - x, x - i.b))
     near = F.forall(gaps, lambda gap: gap <= limit)
-    return slabs.join(spans, "idx").join(bounds, "slab").where(near).select("idx", "block", "reach", "host")
+    count = packed.count()
+    blocks = count // BLOCK + 1
+    # Few bytes meet many blocks, so tasks are counted by these.
+    tasks = max(packed.sparkSession.sparkContext.defaultParallelism, count * blocks // TASK_MEETINGS)
+    bounds = F.broadcast(bounds) if blocks <= BROADCAST_MAX_ROWS else bounds
+    met = slabs.join(spans, "idx").repartition(tasks, "idx").join(bounds, "slab")
+    return met.where(near).select("idx", "block", "reach", "host")
+
+
+def _dense_lists(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """As distance._dense(), from Arrow columns and without a look at single rows."""
+    parts = []
+    for column in columns:
+        lists = column.combine_chunks()
+        offsets, structs = lists.offsets.to_numpy(), lists.values[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        values = structs.field("v")
+        ends = values.offsets.to_numpy()
+        flat = values.values[ends[0] : ends[-1]].to_numpy(zero_copy_only=False)
+        parts.append((np.repeat(np.arange(len(lists)), np.diff(offsets)), structs.field("chunk").to_numpy(), np.diff(ends), flat, len(lists)))
+    chunks = np.unique(np.concatenate([chunk for _, chunk, *_ in parts]))
+    width = np.zeros(len(chunks), np.int64)
+    for _, chunk, lengths, *_ in parts:
+        np.maximum.at(width, np.searchsorted(chunks, chunk), lengths)
+    starts, size, found = np.cumsum(width) - width, int(width.sum()), []
+    for row, chunk, lengths, flat, count in parts:
+        rows = np.zeros(count * size)
+        begins = row * size + starts[np.searchsorted(chunks, chunk)] - (np.cumsum(lengths) - lengths)
+        rows[np.repeat(begins, lengths) + np.arange(len(flat))] = flat
+        found.append(rows.reshape(count, size))
+    return found
 
 
 def _across(k: int):
-    """A cogroup function: of each visiting profile the k nearest ones of a block, itself left out."""
+    """A cogroup function: of each visiting profile the k nearest ones of a block within its reach, more if equally near; itself left out."""
 
-    def nearest(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
+    def nearest(visitors: pa.Table, hosts: pa.Table) -> pa.Table:
         found = {"idx": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "distance": np.zeros(0)}
         if len(visitors) and len(hosts):
-            hosts = hosts.sort_values("other")
             ids, own = hosts["other"].to_numpy(), visitors["idx"].to_numpy()
-            between = _distances(*_dense(visitors["v"], hosts["w"]))
+            between = _distances(*_dense_lists(visitors["v"], hosts["w"]))
             between[own[:, None] == ids[None, :]] = np.inf
-            order = np.argsort(between, axis=1, kind="stable")[:, :k]
-            between = np.take_along_axis(between, order, axis=1)
-            kept = np.isfinite(between)
-            found = {"idx": np.repeat(own, kept.sum(axis=1)), "other": ids[order[kept]], "distance": between[kept]}
-        return pd.DataFrame(found)
+            limit = visitors["reach"].to_numpy() * (1 + 1e-9) + 1e-8
+            if len(ids) > k:
+                limit = np.fmin(limit, np.partition(between, k - 1, axis=1)[:, k - 1])
+            # A bound that is not a number bounds nothing.
+            row, at = np.nonzero(~(between > limit[:, None]) & np.isfinite(between))
+            found = {"idx": own[row], "other": ids[at], "distance": between[row, at]}
+        return pa.table(found)
 
     return nearest
 
@@ -167,11 +205,10 @@ def nearest_k(chunks: DataFrame, k: int) -> DataFrame:
     hosts = packed.select(F.col("block").alias("host"), F.col("idx").alias("other"), F.col("v").alias("w"))
     wanted = visits.select("block", "host").distinct()
     found = (
-        visits.drop("reach")
-        .join(folded, "idx")
+        visits.join(folded, "idx")
         .groupBy("block", "host")
         .cogroup(hosts.join(wanted, "host").groupBy("block", "host"))
-        .applyInPandas(_across(k), "idx long, other long, distance double")
+        .applyInArrow(_across(k), "idx long, other long, distance double")
     )
     best = Window.partitionBy("idx").orderBy("distance", "other")
     near = found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).select("idx", "other", "distance")

@@ -3,6 +3,9 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +121,36 @@ def test_equal_norms_meet_few_blocks(spark, monkeypatch):
     blocks = packed.select("block").distinct().count()
     met = metric_index.meetings(packed, size, 2).select("block", "host").distinct().count()
     assert blocks >= 25 and met <= 5 * blocks  # all pairs would be blocks squared
+
+
+PROFILES = pa.list_(pa.struct([("chunk", pa.int64()), ("v", pa.list_(pa.float64()))]))
+
+
+def test_profiles_from_arrow_are_dense_as_from_pandas():
+    draw = random.Random(6)
+    some = lambda n: [[{"chunk": c, "v": [draw.random() for _ in range(2 if c == 7 else 4)]} for c in (0, 3, 7) if draw.random() < 0.6] for _ in range(n)]
+    left, right = some(9), some(5)
+    expected = distance._dense(pd.Series(left), pd.Series(right))
+    column = lambda rows: pa.chunked_array([pa.array(rows[:2], PROFILES), pa.array([[]] + rows[2:], PROFILES).slice(1)])
+    for found, plain in zip(metric_index._dense_lists(column(left), column(right)), expected):
+        assert (found == plain).all()
+    assert [x.shape for x in metric_index._dense_lists(column([[], []]), column([[], []]))] == [(2, 0), (2, 0)]
+
+
+def test_a_visit_returns_only_what_lies_within_reach():
+    profile = lambda x: [{"chunk": 0, "v": [float(x), 0.0]}]
+    hosts = pa.table({"other": pa.array(range(10), pa.int64()), "w": pa.array([profile(i) for i in range(10)], PROFILES)})
+    visit = lambda reach: pa.table({"idx": pa.array([4, 50], pa.int64()), "reach": pa.array(reach), "v": pa.array([profile(4), profile(100)], PROFILES)})
+    rows = lambda reach: list(zip(*metric_index._across(3)(visit(reach), hosts).to_pydict().values()))
+    assert rows([1.0, 5.0]) == [(4, 3, 1.0), (4, 5, 1.0)]
+    far = [(50, 7, 93.0), (50, 8, 92.0), (50, 9, 91.0)]
+    assert rows([9.0, np.inf]) == [(4, 2, 2.0), (4, 3, 1.0), (4, 5, 1.0), (4, 6, 2.0)] + far  # the 3rd and the 4th are equally near
+    assert rows([0.5, np.nan]) == far
+
+
+def test_few_and_many_dimensions_give_one_distance():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, metric_index.SPELLED_OUT, metric_index.SPELLED_OUT + 1, 70):
+        rows, others = rng.random((6, n)), rng.random((8, n))
+        plain = [[math.dist(x, y) for y in others] for x in rows]
+        assert metric_index._distances(rows, others) == pytest.approx(np.array(plain).reshape(6, 8), abs=1e-8)
