@@ -346,7 +346,7 @@ def _verify(size: int) -> Callable:
 
 
 def _stretch_tokens(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """doc, begin, end, tokens for each distinct stretch (doc, begin, end)."""
+    """doc, begin, end, tokens for each distinct stretch (doc, begin, end), as a written table."""
     stretches = written(stretches.distinct(), "stretches")
     parts = stretches.groupBy("doc").agg(F.ceil(F.count("*") / STRETCHES_PER_ROW).alias("parts"))
     part = F.pmod(F.xxhash64("begin", "end"), F.col("parts"))
@@ -355,11 +355,13 @@ def _stretch_tokens(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     if stretches.count() <= BROADCAST_STRETCHES:
         lists = F.broadcast(lists)
     cut = docs.join(lists, "doc_id").select("doc_id", "text", "begin", "end")
-    return cut.mapInArrow(_cut, "doc long, begin int, end int, tokens binary")
+    tokens = written(cut.mapInArrow(_cut, "doc long, begin int, end int, tokens binary"), "tokens")
+    discard(stretches)
+    return tokens
 
 
 def _agreements(fits: DataFrame, size: int, enough: int) -> DataFrame:
-    fits = written(fits, "fits")
+    """The stretches of a written table of fits, which is deleted."""
     of_pair = F.pmod(F.xxhash64("a", "b"), F.lit(fits.count() // PER_BUCKET + 1))
     agreed = written(fits.groupBy(of_pair).applyInPandas(_agreed(size, enough), STRETCHES), "agreed")
     discard(fits)
@@ -367,15 +369,16 @@ def _agreements(fits: DataFrame, size: int, enough: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, stretches: DataFrame, size: int) -> DataFrame:
+    """The passages of a written table of stretches, which is deleted."""
     sides = [stretches.select(F.col(s).alias("doc"), F.col(f"{s}_begin").alias("begin"), F.col(f"{s}_end").alias("end")) for s in "ab"]
-    table = written(_stretch_tokens(docs, sides[0].unionByName(sides[1])), "tokens")
-    tokens = table.dropDuplicates(["doc", "begin", "end"])
+    table = _stretch_tokens(docs, sides[0].unionByName(sides[1]))
+    tokens, joined = table.dropDuplicates(["doc", "begin", "end"]), stretches
     for side in "ab":
         named = {"doc": side, "begin": f"{side}_begin", "end": f"{side}_end", "tokens": f"{side}_tokens"}
-        stretches = stretches.join(tokens.withColumnsRenamed(named), [side, f"{side}_begin", f"{side}_end"])
+        joined = joined.join(tokens.withColumnsRenamed(named), [side, f"{side}_begin", f"{side}_end"])
     columns = ("a", "b", "a_begin", "b_begin", "a_tokens", "b_tokens")
-    passages = written(stretches.select(*columns).mapInArrow(_verify(size), PASSAGES), "passages")
-    discard(table)
+    passages = written(joined.select(*columns).mapInArrow(_verify(size), PASSAGES), "passages")
+    discard(table, stretches)
     return passages
 
 
@@ -544,6 +547,7 @@ def _second_stars(docs: DataFrame, collisions: DataFrame, passages: DataFrame, s
     discard(open_, collisions)
     amount = windows.count()
     if not amount:
+        discard(windows)
         return passages
     bits = max(0, (amount * (2 * SKETCHES + size // FUNCTIONS) // PER_BUCKET).bit_length())
     listed = [F.col(f"of.{c}").alias(c) for c in ("key", "b_left", "b_at", "b_right", "open")]
@@ -553,8 +557,11 @@ def _second_stars(docs: DataFrame, collisions: DataFrame, passages: DataFrame, s
     lists = lists.select(F.col("doc").alias("doc_id"), *listed)
     # One way at any size: lists small enough for a broadcast on a small table are not on a large one.
     finer = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "key", "b_left", "b_at", "b_right", "open")
-    finer = finer.mapInArrow(_finer(size, bits), "bucket long, windows binary")
-    fits = finer.groupBy("bucket").applyInPandas(_meet(size), FITS).distinct()
+    # Written first, so that the shuffled texts are gone when the windows are shuffled.
+    finer = written(finer.mapInArrow(_finer(size, bits), "bucket long, windows binary"), "finer")
+    discard(windows)
+    fits = written(finer.groupBy("bucket").applyInPandas(_meet(size), FITS).distinct(), "fits")
+    discard(finer)
     more = _verified(docs, _agreements(fits, size, 1), size)
     return of_doc(passages, "doc_id").cogroup(of_doc(more, "doc_id")).applyInPandas(_together, PASSAGES)
 
@@ -573,5 +580,6 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, functions: int = F
     bits = max(0, (n_windows // PER_BUCKET).bit_length())
     windows = docs.mapInArrow(_windows(size, functions, bits), "bucket long, windows binary")
     collisions = written(windows.groupBy("bucket").applyInPandas(_collide, COLLISIONS), "collisions")
-    passages = _verified(docs, _agreements(_fits(collisions, size), size, enough), size)
+    fits = written(_fits(collisions, size), "fits")
+    passages = _verified(docs, _agreements(fits, size, enough), size)
     return _second_stars(docs, collisions, passages, size)
