@@ -429,7 +429,7 @@ FITS = "a long, b long, function int, shift int, begin int, end int"
 
 def _meet(size: int) -> Callable:
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        """What `_fits` gives for each open window and the first window of the least document of its key."""
+        """What `_fits` gives for each open window and the first window of the least document of its key, repeats included."""
         windows = _useful(_unpacked(rows["windows"], FINER))
         begins = np.concatenate([[True], windows["key"][1:] != windows["key"][:-1]])
         least = windows[begins][np.cumsum(begins) - 1]
@@ -438,7 +438,7 @@ def _meet(size: int) -> Callable:
         after = np.minimum(a["right"] - a["at"], b["right"] - b["at"])
         found = {"a": a["doc"], "b": b["doc"], "function": np.zeros(len(a), np.int32), "shift": b["at"] - a["at"]}
         found |= {"begin": a["at"] - before, "end": a["at"] + after}
-        return pd.DataFrame(found)[before + after + 1 >= size].drop_duplicates()
+        return pd.DataFrame(found)[before + after + 1 >= size]
 
     return meet
 
@@ -557,11 +557,9 @@ def _second_stars(docs: DataFrame, collisions: DataFrame, passages: DataFrame, s
     lists = lists.select(F.col("doc").alias("doc_id"), *listed)
     # One way at any size: lists small enough for a broadcast on a small table are not on a large one.
     finer = docs.join(lists.hint("merge"), "doc_id").select("doc_id", "text", "key", "b_left", "b_at", "b_right", "open")
-    # Written first, so that the shuffled texts are gone when the windows are shuffled.
-    finer = written(finer.mapInArrow(_finer(size, bits), "bucket long, windows binary"), "finer")
-    discard(windows)
+    finer = finer.mapInArrow(_finer(size, bits), "bucket long, windows binary")
     fits = written(finer.groupBy("bucket").applyInPandas(_meet(size), FITS).distinct(), "fits")
-    discard(finer)
+    discard(windows)
     more = _verified(docs, _agreements(fits, size, 1), size)
     return of_doc(passages, "doc_id").cogroup(of_doc(more, "doc_id")).applyInPandas(_together, PASSAGES)
 
