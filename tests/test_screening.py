@@ -255,6 +255,18 @@ def test_block_grid_never_moves_pairs(spark, peaks, manifest, targets, monkeypat
     assert "target_id" not in plan.split("Join")[1].split("\n")[0]
 
 
+def test_what_hangs_on_a_hit_or_a_suspect_is_not_worked_out_per_pair(peaks, manifest, targets):
+    large = type(targets)(targets.table, targets.tolerance, 10**5 + 1, targets.scan_ranges)
+    plain = screening.suspect_screening(peaks, manifest, targets, rounded=False)
+    rounded = lambda df: df.withColumns({"Observed_MZ": F.round("Observed_MZ", 9), "MZ_Error_ppm": F.round("MZ_Error_ppm", 4)})
+    expected = rounded(plain.withColumn("Exact_Mass", F.round("Exact_Mass", 2))).collect()
+    for some in (targets, large):
+        found = screening.suspect_screening(peaks, manifest, some, rounded=False, mass_digits=2)
+        assert sorted(map(str, rounded(found).collect())) == sorted(map(str, expected))
+        pairs = plan_of(found).split("Join")[0]
+        assert "round(" not in pairs and "least(" not in pairs and "CASE WHEN" not in pairs
+
+
 def max_rows(spark, *rows):
     full = [(1, "m", file, file, i, float(top) if top is not None else None, 1.0, 100.0) for i, (file, top) in enumerate(rows)]
     return spark.createDataFrame(
