@@ -6,7 +6,8 @@ merges that the one-by-one procedure makes too. Rounds go on until LOCAL cluster
 task; it merges them one by one. A cluster is named after its first item. Pairs at equal distance rank by the names of
 their clusters, the smaller one first, which makes the tree unique.
 
-Every pair of items has a distance, so this is for items that someone chose, as for a chart.
+Every pair of items has a distance, so this is for items that someone chose, as for a chart. Where the items' profiles are
+given, distances of more than LOCAL clusters are taken anew in each round and never stored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, at_most, materialize
+from ..session import BROADCAST_MAX_ROWS, at_most, detached, materialize
+from .distance import linked, whole_profiles
 from .ordering import with_index, with_running_total
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,11 +38,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if at_most(df, BROADCAST_MAX_ROWS) else df
 
 
-def _mutual(distances: DataFrame) -> DataFrame:
-    """(lo, hi, d): pairs of clusters that are each other's nearest."""
+def _nearest(distances: DataFrame) -> DataFrame:
+    """(label, key): the distance of each cluster to its nearest, and both names."""
     key = F.struct("d", "lo", "hi")
     ends = distances.select(F.explode(F.array("lo", "hi")).alias("label"), key.alias("key"))
-    nearest = ends.groupBy("label").agg(F.min("key").alias("key"))
+    return ends.groupBy("label").agg(F.min("key").alias("key"))
+
+
+def _mutual(nearest: DataFrame) -> DataFrame:
+    """(lo, hi, d): pairs of clusters that are each other's nearest."""
     return nearest.groupBy("key").agg(F.count("*").alias("sides")).where("sides = 2").select("key.*")
 
 
@@ -97,17 +103,22 @@ def _folded(numbered: DataFrame, alike: DataFrame | None) -> DataFrame:
     return materialize(placed.join(groups, "group").select("item", "idx", "label", (F.col("before") + 1).alias("k"), F.col("total").alias("n"), "last"))
 
 
-def _unfolded(rows: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distances and items, with the groups taken apart that lie at distance 0 from another one: their copies need not
-    merge before the groups do."""
-    near = materialize(rows.where("d = 0").select(F.explode(F.array("lo", "hi")).alias("label")).distinct())
-    if near.isEmpty():
-        return rows, folded
+def _taken_apart(near: DataFrame, folded: DataFrame) -> DataFrame:
+    """`folded` with the groups of `near` (label) taken apart, and `group`, the label before. Groups that lie at distance 0 from
+    another one need that: their copies need not merge before the groups do."""
     apart = near.withColumn("_apart", F.lit(True))
     kept = folded.join(apart, "label", "left").withColumn("group", F.col("label"))
     alone = lambda value, name: F.when(F.col("_apart"), value).otherwise(F.col(name)).alias(name)
     one = F.lit(1).cast("long")
-    kept = materialize(kept.select("item", "idx", "group", alone(F.col("idx"), "label"), alone(one, "k"), alone(one, "n"), alone(F.col("idx"), "last")))
+    return materialize(kept.select("item", "idx", "group", alone(F.col("idx"), "label"), alone(one, "k"), alone(one, "n"), alone(F.col("idx"), "last")))
+
+
+def _unfolded(rows: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distances and items, with the groups taken apart that lie at distance 0 from another one."""
+    near = materialize(rows.where("d = 0").select(F.explode(F.array("lo", "hi")).alias("label")).distinct())
+    if near.isEmpty():
+        return rows, folded
+    kept = _taken_apart(near, folded)
     heads = kept.where("idx = label")
     side = lambda old, new: heads.select(F.col("group").alias(old), F.col("label").alias(new))
     across = rows.join(side("lo", "i"), "lo").join(side("hi", "j"), "hi").select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "d")
@@ -115,6 +126,17 @@ def _unfolded(rows: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame]
     return materialize(across.unionByName(inside)), kept.drop("group")
 
 
+def _unfolded_profiles(vectors: DataFrame, folded: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
+    """The same with profiles (idx, v): one for each group, and one for each item of a group that is taken apart."""
+    nearest = _nearest(linked(vectors.withColumn("label", F.col("idx")), digits))
+    near = materialize(nearest.where("key.d = 0").select("label"))
+    if near.isEmpty():
+        return vectors, folded
+    kept = _taken_apart(near, folded)
+    heads = kept.where("idx = label").select(F.col("group").alias("idx"), "label")
+    return materialize(vectors.join(heads, "idx").select(F.col("label").alias("idx"), "v")), kept.drop("group")
+
+
 def _copies_merged(folded: DataFrame) -> DataFrame:
     """The merges inside groups of copies, as _moves gives them: one copy after the other joins the first one."""
     formed = F.struct(F.lit(0.0).alias("d"), F.col("label").alias("lo"), F.col("idx").alias("hi"))
@@ -123,7 +145,12 @@ def _copies_merged(folded: DataFrame) -> DataFrame:
 
 
 def cluster_tree(
-    distances: DataFrame, items: DataFrame, order: Sequence[Column], alike: DataFrame | None = None
+    distances: DataFrame,
+    items: DataFrame,
+    order: Sequence[Column],
+    alike: DataFrame | None = None,
+    profiles: DataFrame | None = None,
+    digits: int = 9,
 ) -> tuple[DataFrame, DataFrame]:
     """(leaves, merges) of the complete-linkage tree.
 
@@ -131,28 +158,29 @@ def cluster_tree(
     `order` needs, which numbers them; it decides between equals. With `alike` (item, group), items of one group are copies
     at distance 0 from each other, and `distances` has a row for every pair of groups only, under any item of theirs.
 
+    profiles: the chunks (see distance.profile_chunks) that `distances`, rounded to `digits`, come from, one profile for each group. With
+    these, more than LOCAL groups have their distances taken in every round and stored in none, and `distances` is not read.
+
     leaves: item, idx (1-based), place (1-based, along the tree), height (at which the item first merges, null for a
     single item). merges: step (1-based, by rising height), a, b (first items of both sides), height, n_items.
     """
     numbered = materialize(with_index(items, [], list(order), "idx").select("item", "idx"))
     folded = _folded(numbered, alike)
-    name = lambda side, number: folded.select(F.col("item").alias(f"item_{side}"), F.col("label").alias(number))
-    known = distances.join(_small(name(1, "i")), "item_1").join(_small(name(2, "j")), "item_2")
-    rows = materialize(known.select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("distance").alias("d")))
-    if alike is not None:
-        rows, folded = _unfolded(rows, folded)
-    # The second copy stands behind the first one, each later one, as it stands alone, in front of all before it.
-    place = F.when(F.col("k") > 2, F.col("n") - F.col("k")).otherwise(F.greatest(F.col("n") - 3 + F.col("k"), F.lit(0)))
-    formed = F.when(F.col("n") > 1, F.struct(F.lit(0.0).alias("d"), F.col("label").alias("lo"), F.col("last").alias("hi")))
-    members = folded.select("idx", "label", place.cast("long").alias("place"), "n", formed.cast(FORMED).alias("formed"))
-    left, merged = members.where("idx = label").count(), [_copies_merged(folded)]
-    while left > LOCAL and not rows.isEmpty():
-        moves = materialize(_moves(_mutual(rows), members))
-        merged.append(moves)
-        left -= moves.count() // 2
-        moves = _small(moves)
-        members = materialize(_moved_members(members, moves))
-        rows = materialize(_moved_distances(rows, moves))
+    if profiles is not None and folded.where("idx = label").count() > LOCAL:
+        vectors = materialize(whole_profiles(profiles).join(folded.select("item", F.col("label").alias("idx")), "item").select("idx", "v"))
+        if alike is not None:
+            vectors, folded = _unfolded_profiles(vectors, folded, digits)
+        members, merged = _begun(folded)
+        rows, members, more = _rounds_on_profiles(vectors, members, digits)
+    else:
+        name = lambda side, number: folded.select(F.col("item").alias(f"item_{side}"), F.col("label").alias(number))
+        known = distances.join(_small(name(1, "i")), "item_1").join(_small(name(2, "j")), "item_2")
+        rows = materialize(known.select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("distance").alias("d")))
+        if alike is not None:
+            rows, folded = _unfolded(rows, folded)
+        members, merged = _begun(folded)
+        rows, members, more = _rounds(rows, members)
+    merged += more
     last = materialize(_finished(rows, members))
     merged.append(last.where("shift is null"))
     shifts = last.where("shift is not null").select("label", "shift")
@@ -163,6 +191,43 @@ def cluster_tree(
     return leaves, steps
 
 
+def _begun(folded: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The clusters before the first round, copies merged, and the moves of these."""
+    # The second copy stands behind the first one, each later one, as it stands alone, in front of all before it.
+    place = F.when(F.col("k") > 2, F.col("n") - F.col("k")).otherwise(F.greatest(F.col("n") - 3 + F.col("k"), F.lit(0)))
+    formed = F.when(F.col("n") > 1, F.struct(F.lit(0.0).alias("d"), F.col("label").alias("lo"), F.col("last").alias("hi")))
+    members = folded.select("idx", "label", place.cast("long").alias("place"), "n", formed.cast(FORMED).alias("formed"))
+    return members, [_copies_merged(folded)]
+
+
+def _rounds(rows: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Distances and members when at most LOCAL clusters are left, and the moves of each round."""
+    left, merged = members.where("idx = label").count(), []
+    while left > LOCAL and not rows.isEmpty():
+        moves = detached(_moves(_mutual(_nearest(rows)), members))
+        merged.append(moves)
+        left -= moves.count() // 2
+        moves = _small(moves)
+        members = detached(_moved_members(members, moves))
+        rows = detached(_moved_distances(rows, moves))
+    return rows, members, merged
+
+
+def _rounds_on_profiles(vectors: DataFrame, members: DataFrame, digits: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The same from profiles (idx, v)."""
+    now = lambda: detached(vectors.join(members.select("idx", "label"), "idx"))
+    left, merged = members.where("idx = label").count(), []
+    while left > LOCAL:
+        moves = detached(_moves(_mutual(_nearest(linked(now(), digits))), members))
+        made = moves.count() // 2
+        if not made:  # no finite distance is left
+            break
+        merged.append(moves)
+        left -= made
+        members = detached(_moved_members(members, _small(moves)))
+    return linked(now(), digits, every=True), members, merged
+
+
 def _finished(rows: DataFrame, members: DataFrame) -> DataFrame:
     """label, formed, n, shift: the merges of the clusters that are left, two rows each as in _moves but with no shift, and
     by how many places each cluster moves on in all."""

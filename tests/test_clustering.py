@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionsieve.operators import clustering, distance, metric_index
-from ionsieve.session import materialize
+from ionsieve.session import detached, materialize
 
 
 def plain_tree(d, n):
@@ -73,6 +73,62 @@ def test_folded_copies_give_the_same_tree(spark, monkeypatch, near, local):
     assert [x.item for x in leaves.orderBy("place").collect()] == [name(i) for i in order]
 
 
+@pytest.mark.parametrize("rows", [4, 64])
+def test_tree_from_profiles_stores_no_pairs(spark, monkeypatch, rows):
+    """Profiles of two values, with copies and with groups at distance 0 by rounding; clusters outgrow blocks of 4."""
+    monkeypatch.setattr(clustering, "LOCAL", 3)
+    monkeypatch.setattr(distance, "LINK_ROWS", rows)
+    draw = random.Random(4)
+    group = [draw.randrange(24) for _ in range(36)]
+    values = {g: (draw.random(), draw.random() * 3) for g in set(group)}
+    values[group[0]] = tuple(x + 1e-12 for x in values[group[1]])
+    n, name = len(group), "item{:02}".format
+    d = {(i, j): round(math.dist(values[a], values[b]), 9) for i, a in enumerate(group, 1) for j, b in enumerate(group, 1) if i < j}
+    chunks = chunks_of(spark, {name(i): values[g] for i, g in enumerate(group, 1)})
+    first, groups = distance.alike(chunks)
+    first = materialize(first)
+    unread = spark.range(1).select(*(F.raise_error(F.lit("read")).alias(x) for x in ("item_1", "item_2", "distance")))
+    leaves, merges = clustering.cluster_tree(unread, chunks.select("item").distinct(), [F.col("item")], groups, first)
+    expected, order = plain_tree(d, n)
+    assert sorted(map(tuple, merges.collect())) == [(s, name(a), name(b), h, k) for s, a, b, h, k in expected]
+    assert [x.item for x in leaves.orderBy("place").collect()] == [name(i) for i in order]
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_links_are_the_nearest_and_all_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(distance, "LINK_ROWS", rows)
+    monkeypatch.setattr(distance, "LINK_TILE", 8)
+    draw = random.Random(5)
+    label = [draw.choice([1, 1, 2, 5, 5, 7, 8, 11]) for _ in range(30)]
+    vectors = [(i, x, [float(draw.randint(0, 9)) for _ in range(3)]) for i, x in enumerate(label)] + [(99, 20, [float("nan")] * 3)]
+    plain = {}
+    for _, a, v in vectors[:-1]:
+        for _, b, w in vectors[:-1]:
+            if a < b:
+                plain[a, b] = max(plain.get((a, b), 0.0), round(math.dist(v, w), 4))
+    frame = materialize(spark.createDataFrame(vectors, "idx long, label long, v array<double>"))
+    found = {(x.lo, x.hi): x.d for x in distance.linked(frame, 4, every=True).collect() if x.hi != 20}
+    assert found == plain
+    nearest = {x.label: tuple(x.key) for x in clustering._nearest(distance.linked(frame, 4).where("not isnan(d)")).collect()}
+    assert nearest == {x: min((d, *pair) for pair, d in plain.items() if x in pair) for x in set(label)}
+
+
+def test_distances_are_rounded_as_spark_does(spark):
+    draw = random.Random(6)
+    values = [draw.random() * 10.0 ** draw.randint(-9, 6) for _ in range(300)] + [0.0, 0.125, 1.0000005, 2.5e-7, 1e15 + 0.5, 123456.1234565]
+    values += [round(draw.random(), 6) + 5e-7 for _ in range(300)] + [math.inf]
+    expected = [x.r for x in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(F.round("x", 6).alias("r")).collect()]
+    assert distance._half_up(np.array(values), 6).tolist() == expected
+
+
+def test_rounds_hand_down_no_estimates(spark):
+    """An estimated size would have twice as many digits after each of these rounds."""
+    kept = spark.range(3).selectExpr("id", "id + 1 as other")
+    for _ in range(12):
+        kept = detached(kept.join(kept.select("id"), "id"))
+    assert kept.count() == 3 and kept.join(kept, "id")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+
+
 def test_trees_of_one_item_and_of_none(spark):
     none = spark.createDataFrame([], "item_1 string, item_2 string, distance double")
     one = spark.createDataFrame([("only",)], "item string")
