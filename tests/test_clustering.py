@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionsieve.operators import clustering, distance, metric_index
+from ionsieve.plans import frames
 from ionsieve.session import detached, materialize
 
 
@@ -94,6 +95,19 @@ def test_tree_from_profiles_stores_no_pairs(spark, monkeypatch, rows):
     assert [x.item for x in leaves.orderBy("place").collect()] == [name(i) for i in order]
 
 
+def test_order_of_many_samples_reads_no_pairs(spark, monkeypatch):
+    draw = random.Random(8)
+    some = [(t, f"m{t}", f"s{i:02}", f"s{i:02}", 20 - i, draw.choice([0.0, 10.0, 1000.0]) + i // 3, 1.0, 100.0) for i in range(20) for t in (1, 2)]
+    columns = "target_id long, molecule string, file_id string, file string, pos long, max_intensity double, rt_at_max double, target_mz double"
+    frame = materialize(spark.createDataFrame(some, columns))
+    rows = lambda: [sorted(map(tuple, x.collect())) for x in frames.cluster_order(frame, "file")]
+    expected = rows()
+    monkeypatch.setattr(clustering, "LOCAL", 12)
+    pairs = distance.pairwise_distances
+    monkeypatch.setattr(distance, "pairwise_distances", lambda chunks: pairs(chunks).withColumn("distance", F.raise_error(F.lit("read")).cast("double")))
+    assert rows() == expected and [len(x) for x in expected] == [20, 19]
+
+
 @pytest.mark.parametrize("rows", [3, 1000])
 def test_links_are_the_nearest_and_all_pairs(spark, monkeypatch, rows):
     monkeypatch.setattr(distance, "LINK_ROWS", rows)
